@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding, topk, url_filter, warc
+from . import bpe, sharding, topk, url_filter, warc
 from .common import table
 
+#: Place of the tokenizer file, the same on every machine.
+TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 
@@ -24,13 +26,17 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), "page_id", "url", url_filter.RULES)
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc, op4_sharding, op6_url_filter, op10_topk)}
+    return {f.__name__: f for f in (op2_warc, op4_sharding, op6_url_filter, op8_bpe, op10_topk)}
 
 
 _OP2 = """
