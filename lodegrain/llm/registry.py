@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, sharding, topk, url_filter, warc
+from . import bpe, decontaminate, language_id, sharding, topk, url_filter, warc
 from .common import table
 
 #: Place of the tokenizer file, the same on every machine.
@@ -38,13 +38,17 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc, op3_language_id, op4_sharding, op6_url_filter, op8_bpe, op10_topk)}
+    return {f.__name__: f for f in (op2_warc, op3_language_id, op4_sharding, op6_url_filter, op8_bpe, op9_decontaminate, op10_topk)}
 
 
 _OP2 = """
