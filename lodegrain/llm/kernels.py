@@ -7,6 +7,8 @@ runs of ``[^\\x20\\x09-\\x0D]+`` after A-Z is lower-cased.  Hashes are 64 bits w
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 
@@ -54,16 +56,24 @@ def _powers(n: int, base: int) -> np.ndarray:
     return np.multiply.accumulate(p)
 
 
-_BLOCK = 1 << 16
-_UP, _DOWN = _powers(_BLOCK, int(_BASE)), _powers(_BLOCK, _inverse)
+_TABLE = 1 << 22
 
 
-def _power(n: np.ndarray, table: np.ndarray, base: int) -> np.ndarray:
-    """base ** n from a table of the small powers and one of the large steps."""
-    if not len(n):
-        return np.zeros(0, np.uint64)
-    large = _powers(int(n.max()) >> 16, pow(base, _BLOCK, 2**64))
-    return table[n & (_BLOCK - 1)] * large[n >> 16]
+@lru_cache(maxsize=2)
+def _table(base: int) -> np.ndarray:
+    return _powers(_TABLE, base)
+
+
+def _powers_to(n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1); pieces are seldom longer than the table."""
+    return _table(int(_BASE))[:n] if n <= _TABLE else _powers(n - 1, int(_BASE))
+
+
+def _inverse_at(place: np.ndarray) -> np.ndarray:
+    small = _table(_inverse)
+    if not len(place) or place[-1] <= _TABLE:
+        return small[place]
+    return small[place % _TABLE] * _powers(int(place[-1]) // _TABLE, pow(_inverse, _TABLE, 2**64))[place // _TABLE]
 
 
 class Words:
@@ -102,9 +112,8 @@ def span_hash(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     if not len(start):
         return np.zeros(0, np.uint64)
     total = np.zeros(len(low) + 1, np.uint64)
-    place = np.arange(len(low))
-    np.cumsum(BYTE_CODE[low] * _power(place, _UP, int(_BASE)), out=total[1:])
-    value = (total[end] - total[start]) * _power(start, _DOWN, _inverse)
+    np.cumsum(BYTE_CODE[low] * _powers_to(len(low)), out=total[1:])
+    value = (total[end] - total[start]) * _inverse_at(start)
     return mix(value + (end - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
 
@@ -135,26 +144,28 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(values)
 
 
+TOKEN_BITS = 52
+PIECE_ROWS = 1 << (64 - TOKEN_BITS)
+_TOKEN = _U((1 << TOKEN_BITS) - 1)
+
+
 def distinct_sets(row: np.ndarray, value: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct values of each row: flat values and row offsets."""
-    order = np.argsort(value, kind="stable")
-    row, value = row[order], value[order]
-    order = np.argsort(row, kind="stable")
-    row, value = row[order], value[order]
-    keep = np.ones(len(row), bool)
-    keep[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
-    row, value = row[keep], value[keep]
-    off = np.zeros(n_rows + 1, np.int64)
-    np.cumsum(np.bincount(row, minlength=n_rows), out=off[1:])
-    return value, off
-
-
-def pieces(column: pa.Array, most: int = 8_000_000):
-    """Slices of a column with at most about ``most`` bytes each (one row at least): bounded memory."""
+    """Sorted distinct 52-bit tokens of each row: flat tokens and row offsets.  A piece has at most 4,096
+    rows, so a row and a token share a word and one plain sort orders both."""
+    packed = np.sort((row.astype(np.uint64) << _U(TOKEN_BITS)) | (value >> _U(64 - TOKEN_BITS)))
+    keep = np.ones(len(packed), bool)
+    keep[1:] = packed[1:] != packed[:-1]
+    packed = packed[keep]
+    off = np.searchsorted(packed, np.arange(n_rows + 1, dtype=np.uint64) << _U(TOKEN_BITS)) if n_rows < PIECE_ROWS else np.append(np.searchsorted(packed, np.arange(n_rows, dtype=np.uint64) << _U(TOKEN_BITS)), len(packed))
+    return packed & _TOKEN, off.astype(np.int64)
+
+
+def pieces(column: pa.Array, most: int = 4_000_000):
+    """(begin, end) slices of a column of at most about ``most`` bytes (one row at least) and 4,096 rows."""
     size = np.diff(buffers(column)[1])
     begin, total = 0, 0
     for i, s in enumerate(size):
-        if total and total + s > most:
+        if (total and total + s > most) or i - begin == PIECE_ROWS:
             yield begin, i
             begin, total = i, 0
         total += int(s)

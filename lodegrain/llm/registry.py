@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, sharding, topk, url_filter, warc
+from . import bpe, decontaminate, language_id, ngram_join, sharding, topk, url_filter, warc
 from .common import table
 
 #: Place of the tokenizer file, the same on every machine.
@@ -34,6 +34,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), "page_id", "url", url_filter.RULES)
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -48,7 +52,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc, op3_language_id, op4_sharding, op6_url_filter, op8_bpe, op9_decontaminate, op10_topk)}
+    return {f.__name__: f for f in (op2_warc, op3_language_id, op4_sharding, op6_url_filter, op7_ngram_join, op8_bpe, op9_decontaminate, op10_topk)}
 
 
 _OP2 = """
@@ -73,6 +77,20 @@ hit AS (
   FROM u LEFT JOIN r ON (u.host = r.h OR u.host LIKE '%.' || r.h) AND starts_with(u.path, r.p))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM hit WHERE k = 1"""
 
+_OP7 = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM w),
+t AS MATERIALIZED (SELECT doc_id, len(s) AS n, hash(unnest(s)) AS t FROM s),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y FROM t a JOIN t b ON a.t = b.t AND a.doc_id < b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS MATERIALIZED (SELECT x, y FROM o UNION ALL SELECT y, x FROM o),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.doc_id),
+m AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.component_id FROM s JOIN m USING (doc_id)"""
+
 _OP10 = """
 WITH v AS (
   SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
@@ -93,4 +111,4 @@ SELECT doc_id, slot, printf('shard-%03d', i) AS shard FROM s JOIN t USING (slot)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": _OP2, "op4_sharding": _op4(), "op6_url_filter": _OP6, "op10_topk": _OP10}
+    return {"op2_warc": _OP2, "op4_sharding": _op4(), "op6_url_filter": _OP6, "op7_ngram_join": _OP7, "op10_topk": _OP10}
