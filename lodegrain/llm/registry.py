@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, ngram_join, sharding, topk, url_filter, warc
+from . import bpe, decontaminate, language_id, ngram_join, sharding, substring_dedup, topk, url_filter, warc
 from .common import table
 
 #: Place of the tokenizer file, the same on every machine.
@@ -15,6 +15,10 @@ TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -52,7 +56,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc, op3_language_id, op4_sharding, op6_url_filter, op7_ngram_join, op8_bpe, op9_decontaminate, op10_topk)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_language_id, op4_sharding, op6_url_filter, op7_ngram_join, op8_bpe, op9_decontaminate, op10_topk)}
 
 
 _OP2 = """
