@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, ngram_join, sharding, substring_dedup, topk, url_filter, warc
+from . import bpe, decontaminate, language_id, lm_score, ngram_join, sharding, substring_dedup, topk, url_filter, warc
 from .common import table
 
 #: Place of the tokenizer file, the same on every machine.
@@ -34,6 +34,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", SHARDS)
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.score_documents(table(spark, sf_dir, "documents"), language_id.fold(F.col("doc_id"), 7) != 2)
+    return scored.select("doc_id", (~F.col("is_train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), "page_id", "url", url_filter.RULES)
 
@@ -56,7 +61,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_language_id, op4_sharding, op6_url_filter, op7_ngram_join, op8_bpe, op9_decontaminate, op10_topk)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_language_id, op4_sharding, op5_lm_score, op6_url_filter, op7_ngram_join, op8_bpe, op9_decontaminate, op10_topk)}
 
 
 _OP2 = """
