@@ -85,3 +85,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def without(docs: DataFrame, key: str, gone: DataFrame, rows: int) -> DataFrame:
+    """``docs`` without the rows whose ``key`` is in the one column of ``gone`` (``rows`` rows), nulls being
+    equal.  Sides are told apart by alias, so any column names may be in ``docs``."""
+    listed = bounded(gone.toDF("id"), rows).alias("gone")
+    return docs.alias("docs").join(listed, F.col(f"docs.{key}").eqNullSafe(F.col("gone.id")), "left_anti")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, without
 
 #: Edits allowed, as a share of an item's normalised length, and the length below which none are.
 EDIT_SHARE = 0.05
@@ -163,4 +163,4 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **more) -> DataFrame:
     """``docs`` without the rows whose key belongs to a document that holds a benchmark item."""
     hit = stage(find_contamination(docs, benchmark, key, **more).select(key).distinct(), "contaminated")
-    return docs.join(hit.select(F.col(key).alias("_hit")), F.col(key).eqNullSafe(F.col("_hit")), "left_anti")
+    return without(docs, key, hit, hit.count())

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_min, bounded, components, stage
+from .common import attach_min, bounded, components, stage, without
 from .kernels import TOKEN_BITS, Words, buffers, distinct_sets, mix, pieces, shingles
 
 SIZE, PERCENT = 5, 80
@@ -249,8 +249,10 @@ def _search_groups(pairs: DataFrame, sets: DataFrame, label: DataFrame, percent:
     query = pairs.select("small", "large").join(asked, "large").join(member.withColumnRenamed("root", "small"), "small")
     query = query.select("large", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("mb"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("q")).cast("int").alias("qb"), "doc_id", "tokens")
 
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+    def search(both: pa.Table) -> pa.Table:
         a, b = [], []
+        asks = both["asks"].to_numpy()
+        left, right = both.filter(pa.array(asks)), both.filter(pa.array(~asks))
         if left.num_rows and right.num_rows:
             unpack = lambda t: [np.frombuffer(x, _U) for x in t["tokens"].to_pylist()]
             groups = TokenGroups(right["doc_id"].to_numpy(), unpack(right))
@@ -261,8 +263,8 @@ def _search_groups(pairs: DataFrame, sets: DataFrame, label: DataFrame, percent:
                     b.append(found)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    keys = ["large", "mb", "qb"]
-    return query.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(search, "a long, b long")
+    both = query.withColumn("asks", F.lit(True)).unionByName(held.withColumn("asks", F.lit(False)))
+    return both.groupBy("large", "mb", "qb").applyInArrow(search, "a long, b long")
 
 
 def _group_pairs(prefix: DataFrame, label: DataFrame, percent: int) -> DataFrame:
@@ -320,7 +322,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", **more) -> DataFrame:
     """``docs`` with one document of each group of similar ones, that with the smallest doc_id; rows with no
     words or a null doc_id stay, and of rows that repeat a doc_id with words one stays."""
     found = stage(similar_documents(docs, key, **more), "similar")
-    gone = stage(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "dropped")
-    kept = docs.join(bounded(gone, gone.count()), F.col(key) == F.col("_gone"), "left_anti")
+    gone = stage(found.where("component_id <> doc_id").select("doc_id").distinct(), "dropped")
+    kept = without(docs, key, gone, gone.count())
     twice = found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1")
     return kept if twice.isEmpty() else kept.where(F.col(key).isNull()).unionByName(kept.where(F.col(key).isNotNull()).dropDuplicates([key]))

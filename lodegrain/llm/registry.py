@@ -60,8 +60,14 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it reads this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_language_id, op4_sharding, op5_lm_score, op6_url_filter, op7_ngram_join, op8_bpe, op9_decontaminate, op10_topk)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_language_id, op4_sharding, op5_lm_score, op6_url_filter, op7_ngram_join, op8_bpe, op9_decontaminate, op10_topk, pipeline)}
 
 
 _OP2 = """

@@ -54,8 +54,8 @@ def assign_shards(df: DataFrame, key: str, names: Sequence[str], size: int = TAB
     if spread_by and spread > 1:
         held = F.concat(F.coalesce(held, F.lit("")), F.lit("#"), F.pmod(F.xxhash64(spread_by), F.lit(spread)).cast("string"))
     text = ",".join(map(str, build_table(names, size, weights)))
-    lookup = spark.range(1).select(F.posexplode(F.split(F.lit(text), ",")).alias("_slot", "_i")).select("_slot", F.element_at(F.array(*map(F.lit, names)), F.col("_i").cast("int") + 1).alias("shard"))
-    return df.drop("slot", "shard").withColumn("slot", slot_of(held, size)).join(F.broadcast(lookup), F.col("slot") == F.col("_slot"), "left").drop("_slot")
+    lookup = spark.range(1).select(F.posexplode(F.split(F.lit(text), ",")).alias("__slot", "__i")).select("__slot", F.element_at(F.array(*map(F.lit, names)), F.col("__i").cast("int") + 1).alias("shard"))
+    return df.drop("slot", "shard").withColumn("slot", slot_of(held, size)).join(F.broadcast(lookup), F.col("slot") == F.col("__slot"), "left").drop("__slot")
 
 
 def write_shards(df: DataFrame, path: str, key: str, names: Sequence[str], **more) -> None:
