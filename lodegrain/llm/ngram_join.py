@@ -9,8 +9,10 @@ least a threshold.  What decides a link is always the exact overlap of the two w
    documents that can reach the threshold with such tokens stay.
 3. Those are grouped: each is verified against the one document it shares most prefix tokens with, and the
    components of the links are the groups of similar documents.
-4. Token-group matrix: per token and size band a group has one row, however many members.  Groups that share a
-   prefix token and whose bounds (sizes, and tokens shared with anyone) allow a link are paired; the members of
+4. Token-group matrix: per token and size band a group has one row, however many members.  Tokens of many
+   groups go last in the common order of tokens, so they are hardly ever prefix tokens.  Groups that share a
+   prefix token (an early one of the smaller set) and whose bounds (sizes, and tokens shared with anyone) allow a
+   link are paired; the members of
    the smaller are queries.  A task holds a block of the larger's members in sub-groups of similar size, with
    the union of their tokens, bounds each query's overlap with each union, and opens only the sub-groups that
    qualify.
@@ -37,6 +39,8 @@ SIZE, PERCENT = 5, 80
 BUCKET_TOKENS = 1 << 20
 BAND = float(np.log(1.125))
 SUB_GROUP, MEMBER_BLOCK, QUERY_BLOCK = 32, 2048, 4096
+#: Tokens of more groups than this go last in the common order of tokens; at most so many are known as such.
+HOT_GROUPS, HOT_TOKENS, REORDERINGS = 32, 1 << 20, 3
 _U = np.uint64
 
 Tokens = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
@@ -64,6 +68,11 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-n * percent // 100) + 1
 
 
+def early_length(n: np.ndarray, percent: int) -> np.ndarray:
+    """Of two sets that link, the smaller one has a token of the other's prefix among this many."""
+    return n - -(-n * 2 * percent // (100 + percent)) + 1
+
+
 def fingerprints(rows: DataFrame, tokens: Tokens) -> DataFrame:
     """(doc_id, n, fp1, fp2) of (doc_id, text) rows."""
 
@@ -154,8 +163,20 @@ def _packed_sets(rows: DataFrame, tokens: Tokens) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n long, c long, tokens binary").where("n > 0")
 
 
-def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, doc_id, n, c) for the prefix tokens of each set, in hash order."""
+def _prefixes(sets: DataFrame, percent: int, hot: np.ndarray | None = None) -> DataFrame:
+    """(token, doc_id, n, c, early) for the prefix tokens of each set, in hash order but for the ``hot`` ones
+    (by rising frequency), which come last.  Any order that is the same for all sets is a right one."""
+    known, place = (np.sort(hot), np.argsort(hot).astype(np.int64)) if hot is not None and len(hot) else (None, None)
+    sent = sets.sparkSession.sparkContext.broadcast((known, place))  # at most HOT_TOKENS
+
+    def first(x: np.ndarray, k: int) -> np.ndarray:
+        known, place = sent.value
+        if known is None:
+            return x[:k]
+        at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+        late = known[at] == x
+        cold = x[~late]
+        return cold[:k] if len(cold) >= k else np.concatenate([cold, x[late][np.argsort(place[at[late]])][: k - len(cold)]])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,11 +184,12 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
                 continue
             n = b.column(1).to_numpy()
             keep = prefix_length(n, percent)
-            t = np.concatenate([np.frombuffer(x.as_buffer(), np.int64, count=k) for x, k in zip(b.column(3), keep, strict=True)])
+            t = np.concatenate([first(np.frombuffer(x.as_buffer(), _U), k) for x, k in zip(b.column(3), keep, strict=True)]).view(np.int64)
             at = pa.array(np.repeat(np.arange(len(n)), keep))
-            yield pa.RecordBatch.from_arrays([pa.array(t), b.column(0).take(at), b.column(1).take(at), b.column(2).take(at)], names=["token", "doc_id", "n", "c"])
+            early = np.arange(len(t)) - np.repeat(np.cumsum(keep) - keep, keep) < np.repeat(early_length(n, percent), keep)
+            yield pa.RecordBatch.from_arrays([pa.array(t), b.column(0).take(at), b.column(1).take(at), b.column(2).take(at), pa.array(early)], names=["token", "doc_id", "n", "c", "early"])
 
-    return sets.mapInArrow(run, "token long, doc_id long, n long, c long")
+    return sets.mapInArrow(run, "token long, doc_id long, n long, c long, early boolean")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -267,15 +289,35 @@ def _search_groups(pairs: DataFrame, sets: DataFrame, label: DataFrame, percent:
     return both.groupBy("large", "mb", "qb").applyInArrow(search, "a long, b long")
 
 
-def _group_pairs(prefix: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """(small, large, n_small, n_large): groups that share a prefix token and whose bounds allow a link."""
-    rows = prefix.join(label.withColumnRenamed("node", "doc_id"), "doc_id")
-    span = rows.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("token")
+def _token_groups(sets: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """(token, band, root, low, high, c, low_s, high_s, c_s): the token-group matrix, for tokens of several
+    groups; sizes and bounds of the members with that prefix token, and (s) of those that have it early.
+
+    Tokens of many groups would pair all of them, so they are put last in the common order and the prefixes
+    are taken anew, until hardly a token of many groups is left that had not been known as one."""
     band = F.floor(F.log(F.col("n").cast("double")) / BAND + 1e-9).cast("int")
-    groups = stage(rows.join(span, "token", "left_semi").groupBy("token", band.alias("band"), "root").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max("c").alias("c")), "token-groups")
+    of = bounded(label.withColumnRenamed("node", "doc_id"), label.count())
+    hot = np.zeros(0, _U)
+    for turn in range(REORDERINGS + 1):
+        rows = _prefixes(sets, percent, hot).join(of, "doc_id")
+        every = stage(rows.groupBy("token", band.alias("band"), "root").agg(*(f(x).alias(a + e) for e, of_n, of_c in (("", F.col("n"), F.col("c")), ("_s", F.when(F.col("early"), F.col("n")), F.when(F.col("early"), F.col("c")))) for f, x, a in ((F.min, of_n, "low"), (F.max, of_n, "high"), (F.max, of_c, "c")))), "token-groups")
+        span = every.groupBy("token").agg(F.count("*").alias("groups"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
+        if turn < REORDERINGS and len(hot) < HOT_TOKENS:
+            found = span.where(F.col("groups") > HOT_GROUPS).orderBy(F.desc("groups"), "token").limit(HOT_TOKENS - len(hot)).select("token").toArrow()
+            found = found["token"].to_numpy().view(np.uint64)[::-1]
+            new = found[~np.isin(found, hot)]
+            hot = np.concatenate([new, hot])
+            if len(new):
+                continue
+        return every.join(span.select("token"), "token", "left_semi")
+    raise AssertionError
+
+
+def _group_pairs(groups: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """(small, large, n_small, n_large): groups that share a prefix token and whose bounds allow a link."""
     # 100 * overlap >= percent * (x + y - overlap), the overlap being at most either side's c
-    small = groups.where(F.col("c") * (100 + percent) >= F.col("low") * 2 * percent)
-    small = small.select("token", F.explode(F.array(*(F.col("band") + i for i in range(int(np.ceil(np.log(100 / percent) / BAND)) + 1)))).alias("band"), F.col("root").alias("ra"), F.col("low").alias("la"), F.col("high").alias("ha"), F.col("c").alias("ca"))
+    small = groups.where(F.col("c_s") * (100 + percent) >= F.col("low_s") * 2 * percent)
+    small = small.select("token", F.explode(F.array(*(F.col("band") + i for i in range(int(np.ceil(np.log(100 / percent) / BAND)) + 1)))).alias("band"), F.col("root").alias("ra"), F.col("low_s").alias("la"), F.col("high_s").alias("ha"), F.col("c_s").alias("ca"))
     fits = (F.col("root") != F.col("ra")) & (F.least("c", "ca") * (100 + percent) >= (F.col("low") + F.col("la")) * percent) & (F.col("ha") * 100 >= F.col("low") * percent) & (F.col("high") >= F.col("la"))
     pairs = groups.join(small, ["token", "band"]).where(fits).select(F.least("root", "ra").alias("a"), F.greatest("root", "ra").alias("b")).distinct()
     size = label.groupBy("root").agg(F.count("*").alias("size"))
@@ -311,7 +353,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     linked = stage(_verify(best.select(F.col("doc_id").alias("a"), "b"), sets, percent), "hub-links")
     grouped = components(edges.unionByName(linked))
     label = stage(sets.select(F.col("doc_id").alias("node")).distinct().join(grouped, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "labels")
-    pairs = stage(_group_pairs(prefix, label, percent), "group-pairs")
+    pairs = stage(_group_pairs(stage(_token_groups(sets, label, percent), "matrix"), label, percent), "group-pairs")
     if not pairs.isEmpty():
         more = stage(_search_groups(pairs, sets, label, percent), "group-links")
         grouped = components(grouped.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
