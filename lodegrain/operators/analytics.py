@@ -112,10 +112,12 @@ def recent_context(turns: DataFrame, session: str, order: str, entry: str, last:
     return turns.withColumn("context", F.concat_ws("\n", F.collect_list(entry).over(w)))
 
 
-def first_occurrences(rows: DataFrame, by: str, order: str) -> DataFrame:
-    """The first row of each value, by order."""
-    kept = rows.withColumn("_n", F.row_number().over(W.partitionBy(by).orderBy(order)))
-    return kept.where("_n = 1").drop("_n")
+def first_occurrences(rows: DataFrame, by: str, *order: str) -> DataFrame:
+    """The first row of each value, by order.  The minimum is taken before anything is shuffled, so a value
+    with any number of rows is one row from each task."""
+    whole = F.struct(*(F.col(c) for c in (*order, *(c for c in rows.columns if c not in order and c != by))))
+    first = rows.groupBy(by).agg(F.min(whole).alias("_r"))
+    return first.select(by, "_r.*").select(*rows.columns)
 
 
 def mean_vectors(vectors: DataFrame, by: str, vector: str) -> DataFrame:

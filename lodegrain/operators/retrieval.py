@@ -219,7 +219,7 @@ def with_context(results: DataFrame, chunks: DataFrame) -> DataFrame:
 def find_by_name(chunks: DataFrame, name: str, chunk_types: Sequence[str], limit: int = 20) -> DataFrame:
     """Chunks of some types whose name holds ``name`` in any case; exact matches first, then by path."""
     hit = chunks.where(F.col("chunk_type").isin(*chunk_types) & F.contains(F.lower("name"), F.lit(name.lower())))
-    exact = F.when(F.lower("name") == name.lower(), 0).otherwise(1)
+    exact = F.when(F.trim(F.element_at(F.split(F.lower("name"), ":"), 1)) == name.lower(), 0).otherwise(1)
     return hit.withColumn("exact", exact).orderBy("exact", "file_path", "chunk_index").limit(limit)
 
 
