@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .common import bound_batches
+
 CACHE_WORDS = 500_000
 _TOKEN_BITS = 20
 _TOKEN, _NONE = (1 << _TOKEN_BITS) - 1, 1 << 62
@@ -250,6 +252,7 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
     A null or empty text has no tokens and the digests of nothing.  Special tokens written in a text are
     read as such.  Null keys and repeated rows are kept; other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,6 +14,7 @@ _own_dir: dict[str, str] = {}
 #: Rows of 8 to 32 bytes that may be broadcast: 32 MB at most.  Larger sides are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 SALTS = 64
+BATCH_BYTES = 8 * 1024 * 1024
 
 
 def work_root(spark: SparkSession) -> str:
@@ -37,6 +38,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 8 MB, so a Python worker's memory does not grow with the length of rows; a
+    size that the session's own configuration names is left."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext.getConf().get(key) is None:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def bounded(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a side of ``rows`` rows if they are few enough; beyond that leave it to a shuffled join."""
     return F.broadcast(df) if rows <= most else df
@@ -57,8 +66,8 @@ def attach_min(df: DataFrame, keys: Sequence[str], value: str, out: str, salts:
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """Connected components of (a, b) links: one row (node, root) per linked node, root being the
-    smallest node reachable.
+    """Connected components of (a, b) links: one row (node, root) per linked node but the roots
+    themselves, root being the smallest node reachable.
 
     Alternating large-star and small-star rounds; every round is a salted minimum and a written table,
     so a hub with any number of links is spread over tasks and nothing is collected.  Null ends are

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, without
+from .common import bound_batches, stage, without
 
 #: Edits allowed, as a share of an item's normalised length, and the length below which none are.
 EDIT_SHARE = 0.05
@@ -129,6 +129,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
     exactly, between word ends.  Items with equal texts each give a row, as do repeated documents; null keys
     and ids stay null.  Other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     schema = f"_key {kind}, item_id long, distance int, match_end long"

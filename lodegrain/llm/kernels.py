@@ -56,7 +56,7 @@ def _powers(n: int, base: int) -> np.ndarray:
     return np.multiply.accumulate(p)
 
 
-_TABLE = 1 << 22
+_TABLE = 1 << 21
 
 
 @lru_cache(maxsize=2)
@@ -160,12 +160,12 @@ def distinct_sets(row: np.ndarray, value: np.ndarray, n_rows: int) -> tuple[np.n
     return packed & _TOKEN, off.astype(np.int64)
 
 
-def pieces(column: pa.Array, most: int = 4_000_000):
-    """(begin, end) slices of a column of at most about ``most`` bytes (one row at least) and 4,096 rows."""
+def pieces(column: pa.Array, most: int = 2_000_000, rows: int = PIECE_ROWS):
+    """(begin, end) slices of a column of at most about ``most`` bytes (one row at least) and ``rows`` rows."""
     size = np.diff(buffers(column)[1])
     begin, total = 0, 0
     for i, s in enumerate(size):
-        if (total and total + s > most) or i - begin == PIECE_ROWS:
+        if (total and total + s > most) or i - begin == rows:
             yield begin, i
             begin, total = i, 0
         total += int(s)

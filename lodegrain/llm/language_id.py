@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
 from .kernels import LOWER, buffers, pieces
 
 #: Close relatives (fixed values); a language that is not listed is a family of its own.
@@ -25,6 +26,8 @@ BITS = 11
 DIM = 1 << BITS
 #: Labelled rows that the machines are fitted on, at most, over all languages.
 SAMPLE_ROWS = 4000
+#: Bytes and rows whose features are held at a time.
+PIECE = (500_000, 512)
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
 _LETTER[128:] = True
@@ -136,6 +139,7 @@ def fold(key: Column, folds: int) -> Column:
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS, families: Mapping[str, Iterable[str]] = FAMILIES) -> Model | None:
     """Fit from rows with a text and a label.  Languages are sampled alike, by a hash of key and label, to at
     most ``sample_rows`` rows in all; None if there are no labelled rows."""
+    bound_batches(labelled.sparkSession)
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
     if not counts:
@@ -148,7 +152,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j in pieces(b.column(1), 4_000_000):
+            for i, j in pieces(b.column(1), *PIECE):
                 x = text_features(b.column(1).slice(i, j - i)).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
@@ -166,6 +170,7 @@ def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: st
     A text that is null or has no letter is ``und`` with score 0, as is every text without a model (no
     labelled rows).  Null keys and repeated rows are kept.
     """
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     names = [f"_k{i}" for i in range(len(keep) + 1)]
     rows = docs.select(*(F.col(c).alias(n) for c, n in zip((key, *keep), names, strict=True)), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_ok"), F.col(text).cast("string").alias("_text"))
@@ -174,7 +179,7 @@ def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: st
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j in pieces(b.column(len(names) + 1), 4_000_000):
+            for i, j in pieces(b.column(len(names) + 1), *PIECE):
                 part = b.slice(i, j - i)
                 ok = part.column(len(names)).to_numpy(zero_copy_only=False)
                 pred, score = np.full(len(ok), "und", object), np.zeros(len(ok))

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_min, bounded, components, stage, without
+from .common import attach_min, bound_batches, bounded, components, stage, without
 from .kernels import TOKEN_BITS, Words, buffers, distinct_sets, mix, pieces, shingles
 
 SIZE, PERCENT = 5, 80
@@ -334,6 +334,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     have none and link with nothing.  Rows that repeat a doc_id are one document with all of their links;
     rows with a null doc_id link with nothing and have a null component.  An empty table gives none.
     """
+    bound_batches(docs.sparkSession)
     tokens = tokens or shingle_sets(size)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     prints = stage(fingerprints(rows, tokens), "fingerprints")

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 BLOCK_RULES = 100_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -87,6 +89,7 @@ def judge_urls(df: DataFrame, key: str, url: str, rules: Sequence[tuple[str, str
     is null and the verdict is ``default``.  Of two rules of equal length the longer host wins, then the
     earlier one.  Repeated rows are judged alike; other columns of ``df`` are not read.
     """
+    bound_batches(df.sparkSession)
     small = df.select(F.col(key).alias("_key"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     held = list(rules)
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_min, bounded, stage, work_path
+from .common import attach_min, bound_batches, bounded, stage, work_path
 
 REVISIT_FROM = 100
 GAP, SPAN, WINDOW = 64 * 1024, 8 * 1024 * 1024, 32 * 1024 * 1024
@@ -84,6 +84,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     bytes, and rows that repeat the smallest page_id of their payload, are all responses; rows with a
     null page_id revisit the smallest id if there is one.  Other columns are not read.
     """
+    bound_batches(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     revisits = find_revisits(pages)
     rows = revisits.count()
@@ -132,6 +133,7 @@ def ranges(rows: Iterable[tuple], gap: int = GAP, span: int = SPAN) -> Iterator[
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
     """The records that ``index`` (any selection of an index's rows) points to, payload checked against
     its digest; a revisit has a null payload and the digest and length of the one it refers to."""
+    bound_batches(index.sparkSession)
     placed = index.select("file", "offset", "length", "page_id").withColumn("_w", F.floor(F.col("offset") / WINDOW))
     dealt = placed.repartition("file", "_w").sortWithinPartitions("file", "offset").drop("_w")
 
