@@ -53,8 +53,14 @@ def words_to_tokens(words: ColumnOrName) -> Column:
 
 def char_trigrams(text: ColumnOrName) -> Column:
     """The distinct three-character pieces of a text; none under three characters."""
-    t = _col(text)
-    return F.when(F.length(t) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+
+    def pieces(t: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substring(t, i, F.lit(3)))
+        return F.when(F.length(t) >= 3, F.array_distinct(every)).otherwise(none)
+
+    # as the variable of a lambda the text is made once, not once per piece
+    return F.coalesce(F.get(F.transform(F.array(_col(text)), pieces), F.lit(0)), none)
 
 
 def near_duplicate_text(text: ColumnOrName, limit: int = 2000) -> Column:
@@ -235,11 +241,12 @@ def build_frontmatter(fields: dict[str, Column]) -> Column:
     return F.concat_ws("\n", F.lit("---"), *lines, F.lit("---"), F.lit(""))
 
 
-def preprocess_code(code: ColumnOrName, language: ColumnOrName = F.lit("python")) -> Column:
-    """Trailing blanks and blank lines off, fenced with the language."""
+def preprocess_code(code: ColumnOrName, language: ColumnOrName | None = None) -> Column:
+    """Trailing blanks and blank lines off, fenced with the language (``python`` if none is given)."""
+    lang = F.lit("python") if language is None else _col(language)
     lines = F.filter(F.transform(F.split(F.regexp_replace(_col(code), r"^\s+|\s+$", ""), "\n"), lambda x: F.regexp_replace(x, r"\s+$", "")), lambda x: x != "")
     body = F.concat_ws("\n", lines)
-    return F.when((body != "") & (F.coalesce(_col(language), F.lit("")) != ""), F.concat(F.lit("```"), _col(language), F.lit("\n"), body, F.lit("\n```"))).otherwise(body)
+    return F.when((body != "") & (F.coalesce(lang, F.lit("")) != ""), F.concat(F.lit("```"), lang, F.lit("\n"), body, F.lit("\n```"))).otherwise(body)
 
 
 def embedding_input(text: ColumnOrName, limit: int = 1800) -> Column:
@@ -276,10 +283,10 @@ def answer_part(answer: ColumnOrName) -> Column:
     return F.regexp_replace(F.regexp_replace(_col(answer), r"(?s)<think>.*?</think>", ""), r"^\s+|\s+$", "")
 
 
-def response_issue(text: ColumnOrName, elapsed: ColumnOrName = F.lit(0.0)) -> Column:
+def response_issue(text: ColumnOrName, elapsed: ColumnOrName | None = None) -> Column:
     """The first fault of a model's answer, null if it has none; in the order too_short, timeout,
     repetition, thinking, rambling, broken JSON."""
-    t, sec = F.coalesce(_col(text), F.lit("")), _col(elapsed)
+    t, sec = F.coalesce(_col(text), F.lit("")), F.lit(0.0) if elapsed is None else _col(elapsed)
     lower = F.lower(t)
     after = F.when(t.contains("<think>") & t.contains("</think>"), F.substring_index(t, "</think>", -1)).otherwise(t)
     brief = t.contains("</think>") & t.contains("<think>") & (word_count(after) < 20)

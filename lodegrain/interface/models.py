@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,12 +30,22 @@ class Embedder(Protocol):
 
 def hashed_vector(text: Column, dim: int = 64) -> Column:
     """Offline stand-in, not semantic: signed counts of code tokens by hash, scaled to length one; null for a text
-    without tokens.  Built-in functions only."""
-    tokens = T.code_tokens(text)
-    slots = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(2 * dim)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (F.size(F.filter(slots, lambda s: s == 2 * i)) - F.size(F.filter(slots, lambda s: s == 2 * i + 1))).cast("double"))
-    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(length > 0, F.transform(counts, lambda x: (x / length).cast("float")))
+    without tokens.  Tokens are cut in the JVM and counted in Arrow batches."""
+
+    @F.pandas_udf("array<float>")
+    def count(tokens: pd.Series) -> pd.Series:
+        out = []
+        for row in tokens:
+            if row is None or not len(row):
+                out.append(None)
+                continue
+            code = np.array([zlib.crc32(t.encode()) for t in row], np.int64)
+            v = np.bincount(code // 2 % dim, np.where(code % 2 == 0, 1.0, -1.0), dim)
+            size = np.sqrt((v * v).sum())
+            out.append((v / size).astype(np.float32) if size else None)
+        return pd.Series(out)
+
+    return count(T.code_tokens(text))
 
 
 def embed_chunks(chunks: DataFrame, factory: Callable[[], Embedder] | None = None, column: str = "content") -> DataFrame:

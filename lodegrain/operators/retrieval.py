@@ -7,9 +7,10 @@ touched; what is not selected by a term never leaves its task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -20,6 +21,7 @@ from lodegrain.functions import text as T
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
 OVERFETCH = 3
+QUERY_BLOCK = 64
 FUNCTION_TYPES = ("function", "method", "async_function")
 #: Parts of paths that speak for an important file.
 IMPORTANT_PATHS = ("readme", "main.", "index.", "__init__", "config", "setup", "install", "getting", "started", "docs/", "documentation", "guide", "tutorial", "example")
@@ -80,12 +82,35 @@ def bm25(index: KeywordIndex, queries: DataFrame, k: int, query: str = "query")
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: Sequence[str], vector: str = "embedding", query_vector: str = "query_vector") -> DataFrame:
     """(query_id, key..., distance, score, rank) of the ``k`` nearest vectors by squared distance, exhaustively.
 
-    The queries are a stated set taken against all rows; each task keeps ``k`` per query before anything is
-    shuffled.
+    The queries are a stated set taken against all rows; each batch of vectors keeps ``k`` per query (and ties)
+    before anything is shuffled.
     """
-    pairs = vectors.select(*key, vector).crossJoin(queries.select("query_id", query_vector))
-    far = pairs.select("query_id", *key, F.round(T.squared_l2(vector, query_vector), 9).alias("distance"))
     order = W.partitionBy("query_id").orderBy("distance", *key)
+    asked = queries.select("query_id", query_vector).where(F.col(query_vector).isNotNull()).toArrow()  # the stated set
+    kinds = [f"query_id {queries.schema['query_id'].dataType.simpleString()}", *(f"{c} {vectors.schema[c].dataType.simpleString()}" for c in key)]
+    if not asked.num_rows:
+        return vectors.sparkSession.createDataFrame([], ", ".join([*kinds, "distance double", "rank int", "score double"]))
+    ids = asked.column("query_id").to_pylist()
+    sent = vectors.sparkSession.sparkContext.broadcast(np.array(asked.column(query_vector).to_pylist(), np.float64))
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        q = sent.value
+        for b in batches:
+            x = np.array(b[vector].tolist(), np.float64)
+            if not len(x):
+                continue
+            for begin in range(0, len(q), QUERY_BLOCK):
+                gap = ((x[:, None, :] - q[None, begin : begin + QUERY_BLOCK, :]) ** 2).sum(2) if len(x) * len(q) * x.shape[1] <= 1 << 26 else np.stack([((x - v) ** 2).sum(1) for v in q[begin : begin + QUERY_BLOCK]], 1)
+                near = np.round(gap, 9)
+                for j in range(near.shape[1]):
+                    d = near[:, j]
+                    at = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else np.arange(len(d))  # ties stay
+                    out = b.iloc[at][list(key)].copy()
+                    out.insert(0, "query_id", ids[begin + j])
+                    out["distance"] = d[at]
+                    yield out
+
+    far = vectors.where(F.col(vector).isNotNull()).select(*key, vector).mapInPandas(best, ", ".join([*kinds, "distance double"]))
     return far.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("score", T.distance_to_similarity("distance"))
 
 

@@ -161,9 +161,9 @@ def r6_knn_batch(spark: SparkSession, d: str) -> DataFrame:
     return _nearest(spark, d, TOP).select("query_id", "rank", "vec_id", F.round("distance", 6).alias("distance"), F.round("score", 6).alias("score"))
 
 
-@query("WITH" + _MEAN + " SELECT label, list(round(m, 6) ORDER BY i)[1:4] AS head, count(*) AS dim FROM c GROUP BY label")
+@query("WITH" + _MEAN + " SELECT label, CAST(i AS INTEGER) AS i, round(m, 6) AS m FROM c")
 def a12_mean_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return _label_means(spark, d).select("label", F.transform(F.slice("mean", 1, 4), lambda x: F.round(x, 6)).alias("head"), F.size("mean").cast("long").alias("dim"))
+    return _label_means(spark, d).select("label", F.posexplode("mean").alias("i", "m")).select("label", (F.col("i") + 1).alias("i"), F.round("m", 6).alias("m"))
 
 
 @query("WITH" + _MEAN + """, s AS (SELECT x.label AS a, y.label AS b, sum(x.m * y.m) / (sqrt(sum(x.m * x.m)) * sqrt(sum(y.m * y.m))) AS s FROM c x JOIN c y ON x.i = y.i AND x.label < y.label GROUP BY ALL)
@@ -351,9 +351,9 @@ e5 AS (SELECT domain, list(error ORDER BY seen, error) AS errors FROM (SELECT *,
 st AS (SELECT domain, count(*) AS total, count(*) FILTER (WHERE success) AS success, count(*) FILTER (WHERE NOT success) AS fail, CAST(coalesce(sum(word_count) FILTER (WHERE success), 0) AS BIGINT) AS total_words, list(DISTINCT extractor ORDER BY extractor) AS extractors FROM log GROUP BY domain)"""
 
 
-@query("WITH " + _STATS + " SELECT st.*, coalesce(errors, []) AS errors, CASE WHEN success > 0 THEN CAST(total_words // success AS BIGINT) ELSE 0 END AS avg_words FROM st LEFT JOIN e5 USING (domain)")
+@query("WITH " + _STATS + " SELECT domain, total, success, fail, total_words, array_to_string(extractors, ',') AS extractors, coalesce(array_to_string(errors, ','), '') AS errors, CASE WHEN success > 0 THEN CAST(total_words // success AS BIGINT) ELSE 0 END AS avg_words FROM st LEFT JOIN e5 USING (domain)")
 def a5_domain_stats(spark: SparkSession, d: str) -> DataFrame:
-    return A.domain_stats(scrape_log(spark, d))
+    return A.domain_stats(scrape_log(spark, d)).withColumn("extractors", F.concat_ws(",", "extractors")).withColumn("errors", F.concat_ws(",", "errors"))
 
 
 @query("WITH " + _LOG + ", st AS (SELECT domain, count(*) AS total FROM log WHERE NOT success GROUP BY 1) SELECT domain, 'Auto-blocked: ' || total || ' consecutive failures, 0 successes' AS reason FROM st WHERE total >= 5")
@@ -378,10 +378,10 @@ def a11_failures_by_reason(spark: SparkSession, d: str) -> DataFrame:
 
 def rounds(spark: SparkSession, d: str) -> DataFrame:
     """A session per user and a round per day."""
-    return table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.sum(F.floor(F.col("value") * 10)).cast("long").alias("tokens"), F.count("*").alias("seconds"))
+    return table(spark, d, "events").groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.sum(F.floor(F.col("value") * 10)).cast("long").alias("tokens"), F.count("*").alias("seconds"))
 
 
-_ROUNDS = "r AS (SELECT user_id, CAST(ts AS DATE) AS day, CAST(sum(floor(value * 10)) AS BIGINT) AS tokens, count(*) AS seconds FROM events GROUP BY ALL)"
+_ROUNDS = "r AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, CAST(sum(floor(value * 10)) AS BIGINT) AS tokens, count(*) AS seconds FROM events GROUP BY ALL)"
 
 
 @query("WITH " + _ROUNDS + """ SELECT user_id, day, tokens, seconds, CAST(sum(tokens) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS corpus_tokens, round(avg(seconds) OVER (w ROWS 2 PRECEDING) * 1.5, 6) AS next_round_estimate,
