@@ -7,6 +7,7 @@ runs of ``[^\\x20\\x09-\\x0D]+`` after A-Z is lower-cased.  Hashes are 64 bits w
 
 from __future__ import annotations
 
+import ctypes
 from functools import lru_cache
 
 import numpy as np
@@ -144,6 +145,18 @@ def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(values)
 
 
+@lru_cache(maxsize=1)
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give freed memory back to the machine where the C library can, so that workers which wait hold little."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 TOKEN_BITS = 52
 PIECE_ROWS = 1 << (64 - TOKEN_BITS)
 _TOKEN = _U((1 << TOKEN_BITS) - 1)
@@ -171,3 +184,4 @@ def pieces(column: pa.Array, most: int = 2_000_000, rows: int = PIECE_ROWS):
         total += int(s)
     if begin < len(size):
         yield begin, len(size)
+    release()

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import attach_min, bound_batches, bounded, components, stage, without
-from .kernels import TOKEN_BITS, Words, buffers, distinct_sets, mix, pieces, shingles
+from .kernels import TOKEN_BITS, Words, buffers, distinct_sets, mix, pieces, release, shingles
 
 SIZE, PERCENT = 5, 80
 BUCKET_TOKENS = 1 << 20
@@ -125,6 +125,7 @@ def shared_counts(rows: DataFrame, tokens: Tokens, total: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=["bucket", "piece", "one", "doc", "many", "info"])
 
     def count(group: pa.Table) -> pa.Table:
+        release()
         one = [np.frombuffer(x, np.uint32) for x in group["one"].to_pylist()]
         doc = [np.frombuffer(x, np.uint16) for x in group["doc"].to_pylist()]
         many = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in group["many"].to_pylist()]))
@@ -138,6 +139,7 @@ def shared_counts(rows: DataFrame, tokens: Tokens, total: int) -> DataFrame:
         return pa.table({"piece": group["piece"], "counts": pa.array(counts, pa.binary()), "info": group["info"]})
 
     def gather(group: pa.Table) -> pa.Table:
+        release()
         ids, n, total = np.frombuffer(next(x for x in group["info"].to_pylist() if x is not None), np.int64).reshape(3, -1)
         total = total.copy()
         for x in group["counts"].to_pylist():
@@ -272,6 +274,7 @@ def _search_groups(pairs: DataFrame, sets: DataFrame, label: DataFrame, percent:
     query = query.select("large", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("mb"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("q")).cast("int").alias("qb"), "doc_id", "tokens")
 
     def search(both: pa.Table) -> pa.Table:
+        release()
         a, b = [], []
         asks = both["asks"].to_numpy()
         left, right = both.filter(pa.array(asks)), both.filter(pa.array(~asks))
