@@ -85,4 +85,4 @@ def expand_queries(queries: DataFrame, model: LanguageModel | None, max_terms: i
     kind = queries.schema["query_id"].dataType.simpleString()
     got = queries.sparkSession.createDataFrame(answers, f"query_id {kind}, _answer string")
     joined = queries.join(got, "query_id", "left")
-    return joined.withColumn("expanded", F.coalesce(T.clean_expansion("_answer", "query", max_terms), F.col("query"))).drop("_answer")
+    return joined.withColumn("expanded", F.when(F.col("_answer").isNotNull(), T.clean_expansion("_answer", "query", max_terms)).otherwise(F.col("query"))).drop("_answer")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegrain.operators.chunkers import chunk_files
+from lodegrain.sources.workspace import stage
 
 BUCKETS = 64
 
@@ -53,7 +54,12 @@ def upsert(spark: SparkSession, path: str, rows: DataFrame, removed: DataFrame)
     new = old.join(touched.select("file_path"), "file_path", "left_anti").unionByName(rows, allowMissingColumns=True)
     held = f"{path}__next"
     new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(held)
-    spark.read.parquet(held).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    written = spark.read.schema(new.schema).parquet(held)
+    left = {r[0] for r in written.select("bucket").distinct().collect()}  # at most BUCKETS
+    written.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    for b in set(buckets) - left:  # an overwrite leaves the buckets that have no rows any more
+        empty = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={b}")
+        empty.getFileSystem(spark._jsc.hadoopConfiguration()).delete(empty, True)
 
 
 def index_files(spark: SparkSession, files: DataFrame, path: str, embed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -65,7 +71,7 @@ def index_files(spark: SparkSession, files: DataFrame, path: str, embed: Callabl
         if "PATH_NOT_FOUND" not in str(e):
             raise
         manifest = spark.createDataFrame([], "file_path string, size long, mtime timestamp, hash string, chunks int, language string, indexed_at timestamp")
-    status = manifest_diff(files, manifest).cache()
+    status = stage(manifest_diff(files, manifest), "file-status")  # the manifest is overwritten below
     todo = files.join(status.where(F.col("status").isin("new", "changed")).select("file_path"), "file_path", "left_semi")
     chunks = chunk_files(todo)
     chunks = (embed(chunks) if embed else chunks).withColumn("indexed_at", F.current_timestamp())

@@ -6,6 +6,8 @@ rejected file costs a listing entry.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,8 +70,8 @@ def decoded(content: Column) -> Column:
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """(file_path relative to ``root``, path, length, modificationTime, content) of all files below it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.regexp_replace(F.lit(root), "^[a-z]+:/*|/+$", "")
-    return files.withColumn("file_path", F.regexp_replace(F.substring_index(F.col("path"), base, -1), "^/+", ""))
+    base = re.sub("^[a-z]+:/*|/+$", "", root)
+    return files.withColumn("file_path", F.regexp_replace(F.substring_index("path", base, -1), "^/+", ""))
 
 
 def project_files(spark: SparkSession, root: str) -> DataFrame:

@@ -18,6 +18,7 @@ from lodegrain.operators.index import index_files, manifest_diff
 from lodegrain.sources.files import project_files, watchable
 
 DELAY_SECONDS, PASSIVE_DELAY_SECONDS, FILES_PER_TRIGGER, FLUSH = 1.0, 10.0, 10, "5 seconds"
+KEPT_SECONDS = 3600
 
 
 def file_events(before: DataFrame, now: DataFrame) -> DataFrame:
@@ -59,8 +60,8 @@ def debounce(events: DataFrame, key: str, ts: str, order: str, delay: float = DE
 
 
 def debounce_stream(events: DataFrame, key: str, ts: str, delay: float = DELAY_SECONDS) -> DataFrame:
-    """(key, ts) of the accepted events of a stream; the state is one time per key and goes an hour after its
-    last event."""
+    """(key, ts) of the accepted events of a stream; the state is one time per key and goes, by the events' own
+    time, two hours after its last event.  Events over an hour late are dropped."""
     kind = events.schema[key].dataType.simpleString()
 
     def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -72,16 +73,17 @@ def debounce_stream(events: DataFrame, key: str, ts: str, delay: float = DELAY_S
         ok = accepted(times, state.get[0] if state.exists else None, delay)
         if any(ok):
             state.update((max(t for t, x in zip(times, ok, strict=True) if x),))
-        state.setTimeoutDuration(3_600_000)
+        state.setTimeoutTimestamp(int(1000 * max(times)) + 2 * KEPT_SECONDS * 1000)
         yield pd.DataFrame({key: [name[0]] * sum(ok), ts: list(rows[ts][ok])})
 
-    return events.select(key, F.col(ts).cast("timestamp").alias(ts)).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {ts} timestamp", "last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = events.select(key, F.col(ts).cast("timestamp").alias(ts)).withWatermark(ts, f"{KEPT_SECONDS} seconds")
+    return timed.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {ts} timestamp", "last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def watch(spark: SparkSession, root: str, index_path: str, checkpoint: str, embed: Callable[[DataFrame], DataFrame] | None = None, once: bool = False):
     """A running query that brings the index up to date with the folder at every trigger.  New files start a
     batch; the whole listing is then compared with the manifest, so changes and removals are found too."""
-    arriving = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).option("maxFilesPerTrigger", FILES_PER_TRIGGER).load(root).select("path", "length")
+    arriving = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("recursiveFileLookup", True).option("maxFilesPerTrigger", FILES_PER_TRIGGER).load(root).select("path", "length")
 
     def apply(batch: DataFrame, _: int) -> None:
         files = project_files(spark, root)
