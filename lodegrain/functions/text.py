@@ -28,7 +28,8 @@ def code_tokens(text: ColumnOrName) -> Column:
         camel = F.when(F.size(humps) > 1, humps).otherwise(none)
         return F.transform(F.concat(F.array(w), snake, camel), lambda t: F.lower(t))
 
-    return F.flatten(F.transform(words, spread))
+    # most words have no parts, and are not split
+    return F.flatten(F.transform(words, lambda w: F.when(w.rlike("_|[a-z][A-Z]|[A-Z][A-Z][a-z]"), spread(w)).otherwise(F.array(F.lower(w)))))
 
 
 def searchable_text(content: ColumnOrName, name: ColumnOrName, chunk_type: ColumnOrName) -> Column:
