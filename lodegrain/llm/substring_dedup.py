@@ -6,10 +6,11 @@ however its lines are broken, then falls into the same paragraphs but for its ed
 implies a common run of some 33 words, and a short common line never holds a whole one.
 
 Each paragraph has four bands of two MinHash values over its three-word shingles (98 % recall at a Jaccard
-similarity of 0.8).  Band keys travel packed in bins by bucket, after the repeats within a piece of
-documents have been paired there.  In a bucket each paragraph is paired with the first of its key.  Pairs are
-verified by exact Jaccard similarity, and components of verified pairs are the clusters; a cluster's first
-paragraph, by doc_id and place, stays, and the others are removed.
+similarity of 0.8).  Band keys travel packed in bins by bucket, with a fingerprint of the paragraph's content.
+Equal contents are linked to the first of them, within a piece of documents and then in the bucket, and only
+one of each goes on.  Different contents of one band key are joined by their exact Jaccard similarity, each with
+every other.  Components of the links are the clusters; a cluster's first paragraph, by doc_id and place, stays,
+and the others are removed.
 """
 
 from __future__ import annotations
@@ -59,13 +60,21 @@ class Paragraphs:
         self.row = words.row[self.start]
         self.edge = first[self.start] | np.append(first[self.start[1:]], True) if n else first[self.start]
 
+    def content_keys(self) -> np.ndarray:
+        """A fingerprint of each paragraph's words in their order."""
+        if not len(self.start):
+            return np.zeros(0, np.uint64)
+        place = np.arange(len(self.words.hash)) - np.repeat(self.start, self.stop - self.start)
+        total = np.add.reduceat(mix(self.words.hash + mix(place.astype(np.uint64) + _U(1))), self.start)
+        return mix(total + (self.stop - self.start).astype(np.uint64))
+
     def band_keys(self) -> np.ndarray:
-        """(paragraphs, BANDS) keys."""
+        """(paragraphs, BANDS) keys; the two lowest bits that are kept of a key are its band."""
         h, n = self.words.hash, len(self.words.hash)
         value = h.copy()
         for k in range(1, SHINGLE):
             value[: n - k] += h[k:] * _SEEDS[k]
-        # the shingles of a paragraph end in it; one of under three words is hashed as it stands
+        # the shingles of a paragraph end in it; one too short for any goes by its content
         last = np.maximum(self.stop - SHINGLE + 1, self.start + 1)
         cuts = np.column_stack([self.start, last]).ravel()
         keys = np.zeros((len(self.start), BANDS), np.uint64)
@@ -74,22 +83,26 @@ class Paragraphs:
             for r in range(ROWS):
                 keys[:, b] = keys[:, b] * _U(0x9E3779B97F4A7C15) + np.minimum.reduceat(mix(padded ^ _SEEDS[b * ROWS + r]), cuts)[::2]
             keys[:, b] = mix(keys[:, b] + _U(b))
+        short = self.stop - self.start < SHINGLE
+        keys[short] = mix(self.content_keys()[short, None] + np.arange(BANDS, dtype=np.uint64))
         return keys
 
 
 def _candidates(rows: DataFrame, buckets_bits: int) -> DataFrame:
-    """(doc, at, hub_doc, hub_at): each paragraph of a repeated band key with the first of that key; ``at`` is
-    a paragraph's first word."""
+    """(doc, at, hub_doc, hub_at, band): each paragraph whose content is repeated with the first of that content
+    (``band`` null), and the first of each content of a band key that has several (hub null); ``at`` is a
+    paragraph's first word."""
     shift, n_buckets = _U(64 - buckets_bits), 1 << buckets_bits
-    entry = np.dtype([("key", "<u8"), ("doc", "<i8"), ("at", "<i8")])
+    entry = np.dtype([("key", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("at", "<i8")])
 
-    def paired(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of entries sorted by key, document and place: (first of each key, pairs of the others with it)."""
+    def classes(e: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of entries sorted by key, content, document and place: (which are the first of their content, pairs
+        of the others with it).  Equal contents meet in every band, so the first band's pairs are enough."""
         new = np.ones(len(e), bool)
-        new[1:] = e["key"][1:] != e["key"][:-1]
+        new[1:] = (e["key"][1:] != e["key"][:-1]) | (e["content"][1:] != e["content"][:-1])
         hub = e[np.maximum.accumulate(np.where(new, np.arange(len(e)), 0))] if len(e) else e
-        other = ~new & (e["doc"] != hub["doc"])
-        return e[new], np.column_stack([e["doc"][other], e["at"][other], hub["doc"][other], hub["at"][other]])
+        other = ~new & (band == 0)
+        return new, np.column_stack([e["doc"][other], e["at"][other], hub["doc"][other], hub["at"][other]])
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -100,46 +113,59 @@ def _candidates(rows: DataFrame, buckets_bits: int) -> DataFrame:
                     continue
                 ids = b.column(0).slice(i, j - i).to_numpy(zero_copy_only=False).astype(np.int64)
                 e = np.empty(len(p.start) * BANDS, entry)
-                e["key"] = p.band_keys().ravel()
+                low = _U(BANDS - 1) << _U(32 - buckets_bits)
+                e["key"] = ((p.band_keys() & ~low) | (np.arange(BANDS, dtype=np.uint64) << _U(32 - buckets_bits))).ravel()
+                e["content"] = np.repeat(p.content_keys(), BANDS)
                 e["doc"] = np.repeat(ids[p.row], BANDS)
                 e["at"] = np.repeat(p.start - p.words.first[p.row], BANDS)
-                e = e[np.lexsort((e["at"], e["doc"], e["key"]))]
-                first, pairs = paired(e)
+                e = e[np.lexsort((e["at"], e["doc"], e["content"], e["key"]))]
+                new, pairs = classes(e, (e["key"] & low) >> _U(32 - buckets_bits))
+                first = e[new]
                 at = np.searchsorted(first["key"], np.arange(n_buckets, dtype=np.uint64) << shift)
                 at = np.append(at, len(first))
                 key = ((first["key"] << _U(buckets_bits)) >> _U(32)).astype(np.uint32)
-                goes = np.unique(pairs, axis=0).tobytes() if len(pairs) else None
+                goes = pairs.tobytes() if len(pairs) else None
                 used = [q for q in range(n_buckets) if at[q] < at[q + 1]]
                 home = int(mix(ids[:1].astype(np.uint64))[0] % _U(len(used)))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(used, pa.int32()),
-                    *(pa.array([x[at[q] : at[q + 1]].tobytes() for q in used], pa.binary()) for x in (key, first["doc"], first["at"].astype(np.int32))),
+                    *(pa.array([x[at[q] : at[q + 1]].tobytes() for q in used], pa.binary()) for x in (key, first["content"], first["doc"], first["at"].astype(np.int32))),
                     pa.array([goes if k == home else None for k in range(len(used))], pa.binary()),
-                ], names=["bucket", "key", "doc", "at", "pairs"])
+                ], names=["bucket", "key", "content", "doc", "at", "pairs"])
 
     def meet(group: pa.Table) -> pa.Table:
         release()
         get = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in group[c].to_pylist()])
-        key, doc, at = get("key", np.uint32), get("doc", np.int64), get("at", np.int32)
+        key, content, doc, at = get("key", np.uint32), get("content", np.uint64), get("doc", np.int64), get("at", np.int32)
         order = np.argsort(key, kind="stable")
         key = key[order]
         again = np.zeros(len(key), bool)
         again[1:] = key[1:] == key[:-1]
         again[:-1] |= again[1:]
-        e = np.empty(int(again.sum()), entry)
-        e["key"], e["doc"], e["at"] = key[again], doc[order[again]], at[order[again]]
-        _, pairs = paired(e[np.lexsort((e["at"], e["doc"], e["key"]))])
-        held = [np.frombuffer(x, np.int64).reshape(-1, 4) for x in group["pairs"].to_pylist() if x is not None]
-        pairs = np.concatenate([pairs, *held])
-        return pa.table({n: np.ascontiguousarray(pairs[:, k]) for k, n in enumerate(("doc", "at", "hub_doc", "hub_at"))})
-
-    packed = rows.mapInArrow(cut, "bucket int, key binary, doc binary, at binary, pairs binary")
-    return packed.groupBy("bucket").applyInArrow(meet, "doc long, at long, hub_doc long, hub_at long").distinct()
+        order = order[again]
+        e = np.empty(len(order), entry)
+        e["key"], e["content"], e["doc"], e["at"] = key[again], content[order], doc[order], at[order]
+        e = e[np.lexsort((e["at"], e["doc"], e["content"], e["key"]))]
+        new, pairs = classes(e, e["key"] & _U(BANDS - 1))
+        pairs = np.concatenate([pairs, *(np.frombuffer(x, np.int64).reshape(-1, 4) for x in group["pairs"].to_pylist() if x is not None)])
+        e = e[new]
+        several = np.zeros(len(e), bool)
+        several[1:] = e["key"][1:] == e["key"][:-1]
+        several[:-1] |= several[1:]
+        e = e[several]
+        band = (_U(group["bucket"][0].as_py()) << _U(32) | e["key"]).astype(np.int64)
+        none = lambda n: pa.nulls(n, pa.int64())
+        links = [*(pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(4)), none(len(pairs))]
+        members = [pa.array(np.ascontiguousarray(e["doc"])), pa.array(np.ascontiguousarray(e["at"])), none(len(e)), none(len(e)), pa.array(band)]
+        return pa.table({n: pa.chunked_array([x, y]) for n, x, y in zip(("doc", "at", "hub_doc", "hub_at", "band"), links, members, strict=True)})
+
+    packed = rows.mapInArrow(cut, "bucket int, key binary, content binary, doc binary, at binary, pairs binary")
+    return packed.groupBy("bucket").applyInArrow(meet, "doc long, at long, hub_doc long, hub_at long, band long")
 
 
 def _contents(rows: DataFrame) -> DataFrame:
-    """(doc, at, begin, end, words, edge, content) of the wanted paragraphs of (doc_id, text, starts) rows:
-    byte offsets, number of words, and the 32-bit hash of each word."""
+    """(doc, at, begin, end, words, edge, content) of the wanted paragraphs of (doc_id, text, starts, compared)
+    rows: byte offsets, number of words, and, of those that are compared, the 32-bit hash of each word."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -149,34 +175,88 @@ def _contents(rows: DataFrame) -> DataFrame:
                 p = Paragraphs(Words(raw, off))
                 ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 place = p.start - p.words.first[p.row]
-                wanted = np.zeros(len(p.start), bool)
+                wanted, compared = np.zeros(len(p.start), bool), np.zeros(len(p.start), bool)
                 lo = np.searchsorted(p.row, np.arange(len(ids) + 1))
-                for r, starts in enumerate(part.column(2)):
+                for r, (starts, some) in enumerate(zip(part.column(2), part.column(3), strict=True)):
                     a, z = lo[r], lo[r + 1]
                     wanted[a:z] = np.isin(place[a:z], starts.values.to_numpy())
+                    compared[a:z] = np.isin(place[a:z], some.values.to_numpy())
                 k = np.flatnonzero(wanted)
                 small = (p.words.hash >> _U(32)).astype(np.uint32)
                 begin = p.words.start[p.start[k]] - off[p.row[k]]
                 end = p.words.end[p.stop[k] - 1] - off[p.row[k]]
-                content = [small[x:y].tobytes() for x, y in zip(p.start[k], p.stop[k], strict=True)]
+                content = [small[x:y].tobytes() if c else None for x, y, c in zip(p.start[k], p.stop[k], compared[k], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[p.row[k]]), pa.array(place[k], pa.int64()), pa.array(begin, pa.int64()), pa.array(end, pa.int64()), pa.array(p.stop[k] - p.start[k], pa.int64()), pa.array(p.edge[k]), pa.array(content, pa.binary())], names=["doc", "at", "begin", "end", "words", "edge", "content"])
 
     return rows.mapInArrow(run, "doc long, at long, begin long, end long, words long, edge boolean, content binary")
 
 
-def similar(x: bytes, y: bytes, percent: int = PERCENT) -> bool:
-    """Exact Jaccard test of the three-word shingles of two paragraphs."""
-    if x == y:
-        return True
-    sets = []
-    for part in (x, y):
-        h = np.frombuffer(part, np.uint32).tolist()
-        sets.append({tuple(h[i : i + SHINGLE]) for i in range(max(1, len(h) - SHINGLE + 1))})
-    a, b = sets
+def shingle_set(content: bytes) -> frozenset[tuple[int, ...]]:
+    h = np.frombuffer(content, np.uint32).tolist()
+    return frozenset(tuple(h[i : i + SHINGLE]) for i in range(max(1, len(h) - SHINGLE + 1)))
+
+
+def alike(a: frozenset, b: frozenset, percent: int = PERCENT) -> bool:
+    """Exact Jaccard test of two sets."""
     both = len(a & b)
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def similar(x: bytes, y: bytes, percent: int = PERCENT) -> bool:
+    """Exact Jaccard test of the shingles of two paragraphs."""
+    return x == y or alike(shingle_set(x), shingle_set(y), percent)
+
+
+def linked(sets: list[frozenset], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links between ``sets`` with the components that all pairs of at least ``percent`` similarity would have.
+
+    Few sets are compared pair by pair.  Of many, each is ordered from its rarest shingle on; a similar pair
+    shares one so near the beginning of both that enough can follow (prefix filter), and only such are compared."""
+    root = list(range(len(sets)))
+    out = []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    def try_all(rows: list[int], depth: list[int]) -> None:
+        for k, i in enumerate(rows[:-1]):
+            r, n, d = find(i), len(sets[i]), depth[k]
+            left = 0
+            for j, e in zip(rows[k + 1 :], depth[k + 1 :], strict=True):
+                if find(j) == r:
+                    continue
+                m = len(sets[j])
+                if (100 + percent) * min(n - d, m - e) >= percent * (n + m) and alike(sets[i], sets[j], percent):
+                    root[find(j)] = r
+                    out.append((i, j))
+                else:
+                    left += 1
+            if not left:  # all that follow are in this component
+                break
+
+    if len(sets) <= 12:
+        try_all(list(range(len(sets))), [0] * len(sets))
+        return out
+    often: dict = {}
+    for x in sets:
+        for t in x:
+            often[t] = often.get(t, 0) + 1
+    lists: dict = {}
+    for i, x in enumerate(sets):
+        reach = len(x) - -(-percent * len(x) // 100) + 1
+        for d, t in enumerate(sorted(x, key=lambda t: (often[t], t))[:reach]):
+            if often[t] > 1:
+                lists.setdefault(t, []).append((d, i))
+    for held in lists.values():
+        if len(held) > 1:
+            held.sort()
+            try_all([i for _, i in held], [d for d, _ in held])
+    return out
+
+
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(doc_id, begin, end, n_words, kept_doc_ids): the repeated passages to remove from each document, as
     byte offsets into its UTF-8 text, and the documents in which their paragraphs stay.
@@ -189,21 +269,29 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", per
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = max(6, int(np.ceil(np.log2(max(1, total / 6 / (2 * REACH + 1) * BANDS / BUCKET_KEYS)))))
-    pairs = stage(_candidates(rows, bits), "paragraph-pairs")
-    either = pairs.select(F.explode(F.array(F.struct("doc", "at"), F.struct(F.col("hub_doc").alias("doc"), F.col("hub_at").alias("at")))).alias("p")).select("p.*")
-    wanted = stage(either.groupBy("doc").agg(F.collect_set("at").alias("starts")), "wanted")
-    weight = wanted.agg(F.sum(F.size("starts")), F.count("*")).first()
-    near = rows.join(bounded(wanted, (weight[0] or 0) + weight[1] * 4, 4_000_000), F.col("doc_id") == F.col("doc")).select("doc_id", "text", "starts")
+    found = stage(_candidates(rows, bits), "paragraph-pairs")
+    same, members = found.where("band is null").drop("band"), found.where("band is not null").select("doc", "at", "band")
+    either = found.select(F.explode(F.array(F.struct("doc", "at", (F.col("band").isNotNull()).alias("compared")), F.struct(F.col("hub_doc").alias("doc"), F.col("hub_at").alias("at"), F.lit(False).alias("compared")))).alias("p")).select("p.*").where("doc is not null")
+    wanted = stage(either.groupBy("doc").agg(F.collect_set("at").alias("starts"), F.collect_set(F.when(F.col("compared"), F.col("at"))).alias("compared")), "wanted")
+    weight = wanted.agg(F.sum(F.size("starts") + F.size("compared")), F.count("*")).first()
+    near = rows.join(bounded(wanted, (weight[0] or 0) + weight[1] * 4, 4_000_000), F.col("doc_id") == F.col("doc")).select("doc_id", "text", "starts", "compared")
     content = stage(_contents(near), "paragraphs")
 
-    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = [similar(x, y, percent) for x, y in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
-            yield b.select(["doc", "at", "hub_doc", "hub_at"]).filter(pa.array(ok, pa.bool_()))
-
-    first = pairs.join(content.select("doc", "at", F.col("content").alias("x")), ["doc", "at"])
-    both = first.join(content.select(F.col("doc").alias("hub_doc"), F.col("at").alias("hub_at"), F.col("content").alias("y")), ["hub_doc", "hub_at"]).select("doc", "at", "hub_doc", "hub_at", "x", "y")
-    sure = both.mapInArrow(verify, "doc long, at long, hub_doc long, hub_at long")
+    def verify(group: pa.Table) -> pa.Table:
+        release()
+        band = group["band"].to_numpy()
+        order = np.argsort(band, kind="stable")
+        cuts = np.flatnonzero(np.diff(band[order], prepend=band[order[:1]] - 1, append=band[order[-1:]] + 1))
+        texts, links = group["content"].combine_chunks(), []
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            own = order[a:z]
+            links += [(own[i], own[j]) for i, j in linked([shingle_set(texts[int(k)].as_py()) for k in own], percent)]
+        i, j = np.array(links, np.int64).reshape(-1, 2).T
+        return pa.table({"doc": group["doc"].take(i), "at": group["at"].take(i), "hub_doc": group["doc"].take(j), "hub_at": group["at"].take(j)})
+
+    compared = members.join(content.where("content is not null").select("doc", "at", "content"), ["doc", "at"]).select("band", "doc", "at", "content")
+    close = compared.groupBy(F.pmod(F.xxhash64("band"), F.lit(4 << bits)).alias("bucket")).applyInArrow(verify, "doc long, at long, hub_doc long, hub_at long")
+    sure = same.unionByName(close)
     node = lambda d, a: F.struct(F.col(d).alias("doc"), F.col(a).alias("at"))
     cluster = components(sure.select(node("doc", "at").alias("a"), node("hub_doc", "hub_at").alias("b")))
     removed = cluster.where("node <> root and node.doc <> root.doc").select("node.doc", "node.at", F.col("root.doc").alias("kept"))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,6 +154,62 @@ def test_paragraphs_do_not_depend_on_what_stands_around():
     assert sum(map(len, cut[0] & cut[1])) >= 40
 
 
+def test_repeats_beyond_the_first_of_a_band_are_found(spark):
+    """Many variants of a line come first, which resemble it too little; verbatim repeats of one of them still go."""
+    import pyarrow as pa
+
+    from lodegrain.llm.kernels import Words, buffers
+
+    rng = random.Random(21)
+    docs = []
+    for f in range(6):
+        line = sentence(rng, 60).split()
+        for v in range(60):
+            text = line.copy()
+            for k in range(v % 12, 60, 12):
+                text[k] = f"x{f}v{v}k{k}"
+            docs.append((f * 100 + v, sentence(rng, 30) + " " + " ".join(text) + " " + sentence(rng, 30)))
+        docs.append((f * 100 + 90, sentence(rng, 30) + " " + " ".join(text) + " " + sentence(rng, 30)))
+    cut = {}
+    for r in substring_dedup.repeated_spans(table(spark, docs)).collect():
+        cut.setdefault(r["doc_id"], []).append((r["begin"], r["end"]))
+    seen, repeats, lost = set(), 0, []
+    for i, t in sorted(docs):
+        words = Words(*buffers(pa.array([t])))
+        p = substring_dedup.Paragraphs(words)
+        own = [(t[words.start[x] : words.end[y - 1]], words.start[x]) for x, y, e in zip(p.start, p.stop, p.edge, strict=True) if not e]
+        for content, at in own:
+            if content in seen:
+                repeats += 1
+                if not any(x <= at < y for x, y in cut.get(i, [])):
+                    lost.append((i, content))
+        seen |= {content for content, _ in own}
+    assert repeats > 20 and not lost
+
+
+def test_links_have_the_components_of_all_pairs():
+    rng = random.Random(22)
+    for size in (5, 12, 40, 90):
+        base = [rng.randrange(10**6) for _ in range(60)]
+        texts = []
+        for _ in range(size):
+            w = list(rng.choice(texts)) if texts and rng.random() < 0.5 else base.copy()
+            for _ in range(rng.randrange(1, 3)):
+                w[rng.randrange(len(w))] = rng.randrange(40)
+            texts.append(w[: rng.randrange(56, 61)])
+        sets = [substring_dedup.shingle_set(np.array(w, np.uint32).tobytes()) for w in texts]
+
+        def parts(links):
+            root = list(range(size))
+            for _ in range(size):
+                for a, b in links:
+                    root[a] = root[b] = min(root[a], root[b])
+            return root
+
+        every = [(i, j) for i in range(size) for j in range(i) if substring_dedup.alike(sets[i], sets[j])]
+        assert (every or size == 5) and parts(every) == parts(substring_dedup.linked(sets))
+
+
 def test_cutting():
     assert substring_dedup.cut_spans("é one two three", [(3, 7)]) == "é two three" and substring_dedup.cut_spans("a b", [(2, 3)]) == "a"
 
