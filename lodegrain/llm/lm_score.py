@@ -5,10 +5,11 @@ a count is read back by probing levels until one is missing.  It is built in sli
 one hash range and as long as its entries need (about 10 bits each, 1 % false hits a level), and broadcast in
 parts of a bounded size; with more parts than one each is a pass of its own over the tokens it decides.
 
-The model interpolates bigrams with add-one unigrams.  Bigrams are kept from two occurrences on and after
-histories with at least a millionth of all tokens, of which there can only be 2**20.  Those same head
-tokens have their exact counts broadcast; the exact unigram counts of all other tokens, for the base score,
-meet the documents' tokens in packed bins by hash range.  All counts cover every training document.
+The model interpolates bigrams with add-one unigrams.  Every unigram and every bigram of the training texts is
+entered.  The unigrams have slices of their own, broadcast with each part, as a history's count may be asked for
+in any.  Head tokens, those with at least a millionth of all tokens, of which there can only be 2**20, have their
+exact counts broadcast as a shortcut; the exact unigram counts of all other tokens, for the base score, meet the
+documents' tokens in packed bins by hash range.  All counts cover every training document.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -187,8 +187,8 @@ def unigram_counts(train: DataFrame, bits: int) -> DataFrame:
     return train.mapInArrow(cut, "bucket int, token binary, count binary").groupBy("bucket").applyInArrow(add, "bucket int, token binary, count binary, n_tokens long, n_types long")
 
 
-def _slices(train: DataFrame, unigrams: DataFrame, head, layout: Layout) -> DataFrame:
-    """(slice, data): the filter's slices from all unigrams and the bigrams after head tokens."""
+def _slices(train: DataFrame, unigrams: DataFrame, layout: Layout) -> DataFrame:
+    """(slice, single, data): the filter's slices from all unigrams (``single``) and from all bigrams."""
     schema = "slice int, sub binary, count binary"
 
     def packed(place: np.ndarray, sub: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
@@ -207,7 +207,6 @@ def _slices(train: DataFrame, unigrams: DataFrame, head, layout: Layout) -> Data
                 yield packed(*layout.place(token, unigram_key(token)), count)
 
     def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = head.value[0]
         held: list[list[np.ndarray]] = [[], []]
 
         def flush() -> pa.RecordBatch:
@@ -218,9 +217,7 @@ def _slices(train: DataFrame, unigrams: DataFrame, head, layout: Layout) -> Data
         for b in batches:
             for i, j in pieces(b.column(1)):
                 _, token, history = sequence(Words(*buffers(b.column(1).slice(i, j - i))))
-                at = np.minimum(np.searchsorted(frequent, history), len(frequent) - 1)
-                known = frequent[at] == history
-                place, sub = layout.place(token[known], bigram_key(history[known], token[known]))
+                place, sub = layout.place(token, bigram_key(history, token))
                 code, count = _tally(place.astype(np.uint64) << _U(32) | sub)
                 held[0].append(code)
                 held[1].append(count)
@@ -236,19 +233,13 @@ def _slices(train: DataFrame, unigrams: DataFrame, head, layout: Layout) -> Data
             subs.append(np.frombuffer(s, np.uint32))
             counts.append(np.frombuffer(c, np.uint8 if len(c) * 4 == len(s) else np.uint32).astype(np.int64))
         single = [s == "1" for s in group["kind"].to_pylist()]
-        out_sub, out_count = [], []
-        for kind, least in ((True, 1), (False, 2)):
-            own = [k for k, x in enumerate(single) if x == kind]
-            if own:
-                sub, count = _merged([subs[k] for k in own], [counts[k] for k in own])
-                out_sub.append(sub[count >= least])
-                out_count.append(count[count >= least])
-        data = build_slice(np.concatenate(out_sub), np.concatenate(out_count))
-        return pa.table({"slice": [group["slice"][0].as_py()], "data": [data.tobytes()]}, schema=pa.schema([("slice", pa.int32()), ("data", pa.binary())]))
+        kinds = [x for x in (True, False) if x in single]
+        data = [build_slice(*_merged([s for s, x in zip(subs, single, strict=True) if x == kind], [c for c, x in zip(counts, single, strict=True) if x == kind])).tobytes() for kind in kinds]
+        return pa.table({"slice": [group["slice"][0].as_py()] * len(kinds), "single": kinds, "data": data}, schema=pa.schema([("slice", pa.int32()), ("single", pa.bool_()), ("data", pa.binary())]))
 
     one = unigrams.select("token", "count").mapInArrow(singles, schema).withColumn("kind", F.lit("1"))
     two = train.mapInArrow(pairs, schema).withColumn("kind", F.lit("2"))
-    return one.unionByName(two).groupBy("slice").applyInArrow(build, "slice int, data binary")
+    return one.unionByName(two).groupBy("slice").applyInArrow(build, "slice int, single boolean, data binary")
 
 
 def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -282,8 +273,8 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
     order = np.argsort(token)
     head = spark.sparkContext.broadcast((token[order], count[order]))
     layout = Layout(max(0, _bits_for(2 * n_all, 6) - int(np.log2(SHARDS))))
-    slices = stage(_slices(learn, unigrams, head, layout), "bloom")
-    sizes = slices.select("slice", F.length("data").alias("size"), F.shiftright("slice", layout.slice_bits).alias("shard")).groupBy("shard").agg(F.sum("size").alias("size")).orderBy("shard").collect()
+    slices = stage(_slices(learn, unigrams, layout), "bloom")
+    sizes = slices.where("not single").select("slice", F.length("data").alias("size"), F.shiftright("slice", layout.slice_bits).alias("shard")).groupBy("shard").agg(F.sum("size").alias("size")).orderBy("shard").collect()
     parts: list[list[int]] = [[]]
     held = 0
     for r in sizes:
@@ -292,41 +283,47 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
             held = 0
         parts[-1].append(r["shard"])
         held += r["size"]
+    filtered = lambda df: spark.sparkContext.broadcast(LogBloom({r["slice"]: bytes(r["data"]) for r in df.toLocalIterator()}, layout.slices))
+    unigram_bloom = filtered(slices.where("single"))
     scored = None
     floor = n_all + n_types + 1
     for p, shards in enumerate(parts):
-        mine = slices.where(F.shiftright("slice", layout.slice_bits).isin(shards)) if shards else slices
-        bloom = spark.sparkContext.broadcast(LogBloom({r["slice"]: bytes(r["data"]) for r in mine.toLocalIterator()}, layout.slices))
+        bloom = filtered(slices.where(~F.col("single") & F.shiftright("slice", layout.slice_bits).isin(shards)) if shards else slices.where("not single"))
+        # a token of a shard without bigrams is the first part's
+        holds = np.array([q in shards or (p == 0 and not any(q in x for x in parts)) for q in range(SHARDS)])
 
-        def run(batches: Iterable[pa.RecordBatch], p=p, bloom=bloom) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterable[pa.RecordBatch], p=p, bloom=bloom, holds=holds) -> Iterator[pa.RecordBatch]:
             frequent, exact = head.value
-            task, k = TaskContext.get().partitionId(), 0
+            k = 0
             for b in batches:
+                task = b.column(3)[0].as_py() if b.num_rows else 0
                 for i, j in pieces(b.column(1)):
                     row, token, history = sequence(Words(*buffers(b.column(1).slice(i, j - i))))
                     n = j - i
-                    at = np.minimum(np.searchsorted(frequent, history), len(frequent) - 1)
-                    after = np.where(frequent[at] == history, exact[at], 0)
                     uniq, back = np.unique(token, return_inverse=True)
                     place, sub = layout.place(uniq, unigram_key(uniq))
-                    here = bloom.value.has[place]
-                    one = bloom.value.count(place, sub)[back]
+                    mine = holds[place >> layout.slice_bits][back]
+                    level = unigram_bloom.value.count(place, sub)
+                    one = level[back]
+                    # a history is the text's beginning or a token before it; head tokens have exact counts
+                    at = np.minimum(np.searchsorted(frequent, uniq), len(frequent) - 1)
+                    top = frequent[at] == uniq
+                    as_history = np.where(top, exact[at], level)[back]
+                    after = np.empty(len(token))
+                    after[1:] = as_history[:-1]
+                    after[history == BEGIN] = exact[np.searchsorted(frequent, _U(BEGIN))]
                     two = np.zeros(len(token))
-                    use = np.flatnonzero((after > 0) & here[back])
+                    use = np.flatnonzero((after > 0) & mine)
                     place, sub = layout.place(token[use], bigram_key(history[use], token[use]))
                     code, back2 = np.unique(place.astype(np.uint64) << _U(32) | sub, return_inverse=True)
                     two[use] = bloom.value.count((code >> _U(32)).astype(np.int64), (code & _U(0xFFFFFFFF)).astype(np.uint32))[back2]
                     trust = MIXTURE * after / (after + TRUST)
                     chance = trust * np.minimum(1.0, two / np.maximum(after, 1)) + (1 - trust) * (one + 1) / floor
-                    # a word of a slice that was left empty by the corpus is unseen; the first part takes it
-                    mine = here[back] | (~seen[place_shard(layout, uniq)][back] if p == 0 else False)
                     score = np.bincount(row, np.where(mine, np.log10(chance), 0.0), n)
                     piece, k = task << 24 | k, k + 1
                     if p:
                         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([piece], pa.int64()), *[pa.array([None], pa.binary())] * 3, pa.array([score.tobytes()], pa.binary()), pa.array([None], pa.list_(b.column(0).type))], names=names)
                         continue
-                    at = np.minimum(np.searchsorted(frequent, uniq), len(frequent) - 1)
-                    top = frequent[at] == uniq
                     c = np.where(top, exact[at], 0)[back]
                     base = np.bincount(row, np.where(c > 0, np.log10(c + 1.0), 0.0), n)
                     known = np.bincount(row[c > 0], minlength=n)
@@ -347,9 +344,8 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
                     ], names=names)
 
         names = ["bucket", "piece", "token", "row", "info", "score", "ids"]
-        seen = np.zeros(SHARDS, bool)
-        seen[[s for part in parts for s in part]] = True
-        part = rows.mapInArrow(run, f"bucket int, piece long, token binary, row binary, info binary, score binary, ids array<{kind}>")
+        # the rows' own partition, which is the same in all parts; tasks of a union are numbered on
+        part = rows.withColumn("_part", F.spark_partition_id()).mapInArrow(run, f"bucket int, piece long, token binary, row binary, info binary, score binary, ids array<{kind}>")
         scored = part if scored is None else scored.unionByName(part)
 
     def look(group: pa.Table) -> pa.Table:
@@ -389,7 +385,3 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
 
     replies = asked.unionByName(held_counts).groupBy("bucket").applyInArrow(look, f"piece long, sums binary, info binary, score binary, ids array<{kind}>")
     return replies.groupBy("piece").applyInArrow(gather, f"_key {kind}, is_train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("_key", key)
-
-
-def place_shard(layout: Layout, token: np.ndarray) -> np.ndarray:
-    return layout.place(token, unigram_key(token))[0] >> layout.slice_bits

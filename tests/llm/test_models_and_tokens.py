@@ -85,6 +85,30 @@ def test_parts_of_the_filter_give_the_same_scores(spark, monkeypatch):
     assert whole.keys() == parts.keys() and all(abs(whole[k] - parts[k]) < 1e-6 * abs(whole[k]) + 1e-9 for k in whole)
 
 
+def test_rare_histories_and_single_bigrams_count(spark, monkeypatch):
+    """Scores with a head list that holds next to nothing, and of bigrams seen once, are near those of brute force."""
+    monkeypatch.setattr(lm_score, "HEAD", 4)
+    rng = random.Random(5)
+    words = [f"v{i}" for i in range(300)]
+    rows = [(i, " ".join(f"{w} {w}n{rng.randrange(3)}" for w in rng.choices(words, k=30))) for i in range(200)]
+    rows.append((999, "once only"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two, level = Counter(), Counter(), lambda c: float(lm_score.level_count(lm_score.quantise(np.array([c])))[0])
+    for _, t in rows:
+        seq = tokens(t)
+        one.update(seq)
+        two.update(zip(["", *seq[:-1]], seq, strict=True))
+    floor = sum(one.values()) + len(one) + 1
+    least = max(1, -(-sum(one.values()) // 4))
+    for r in lm_score.score_documents(docs, F.lit(True)).collect():
+        seq, want = tokens(dict(rows)[r["doc_id"]]), 0.0
+        for h, w in zip(["", *seq[:-1]], seq, strict=True):
+            after = len(rows) if h == "" else one[h] if one[h] >= least else level(one[h])
+            trust = lm_score.MIXTURE * after / (after + lm_score.TRUST)
+            want += math.log10(trust * min(1.0, level(two[h, w]) / after) + (1 - trust) * (level(one[w]) + 1) / floor)
+        assert abs(r["score"] - want) < 0.01 * abs(want), r["doc_id"]
+
+
 def test_counts_come_back_by_level():
     rng = np.random.default_rng(1)
     sub = np.unique(rng.integers(0, 2**32, 5000, dtype=np.uint32))
