@@ -8,23 +8,19 @@ of ``documents``; the last returns the encoding's digests.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lodegrain.llm import bpe, decontaminate, language_id, ngram_join, substring_dedup
 from lodegrain.llm.common import table, work_path
 from lodegrain.llm.registry import TOKENIZER
 
-#: Documents whose language is predicted with a lower score are no text in any of the learnt languages.
-LEAST_SCORE = 0.25
-
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter and those in no language that was learnt from the labelled ones."""
     model = language_id.fit(docs)
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = dict(zip(docs.columns, names, strict=True))
-    found = language_id.identify(docs.toDF(*names), model, at["doc_id"], at["text"], keep=tuple(n for n in names if n != at["doc_id"]))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*names).toDF(*docs.columns)
+    found = language_id.identify(docs.toDF(*names), model, at["doc_id"], at["text"], keep=tuple(n for n in names if n != at["doc_id"]), learnt_only=True)
+    return found.where("lang_pred <> 'und'").select(*names).toDF(*docs.columns)
 
 
 def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,9 @@ BITS = 11
 DIM = 1 << BITS
 #: Labelled rows that the machines are fitted on, at most, over all languages.
 SAMPLE_ROWS = 4000
+#: A text whose margins are less than ``PART`` of those that all but ``FEW`` of the fitted texts of its family or
+#: language reach is in none of the learnt languages.
+PART, FEW = 0.5, 0.01
 #: Bytes and rows whose features are held at a time.
 PIECE = (500_000, 512)
 _LETTER = np.zeros(256, bool)
@@ -96,19 +99,35 @@ class Model:
             for a, b in combinations(self.members[f], 2):
                 own = (y == a) | (y == b)
                 self.pairs[a, b] = fit_svm(x[own], sign(y[own] == a))
+        found, _, family, language = self.decide(x)
+        right = found == y
+        usual = lambda m: PART * float(np.quantile(m, FEW)) if len(m) else 0.0
+        self.least_family, self.least_language = (usual(m[right & np.isfinite(m)]) for m in (family, language))
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Languages and scores; a score is the product of the logistic of the family's lead over the next
         and of the winner's smallest margin within it."""
+        return self.decide(x)[:2]
+
+    def learnt(self, family: np.ndarray, language: np.ndarray) -> np.ndarray:
+        """Which texts with these margins are in a learnt language.  A single learnt language has no margins, so
+        all are."""
+        return (family >= self.least_family) & (language >= self.least_language)
+
+    def decide(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As :meth:`predict`, and the best family's margin and the winner's smallest one in its family; a margin
+        is infinite where there is no other to choose."""
         n = len(x)
         sure = lambda m: 1 / (1 + np.exp(-4 * np.clip(m, -30, 30)))
         if len(self.family_weights):
             margins = x @ self.family_weights[:, :-1].T + self.family_weights[:, -1]
             won = margins.argmax(1)
             ranked = np.sort(margins, 1)
+            family = ranked[:, -1]
             score = sure((ranked[:, -1] - ranked[:, -2]) / 2)
         else:
-            won, score = np.zeros(n, int), np.ones(n)
+            won, score, family = np.zeros(n, int), np.ones(n), np.full(n, np.inf)
+        language = np.full(n, np.inf)
         out = np.empty(n, object)
         for k, f in enumerate(self.names):
             at, langs = np.flatnonzero(won == k), self.members[f]
@@ -126,9 +145,9 @@ class Model:
                     least[:, j] = np.minimum(least[:, j], side)
             best = (votes + 1e-6 * np.clip(np.where(np.isinf(least), 0, least), -1e3, 1e3)).argmax(1)
             out[at] = np.array(langs, object)[best]
-            own = least[np.arange(len(at)), best]
+            language[at] = own = least[np.arange(len(at)), best]
             score[at] *= np.where(np.isinf(own), 1.0, sure(own))
-        return out, score
+        return out, score, family, language
 
 
 def fold(key: Column, folds: int) -> Column:
@@ -164,11 +183,12 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     return Model(x[order], [sample["lang"][int(i)].as_py() for i in order], families)
 
 
-def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), learnt_only: bool = False) -> DataFrame:
     """(key, lang_pred, score) and the columns ``keep`` of every row, from its whole text alone.
 
     A text that is null or has no letter is ``und`` with score 0, as is every text without a model (no
-    labelled rows).  Null keys and repeated rows are kept.
+    labelled rows), and with ``learnt_only`` every text that is in none of the learnt languages.  Null keys and
+    repeated rows are kept.
     """
     bound_batches(docs.sparkSession)
     spark = docs.sparkSession
@@ -184,7 +204,9 @@ def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: st
                 ok = part.column(len(names)).to_numpy(zero_copy_only=False)
                 pred, score = np.full(len(ok), "und", object), np.zeros(len(ok))
                 if sent.value is not None and ok.any():
-                    own, s = sent.value.predict(text_features(part.column(len(names) + 1)))
+                    own, s, family, language = sent.value.decide(text_features(part.column(len(names) + 1)))
+                    if learnt_only:
+                        ok = ok & sent.value.learnt(family, language)
                     pred[ok], score[ok] = own[ok], s[ok]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(names))), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
 

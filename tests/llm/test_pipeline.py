@@ -1,5 +1,8 @@
 """The corpus pipeline over the smallest tables: what stages return and that clean documents stay."""
 
+import base64
+import random
+
 import corpus_pipeline as P
 from lodegrain.llm import language_id, registry
 
@@ -34,3 +37,22 @@ def test_languages_not_learnt_go(spark):
     docs = spark.createDataFrame([(i, t, lang, "s", 1) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r["doc_id"] for r in P.by_language(spark, docs, SMALL).collect()}
     assert kept == set(range(60)) and language_id.fit(docs) is not None
+
+
+def test_texts_in_no_learnt_language_go(spark):
+    """Texts of other languages, encoded junk and random letters have letters, but are none of the learnt."""
+    rng = random.Random(3)
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    strange = [
+        "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto",
+        "wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem",
+        "все люди рождаются свободными и равными в своем достоинстве и правах",
+        "人人生而自由在尊严和权利上一律平等",
+        *("".join(rng.choices("abcdefghijklmnopqrstuvwxyz      ", k=400)) for _ in range(20)),
+        *(base64.b64encode(rng.randbytes(300)).decode() for _ in range(20)),
+    ]
+    extra = spark.createDataFrame([(10**6 + i, t, None, "s", len(t)) for i, t in enumerate(strange)], docs.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    kept = {r[0] for r in P.by_language(spark, docs.select(extra.columns).unionByName(extra), SMALL).select("doc_id").collect()}
+    assert sum(i >= 10**6 for i in kept) <= 0.05 * len(strange)
+    prose = [r[0] for r in docs.where("length(text) > 200 and lang is not null").select("doc_id").collect()]
+    assert len(prose) > 50 and sum(i in kept for i in prose) >= 0.98 * len(prose)
