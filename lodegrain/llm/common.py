@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -10,20 +11,30 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: dict[str, str] = {}
+_swept: set[str] = set()
 
-#: Rows of 8 to 32 bytes that may be broadcast: 32 MB at most.  Larger sides are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a table that may be broadcast.  Larger sides are joined by shuffle.
+BROADCAST_BYTES = 32 * 1024 * 1024
 SALTS = 64
 BATCH_BYTES = 8 * 1024 * 1024
 
 
 def work_root(spark: SparkSession) -> str:
-    """The shared folder: ``spark.checkpoint.dir`` of the session, or one of our own where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The application's folder in the shared one, ``spark.checkpoint.dir``, which is removed when the driver ends.
+    Where that is unset, one of our own will do if all runs in one process; on a cluster it is an error."""
+    named, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
     if not named:
-        app = spark.sparkContext.applicationId
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = _own_dir.setdefault(app, "file://" + tempfile.mkdtemp(prefix="lodegrain-"))
-    return named.rstrip("/") + "/lodegrain"
+    root = f"{named.rstrip('/')}/lodegrain/{app}"
+    if root not in _swept:
+        _swept.add(root)
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return root
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -35,7 +46,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     executor costs a re-read, not a recomputation."""
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(spark: SparkSession, *paths: str | None) -> None:
+    """Remove staged tables, by path, that nothing will read any more."""
+    for p in paths:
+        if p:
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -46,9 +67,28 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_BYTES)
 
 
-def bounded(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a side of ``rows`` rows if they are few enough; beyond that leave it to a shuffled join."""
-    return F.broadcast(df) if rows <= most else df
+def bounded_bytes(df: DataFrame, size: int) -> DataFrame:
+    """Broadcast a side of ``size`` bytes if they are few enough; beyond that leave it to a shuffled join."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def bounded(df: DataFrame, rows: int, width: int = 32) -> DataFrame:
+    """The same for ``rows`` rows of ``width`` bytes."""
+    return bounded_bytes(df, rows * width)
+
+
+def row_ids(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame | None]:
+    """``df`` with a column ``doc``, the key as a long where all rows with it have the same text (or none), else a hash
+    of key and text, and the (doc, key) of the latter, None if there are none.  A null key has a null ``doc``."""
+    ids = df.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("_id"))
+    if ids.count().where("count > 1").isEmpty():
+        return df.withColumn("doc", F.col(key).cast("long")), None
+    print_of = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    twice = stage(ids.agg(F.min(print_of).alias("x"), F.max(print_of).alias("y")).where("x <> y").select("_id", F.lit(True).alias("_several")), "repeated-ids")
+    named = df.join(bounded(twice, twice.count()), F.col(key).cast("long") == F.col("_id"), "left")
+    out = named.withColumn("doc", F.when(F.col("_several"), F.xxhash64(F.col(key).cast("long"), F.coalesce(F.col(text).cast("string"), F.lit("")))).otherwise(F.col(key).cast("long")))
+    names = out.where("_several").select("doc", F.col(key).cast("long").alias(key)).distinct()
+    return out.drop("_id", "_several"), stage(names, "row-ids")
 
 
 def salt_of(*columns: str | Column, salts: int = SALTS) -> Column:
@@ -82,9 +122,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         star = attach_min(both, ["a"], "b", "m").select("a", "b", F.least("a", "m").alias("m")).where("b > a")
         large = stage(star.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "star")
+        discard(spark, now._staged_at)
         star = attach_min(large, ["a"], "b", "m")
         small = star.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         now = stage(small, "links")
+        discard(spark, large._staged_at)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.countDistinct("a")).first()
         if tuple(seen) == before and seen[0] == seen[2]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

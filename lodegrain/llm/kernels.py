@@ -157,6 +157,23 @@ def release() -> None:
         trim(0)
 
 
+def narrow(x: np.ndarray) -> bytes:
+    """Integers as their least and the differences from it, in as few bytes as hold them."""
+    if not len(x):
+        return b""
+    x = x.astype(np.int64)
+    gap = x.view(np.uint64) - x.min().view(np.uint64)
+    size = next(s for s in (1, 2, 4, 8) if s == 8 or int(gap.max()) < 1 << 8 * s)
+    return bytes([size]) + x.min().tobytes() + gap.astype(f"<u{size}").tobytes()
+
+
+def widen(data: bytes) -> np.ndarray:
+    """The 64-bit integers of :func:`narrow`."""
+    if not data:
+        return np.zeros(0, np.int64)
+    return (np.frombuffer(data, f"<u{data[0]}", offset=9).astype(np.uint64) + np.frombuffer(data, np.uint64, 1, 1)).view(np.int64)
+
+
 TOKEN_BITS = 52
 PIECE_ROWS = 1 << (64 - TOKEN_BITS)
 _TOKEN = _U((1 << TOKEN_BITS) - 1)

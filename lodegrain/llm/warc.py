@@ -88,7 +88,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     revisits = find_revisits(pages)
     rows = revisits.count()
-    side = bounded(revisits.withColumnRenamed("page_id", "_id").withColumnRenamed("digest", "_digest"), rows, 200_000)
+    side = bounded(revisits.withColumnRenamed("page_id", "_id").withColumnRenamed("digest", "_digest"), rows, 160)
     hashed = pages.withColumn("digest", F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256))
     full = hashed.join(side, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left").select("page_id", "url", "html", "digest", "refers_to")
 
