@@ -25,7 +25,8 @@ from tokenizers import Tokenizer
 
 from .common import bound_batches
 
-CACHE_WORDS = 500_000
+#: Bytes that a worker's cache of words may take, and about what an entry takes besides its word and tokens.
+CACHE_BYTES, ENTRY_BYTES = 24 * 1024 * 1024, 200
 _TOKEN_BITS = 20
 _TOKEN, _NONE = (1 << _TOKEN_BITS) - 1, 1 << 62
 CHUNK = 1 << 18
@@ -116,6 +117,7 @@ class Transducer:
         self.lookahead = sufficient_lookahead(merges, made, length, text, heads)
         self.length = length
         self.words: dict[str, bytes] = {}
+        self.held = 0
 
     def merge(self, ids: list[int]) -> list[int]:
         """Apply the merges to a short run of symbols: lowest rank first, left to right."""
@@ -186,8 +188,10 @@ class Transducer:
         else:
             found = b"".join(np.array(r, dtype="<u4").tobytes() for r in self.stream_word(data))
         if len(data) <= 64:
-            if len(self.words) >= CACHE_WORDS:
+            self.held += ENTRY_BYTES + 2 * len(word) + len(found)
+            if self.held > CACHE_BYTES:
                 self.words.clear()
+                self.held = 0
             self.words[word] = found
         return found
 

@@ -57,24 +57,23 @@ def _powers(n: int, base: int) -> np.ndarray:
     return np.multiply.accumulate(p)
 
 
-_TABLE = 1 << 21
+_STEP = 1 << 12
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=8)
 def _table(base: int) -> np.ndarray:
-    return _powers(_TABLE, base)
+    return _powers(_STEP - 1, base)
 
 
 def _powers_to(n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1); pieces are seldom longer than the table."""
-    return _table(int(_BASE))[:n] if n <= _TABLE else _powers(n - 1, int(_BASE))
+    """base ** 0 .. base ** (n - 1), from the powers below and above a step."""
+    base = int(_BASE)
+    return (_powers(n // _STEP, pow(base, _STEP, 2**64))[:, None] * _table(base)).ravel()[:n]
 
 
 def _inverse_at(place: np.ndarray) -> np.ndarray:
-    small = _table(_inverse)
-    if not len(place) or place[-1] <= _TABLE:
-        return small[place]
-    return small[place % _TABLE] * _powers(int(place[-1]) // _TABLE, pow(_inverse, _TABLE, 2**64))[place // _TABLE]
+    high = _powers(int(place[-1]) // _STEP, pow(_inverse, _STEP, 2**64)) if len(place) else np.ones(1, np.uint64)
+    return _table(_inverse)[place % _STEP] * high[place // _STEP]
 
 
 class Words:
