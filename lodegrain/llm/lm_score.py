@@ -2,12 +2,12 @@
 
 The filter holds no counts as such: an n-gram seen c times is entered once for each level 1 .. 1 + log2(c), and
 a count is read back by probing levels until one is missing.  It is built in slices, each from the n-grams of
-one hash range and as long as its entries need (about 10 bits each, 1 % false hits a level), and broadcast in
-parts of a bounded size; with more parts than one each is a pass of its own over the tokens it decides.
+one hash range and as long as its entries need (about 10 bits each, 1 % false hits a level).  A filter of at most
+PART_BYTES is broadcast.  A larger one stays in its slices: the probes of a piece of documents travel to them, packed
+by slice, and the levels travel back to the piece, so there is one pass over the documents at any size.
 
 The model interpolates bigrams with add-one unigrams.  Every unigram and every bigram of the training texts is
-entered.  The unigrams have slices of their own, broadcast with each part, as a history's count may be asked for
-in any.  Head tokens, those with at least a millionth of all tokens, of which there can only be 2**20, have their
+entered.  Head tokens, those with at least a millionth of all tokens, of which there can only be 2**20, have their
 exact counts broadcast as a shortcut; the exact unigram counts of all other tokens, for the base score, meet the
 documents' tokens in packed bins by hash range.  All counts cover every training document.
 """
@@ -28,7 +28,6 @@ from .kernels import Words, buffers, mix, pieces, release
 HEAD = 1 << 20
 PART_BYTES = 128 * 1024 * 1024
 BITS_PER_ENTRY, PROBES = 10, 7
-SHARDS = 16
 BUCKET_KEYS = 1 << 20
 MIXTURE, TRUST = 0.25, 100.0
 LOCAL_KEYS = 2_000_000
@@ -72,16 +71,20 @@ def level_count(level: np.ndarray) -> np.ndarray:
 
 
 class Layout:
-    """Where a key lives: a shard by the predicted token, a slice within it by the key."""
+    """Where a key lives: a slice by its first bits."""
 
-    def __init__(self, slice_bits: int):
-        self.slice_bits = slice_bits
-        self.slices = SHARDS << slice_bits
+    def __init__(self, bits: int):
+        self.bits, self.slices = bits, 1 << bits
 
-    def place(self, token: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        shard = mix(token ^ _TWO) >> _U(64 - int(np.log2(SHARDS)))
-        own = (key >> _U(32)) >> _U(32 - self.slice_bits) if self.slice_bits else np.zeros(len(key), np.uint64)
-        return (shard << _U(self.slice_bits) | own).astype(np.int64), (key & _U(0xFFFFFFFF)).astype(np.uint32)
+    def place(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = key >> _U(64 - self.bits) if self.bits else np.zeros(len(key), np.uint64)
+        return own.astype(np.int64), (key & _U(0xFFFFFFFF)).astype(np.uint32)
+
+    def codes(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(slice, key within it) of the distinct keys in order, and where each key is among them."""
+        place, sub = self.place(key)
+        code, back = np.unique(place.astype(np.uint64) << _U(32) | sub, return_inverse=True)
+        return (code >> _U(32)).astype(np.int64), (code & _U(0xFFFFFFFF)).astype(np.uint32), back
 
 
 def _positions(sub: np.ndarray, level: int | np.ndarray, bits: np.ndarray) -> Iterator[np.ndarray]:
@@ -106,7 +109,7 @@ def build_slice(sub: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 class LogBloom:
-    """A part of the filter: some slices, one after another."""
+    """Some slices of the filter, one after another."""
 
     def __init__(self, slices: dict[int, bytes], n_slices: int):
         size = np.zeros(n_slices + 1, np.int64)
@@ -117,8 +120,8 @@ class LogBloom:
         self.has[list(slices)] = True
         self.data = np.frombuffer(b"".join(slices[q] for q in sorted(slices)), np.uint8)
 
-    def count(self, place: np.ndarray, sub: np.ndarray) -> np.ndarray:
-        """Middle of the level of each n-gram, by probing levels until one is missing."""
+    def level(self, place: np.ndarray, sub: np.ndarray) -> np.ndarray:
+        """Level of each n-gram, by probing levels until one is missing."""
         level = np.zeros(len(sub), np.int64)
         begin = self.begin[place].astype(np.uint64)
         bits = ((self.begin[place + 1] - self.begin[place]) * 8).astype(np.uint64)
@@ -131,7 +134,7 @@ class LogBloom:
                 hit &= (self.data[begin[live] + (p >> _U(3))] >> (p & _U(7)).astype(np.uint8)) & 1 == 1
             live = live[hit]
             level[live] = j
-        return level_count(level)
+        return level
 
 
 def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -204,7 +207,7 @@ def _slices(train: DataFrame, unigrams: DataFrame, layout: Layout) -> DataFrame:
         for b in batches:
             for t, c in zip(b.column(0), b.column(1), strict=True):
                 token, count = np.frombuffer(t.as_buffer(), _U), np.frombuffer(c.as_buffer(), np.int64)
-                yield packed(*layout.place(token, unigram_key(token)), count)
+                yield packed(*layout.place(unigram_key(token)), count)
 
     def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[], []]
@@ -217,7 +220,7 @@ def _slices(train: DataFrame, unigrams: DataFrame, layout: Layout) -> DataFrame:
         for b in batches:
             for i, j in pieces(b.column(1)):
                 _, token, history = sequence(Words(*buffers(b.column(1).slice(i, j - i))))
-                place, sub = layout.place(token, bigram_key(history, token))
+                place, sub = layout.place(bigram_key(history, token))
                 code, count = _tally(place.astype(np.uint64) << _U(32) | sub)
                 held[0].append(code)
                 held[1].append(count)
@@ -242,6 +245,40 @@ def _slices(train: DataFrame, unigrams: DataFrame, layout: Layout) -> DataFrame:
     return one.unionByName(two).groupBy("slice").applyInArrow(build, "slice int, single boolean, data binary")
 
 
+class Asked:
+    """The tokens of a piece of texts, and the distinct n-grams whose counts they need."""
+
+    def __init__(self, texts: pa.Array, layout: Layout):
+        words = Words(*buffers(texts))
+        self.n = len(words.count)
+        self.row, self.token, self.history = sequence(words)
+        self.single = layout.codes(unigram_key(self.token))
+        self.pair = layout.codes(bigram_key(self.history, self.token))
+
+    def scores(self, single: np.ndarray, pair: np.ndarray, head: tuple[np.ndarray, np.ndarray], floor: int) -> np.ndarray:
+        """log10 probability of each text from the levels of the distinct unigrams and bigrams."""
+        one, two = level_count(single)[self.single[2]], level_count(pair)[self.pair[2]]
+        exact, known = exact_counts(self.token, head)
+        # a history is the text's beginning or a token before it; head tokens have exact counts
+        after = np.empty(len(one))
+        after[1:] = np.where(known, exact, one)[:-1]
+        first = self.history == _U(BEGIN)
+        after[first] = exact_counts(self.history[first], head)[0]
+        trust = MIXTURE * after / (after + TRUST)
+        chance = trust * np.minimum(1.0, two / np.maximum(after, 1)) + (1 - trust) * (one + 1) / floor
+        return np.bincount(self.row, np.log10(chance), self.n)
+
+
+def exact_counts(token: np.ndarray, head: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of head tokens, and which are such; the others have 0."""
+    at = np.minimum(np.searchsorted(head[0], token), len(head[0]) - 1)
+    known = head[0][at] == token
+    return np.where(known, head[1][at], 0), known
+
+
+_EXACT, _SINGLE, _PAIR = 0, 1 << 40, 2 << 40
+
+
 def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, is_train, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
@@ -272,116 +309,106 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
     count = np.append(top["count"].to_numpy(), size[0])
     order = np.argsort(token)
     head = spark.sparkContext.broadcast((token[order], count[order]))
-    layout = Layout(max(0, _bits_for(2 * n_all, 6) - int(np.log2(SHARDS))))
+    layout = Layout(_bits_for(2 * n_all, 6))
     slices = stage(_slices(learn, unigrams, layout), "bloom")
-    sizes = slices.where("not single").select("slice", F.length("data").alias("size"), F.shiftright("slice", layout.slice_bits).alias("shard")).groupBy("shard").agg(F.sum("size").alias("size")).orderBy("shard").collect()
-    parts: list[list[int]] = [[]]
-    held = 0
-    for r in sizes:
-        if held and held + r["size"] > PART_BYTES:
-            parts.append([])
-            held = 0
-        parts[-1].append(r["shard"])
-        held += r["size"]
-    filtered = lambda df: spark.sparkContext.broadcast(LogBloom({r["slice"]: bytes(r["data"]) for r in df.toLocalIterator()}, layout.slices))
-    unigram_bloom = filtered(slices.where("single"))
-    scored = None
+    held = slices.agg(F.sum(F.length("data"))).first()[0] or 0
+    whole = None
+    if held <= PART_BYTES:
+        filtered = lambda kind: LogBloom({r["slice"]: bytes(r["data"]) for r in slices.where(F.col("single") == kind).toLocalIterator()}, layout.slices)
+        whole = spark.sparkContext.broadcast((filtered(True), filtered(False)))
     floor = n_all + n_types + 1
-    for p, shards in enumerate(parts):
-        bloom = filtered(slices.where(~F.col("single") & F.shiftright("slice", layout.slice_bits).isin(shards)) if shards else slices.where("not single"))
-        # a token of a shard without bigrams is the first part's
-        holds = np.array([q in shards or (p == 0 and not any(q in x for x in parts)) for q in range(SHARDS)])
-
-        def run(batches: Iterable[pa.RecordBatch], p=p, bloom=bloom, holds=holds) -> Iterator[pa.RecordBatch]:
-            frequent, exact = head.value
-            k = 0
-            for b in batches:
-                task = b.column(3)[0].as_py() if b.num_rows else 0
-                for i, j in pieces(b.column(1)):
-                    row, token, history = sequence(Words(*buffers(b.column(1).slice(i, j - i))))
-                    n = j - i
-                    uniq, back = np.unique(token, return_inverse=True)
-                    place, sub = layout.place(uniq, unigram_key(uniq))
-                    mine = holds[place >> layout.slice_bits][back]
-                    level = unigram_bloom.value.count(place, sub)
-                    one = level[back]
-                    # a history is the text's beginning or a token before it; head tokens have exact counts
-                    at = np.minimum(np.searchsorted(frequent, uniq), len(frequent) - 1)
-                    top = frequent[at] == uniq
-                    as_history = np.where(top, exact[at], level)[back]
-                    after = np.empty(len(token))
-                    after[1:] = as_history[:-1]
-                    after[history == BEGIN] = exact[np.searchsorted(frequent, _U(BEGIN))]
-                    two = np.zeros(len(token))
-                    use = np.flatnonzero((after > 0) & mine)
-                    place, sub = layout.place(token[use], bigram_key(history[use], token[use]))
-                    code, back2 = np.unique(place.astype(np.uint64) << _U(32) | sub, return_inverse=True)
-                    two[use] = bloom.value.count((code >> _U(32)).astype(np.int64), (code & _U(0xFFFFFFFF)).astype(np.uint32))[back2]
-                    trust = MIXTURE * after / (after + TRUST)
-                    chance = trust * np.minimum(1.0, two / np.maximum(after, 1)) + (1 - trust) * (one + 1) / floor
-                    score = np.bincount(row, np.where(mine, np.log10(chance), 0.0), n)
-                    piece, k = task << 24 | k, k + 1
-                    if p:
-                        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([piece], pa.int64()), *[pa.array([None], pa.binary())] * 3, pa.array([score.tobytes()], pa.binary()), pa.array([None], pa.list_(b.column(0).type))], names=names)
-                        continue
-                    c = np.where(top, exact[at], 0)[back]
-                    base = np.bincount(row, np.where(c > 0, np.log10(c + 1.0), 0.0), n)
-                    known = np.bincount(row[c > 0], minlength=n)
-                    held = b.column(2).slice(i, j - i).to_numpy(zero_copy_only=False)
-                    info = np.concatenate([base, known.astype(np.float64), np.bincount(row, minlength=n).astype(np.float64), held.astype(np.float64)])
-                    rare = np.flatnonzero(c == 0)
-                    order = rare[np.argsort(token[rare], kind="stable")]
-                    cuts = np.append(np.searchsorted(token[order], np.arange(1 << bits, dtype=np.uint64) << _U(64 - bits)), len(order))
-                    used = [q for q in range(1 << bits) if cuts[q] < cuts[q + 1] or q == piece % (1 << bits)]
-                    own = [q == piece % (1 << bits) for q in used]
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(used, pa.int32()), pa.array([piece] * len(used), pa.int64()),
-                        pa.array([token[order[cuts[q] : cuts[q + 1]]].tobytes() for q in used], pa.binary()),
-                        pa.array([row[order[cuts[q] : cuts[q + 1]]].astype(np.uint16).tobytes() for q in used], pa.binary()),
-                        pa.array([info.tobytes() if x else None for x in own], pa.binary()),
-                        pa.array([score.tobytes() if x else None for x in own], pa.binary()),
-                        pa.array([b.column(0).slice(i, j - i).to_pylist() if x else None for x in own], pa.list_(b.column(0).type)),
-                    ], names=names)
-
-        names = ["bucket", "piece", "token", "row", "info", "score", "ids"]
-        # the rows' own partition, which is the same in all parts; tasks of a union are numbered on
-        part = rows.withColumn("_part", F.spark_partition_id()).mapInArrow(run, f"bucket int, piece long, token binary, row binary, info binary, score binary, ids array<{kind}>")
-        scored = part if scored is None else scored.unionByName(part)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of a piece, by what they ask: exact counts of its rare tokens and, of a filter that is not here,
+        levels; one of them, any, carries the piece's sums so far."""
+        k = 0
+        for b in batches:
+            part = b.column(3)[0].as_py() if b.num_rows else 0
+            for i, j in pieces(b.column(1)):
+                texts, ids = b.column(1).slice(i, j - i), b.column(0).slice(i, j - i)
+                a = Asked(texts, layout)
+                piece, k = part << 24 | k, k + 1
+                exact, known = exact_counts(a.token, head.value)
+                train = b.column(2).slice(i, j - i).to_numpy(zero_copy_only=False)
+                info = np.concatenate([np.bincount(a.row, np.log10(exact + 1.0), a.n), np.bincount(a.row[known], minlength=a.n), np.bincount(a.row, minlength=a.n), train]).astype(np.float64)
+                score = a.scores(whole.value[0].level(*a.single[:2]), whole.value[1].level(*a.pair[:2]), head.value, floor).tobytes() if whole else None
+                rare = np.flatnonzero(~known)
+                order = rare[np.argsort(a.token[rare], kind="stable")]
+                cuts = np.append(np.searchsorted(a.token[order], np.arange(1 << bits, dtype=np.uint64) << _U(64 - bits)), len(order))
+                home = int(mix(np.array([piece], np.uint64))[0] & _U((1 << bits) - 1))
+                used = [q for q in range(1 << bits) if cuts[q] < cuts[q + 1] or q == home]
+                group = [_EXACT | q for q in used]
+                asks = [a.token[order[cuts[q] : cuts[q + 1]]].tobytes() for q in used]
+                at = [a.row[order[cuts[q] : cuts[q + 1]]].astype(np.uint16).tobytes() for q in used]
+                own = [q == home for q in used]
+                for base, (place, sub, _) in () if whole else ((_SINGLE, a.single), (_PAIR, a.pair)):
+                    first = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else np.zeros(0, np.int64)
+                    for x, y in zip(first, np.append(first[1:], len(place)), strict=True):
+                        group.append(base | int(place[x]))
+                        asks.append(sub[x:y].tobytes())
+                        at.append(None)
+                        own.append(False)
+                mine = lambda x, t: pa.array([x if o else None for o in own], t)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(group, pa.int64()), pa.array([piece] * len(group), pa.int64()), pa.array(asks, pa.binary()), pa.array(at, pa.binary()),
+                    mine(info.tobytes(), pa.binary()), mine(score, pa.binary()), mine(ids.to_pylist(), pa.list_(b.column(0).type)), mine(None if whole else texts.to_pylist(), pa.list_(pa.string())),
+                ], names=names)
+
+    names = ["group", "piece", "asks", "row", "info", "score", "ids", "texts"]
+    extra = f"info binary, score binary, ids array<{kind}>, texts array<string>"
+    asked = rows.withColumn("_part", F.spark_partition_id()).mapInArrow(run, f"group long, piece long, asks binary, row binary, {extra}")
 
     def look(group: pa.Table) -> pa.Table:
         release()
+        base = group["group"][0].as_py() & (_SINGLE | _PAIR)
         table = [(t, c) for t, c in zip(group["known"].to_pylist(), group["count"].to_pylist(), strict=True) if t is not None]
-        known, count = (np.frombuffer(table[0][0], _U), np.frombuffer(table[0][1], np.int64)) if table else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         own = group.filter(pa.compute.is_valid(group["piece"]))
-        sums = []
-        for t, r in zip(own["token"].to_pylist(), own["row"].to_pylist(), strict=True):
-            if t is None or not len(known):
-                sums.append(None)
-                continue
-            t, r = np.frombuffer(t, _U), np.frombuffer(r, np.uint16)
-            at = np.minimum(np.searchsorted(known, t), len(known) - 1)
-            hit = known[at] == t
-            n = int(r.max()) + 1 if len(r) else 0
-            sums.append(np.concatenate([np.bincount(r[hit], np.log10(count[at[hit]] + 1.0), n), np.bincount(r[hit], minlength=n).astype(np.float64)]).tobytes())
-        return pa.table({"piece": own["piece"], "sums": pa.array(sums, pa.binary()), "info": own["info"], "score": own["score"], "ids": own["ids"]})
-
-    asked = scored.select("bucket", "piece", "token", "row", "info", "score", "ids", F.lit(None).cast("binary").alias("known"), F.lit(None).cast("binary").alias("count"))
-    held_counts = unigrams.select("bucket", F.lit(None).cast("long").alias("piece"), F.lit(None).cast("binary").alias("token"), F.lit(None).cast("binary").alias("row"), F.lit(None).cast("binary").alias("info"), F.lit(None).cast("binary").alias("score"), F.lit(None).cast(f"array<{kind}>").alias("ids"), F.col("token").alias("known"), "count")
+        replies = []
+        if base:
+            bloom = LogBloom({0: table[0][0]} if table else {}, 1)
+        elif table:
+            known, count = np.frombuffer(table[0][0], _U), np.frombuffer(table[0][1], np.int64)
+        for t, r in zip(own["asks"].to_pylist(), own["row"].to_pylist(), strict=True):
+            if base:
+                sub = np.frombuffer(t, np.uint32)
+                replies.append(bloom.level(np.zeros(len(sub), np.int64), sub).astype(np.uint8).tobytes())
+            elif not t or not table:
+                replies.append(None)
+            else:
+                t, r = np.frombuffer(t, _U), np.frombuffer(r, np.uint16)
+                at = np.minimum(np.searchsorted(known, t), len(known) - 1)
+                hit = known[at] == t
+                n = int(r.max()) + 1
+                replies.append(np.concatenate([np.bincount(r[hit], np.log10(count[at[hit]] + 1.0), n), np.bincount(r[hit], minlength=n).astype(np.float64)]).tobytes())
+        return pa.table({"piece": own["piece"], "group": own["group"], "reply": pa.array(replies, pa.binary()), "info": own["info"], "score": own["score"], "ids": own["ids"], "texts": own["texts"]})
 
     def gather(group: pa.Table) -> pa.Table:
         release()
-        k = next(i for i, x in enumerate(group["info"].to_pylist()) if x is not None)
+        group = group.sort_by("group")
+        k = next(i for i, x in enumerate(group["info"]) if x.is_valid)
         base, known, n_tokens, is_train = np.frombuffer(group["info"][k].as_py(), np.float64).reshape(4, -1)
-        base, known, score = base.copy(), known.copy(), np.zeros(len(base))
-        for x in group["sums"].to_pylist():
-            if x is not None:
-                a, c = np.frombuffer(x, np.float64).reshape(2, -1)
-                base[: len(a)] += a
+        base, known = base.copy(), known.copy()
+        levels: dict[int, list[np.ndarray]] = {_SINGLE: [], _PAIR: []}
+        for q, x in zip(group["group"].to_pylist(), group["reply"].to_pylist(), strict=True):
+            if q >= _SINGLE:
+                levels[q & (_SINGLE | _PAIR)].append(np.frombuffer(x, np.uint8))
+            elif x is not None:
+                s, c = np.frombuffer(x, np.float64).reshape(2, -1)
+                base[: len(s)] += s
                 known[: len(c)] += c
-        for x in group["score"].to_pylist():
-            if x is not None:
-                score += np.frombuffer(x, np.float64)
+        if levels[_SINGLE]:  # the replies are in order of slice, as the distinct n-grams of the piece are
+            a = Asked(pa.array(group["texts"][k].as_py(), pa.string()), layout)
+            score = a.scores(*(np.concatenate(levels[x]).astype(np.int64) for x in (_SINGLE, _PAIR)), head.value, floor)
+        else:
+            score = np.frombuffer(group["score"][k].as_py(), np.float64)
         return pa.table({"_key": group["ids"][k].values, "is_train": pa.array(is_train > 0), "n_tokens": n_tokens.astype(np.int64), "n_known": known.astype(np.int64), "train_tokens": np.full(len(base), n_all, np.int64), "base_score": base - n_tokens * np.log10(float(floor)), "score": score})
 
-    replies = asked.unionByName(held_counts).groupBy("bucket").applyInArrow(look, f"piece long, sums binary, info binary, score binary, ids array<{kind}>")
+    blank = lambda t, n: F.lit(None).cast(t).alias(n)
+    rest = [blank("long", "piece"), blank("binary", "asks"), blank("binary", "row"), blank("binary", "info"), blank("binary", "score"), blank(f"array<{kind}>", "ids"), blank("array<string>", "texts")]
+    table = unigrams.select(F.col("bucket").cast("long").alias("group"), *rest, F.col("token").alias("known"), "count")
+    if whole is None:
+        own = F.when(F.col("single"), F.lit(_SINGLE)).otherwise(F.lit(_PAIR)) + F.col("slice")
+        table = table.unionByName(slices.where(F.length("data") > 0).select(own.alias("group"), *rest, F.col("data").alias("known"), blank("binary", "count")))
+    replies = asked.withColumn("known", blank("binary", "known")).withColumn("count", blank("binary", "count")).unionByName(table)
+    replies = replies.groupBy("group").applyInArrow(look, f"piece long, group long, reply binary, {extra}")
     return replies.groupBy("piece").applyInArrow(gather, f"_key {kind}, is_train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("_key", key)

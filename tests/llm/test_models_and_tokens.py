@@ -76,13 +76,20 @@ def test_the_model_knows_more_than_the_base(spark):
     assert got[0] > got[1]
 
 
-def test_parts_of_the_filter_give_the_same_scores(spark, monkeypatch):
-    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    run = lambda: {r["doc_id"]: r["score"] for r in lm_score.score_documents(docs, F.col("doc_id") % 2 == 0).collect()}
+def test_a_filter_beyond_the_broadcast_gives_the_same_scores(spark, monkeypatch):
+    """In one slice or many, broadcast whole or asked by slice, with texts of any kind."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(None, "a b"), (10**6, None), (10**6 + 1, ""), (10**6 + 2, "zz " * 30_000)], docs.schema)).repartition(3)
+    run = lambda: {(r["doc_id"], r["n_tokens"]): (r["score"], r["base_score"], r["n_known"]) for r in lm_score.score_documents(docs, F.col("doc_id") % 2 == 0).collect()}
     whole = run()
-    monkeypatch.setattr(lm_score, "PART_BYTES", 40_000)
-    parts = run()
-    assert whole.keys() == parts.keys() and all(abs(whole[k] - parts[k]) < 1e-6 * abs(whole[k]) + 1e-9 for k in whole)
+    monkeypatch.setattr(lm_score, "PART_BYTES", 0)
+    sent = run()
+    monkeypatch.setattr(lm_score, "BUCKET_KEYS", 64)
+    many = run()
+    assert len(whole) == docs.count() and whole.keys() == sent.keys() == many.keys()
+    assert all(abs(x - y) < 1e-9 * abs(x) + 1e-9 for k in whole for x, y in zip(whole[k], sent[k], strict=True))
+    # other slices have other false hits
+    assert all(whole[k][1:] == pytest.approx(many[k][1:]) for k in whole) and sum(x[0] for x in many.values()) == pytest.approx(sum(x[0] for x in whole.values()), rel=0.01)
 
 
 def test_rare_histories_and_single_bigrams_count(spark, monkeypatch):
@@ -114,10 +121,10 @@ def test_counts_come_back_by_level():
     sub = np.unique(rng.integers(0, 2**32, 5000, dtype=np.uint32))
     count = rng.integers(1, 1000, len(sub))
     bloom = lm_score.LogBloom({0: lm_score.build_slice(sub, count).tobytes()}, 1)
-    got, want = bloom.count(np.zeros(len(sub), np.int64), sub), lm_score.level_count(lm_score.quantise(count))
+    got, want = bloom.level(np.zeros(len(sub), np.int64), sub), lm_score.quantise(count)
     assert (got >= want).all() and (got == want).mean() > 0.97
     strange = np.setdiff1d(rng.integers(0, 2**32, 5000, dtype=np.uint32), sub)
-    assert (bloom.count(np.zeros(len(strange), np.int64), strange) > 0).mean() < 0.03
+    assert (bloom.level(np.zeros(len(strange), np.int64), strange) > 0).mean() < 0.03
 
 
 def test_scores_of_odd_tables(spark):
