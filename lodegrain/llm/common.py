@@ -16,7 +16,7 @@ _swept: set[str] = set()
 #: Bytes of a table that may be broadcast.  Larger sides are joined by shuffle.
 BROADCAST_BYTES = 32 * 1024 * 1024
 SALTS = 64
-BATCH_BYTES = 8 * 1024 * 1024
+BATCH_BYTES = 2 * 1024 * 1024
 
 
 def work_root(spark: SparkSession) -> str:
@@ -60,13 +60,20 @@ def discard(spark: SparkSession, *paths: str | None) -> None:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 8 MB, so a Python worker's memory does not grow with the length of rows; a
-    size that the session's own configuration names is left."""
+    """Arrow batches of at most 2 MB, so the memory of a Python worker and of the buffers that feed it does not grow
+    with the length of rows.  This sets the session's configuration; a size that it names itself is left."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.sparkContext.getConf().get(key) is None:
         spark.conf.set(key, BATCH_BYTES)
 
 
+def settle(spark: SparkSession) -> None:
+    """Between the stages of a long run: let the executors' JVMs collect their garbage, so that the heap which the
+    stage before needed goes back to the machine before the next one's Python workers ask for memory."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).selectExpr("java_method('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
+
+
 def bounded_bytes(df: DataFrame, size: int) -> DataFrame:
     """Broadcast a side of ``size`` bytes if they are few enough; beyond that leave it to a shuffled join."""
     return F.broadcast(df) if size <= BROADCAST_BYTES else df

@@ -15,10 +15,11 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, stage, without
+from .common import bound_batches, stage
 
 #: Edits allowed, as a share of an item's normalised length, and the length below which none are.
 EDIT_SHARE = 0.05
@@ -95,8 +96,8 @@ class Matcher:
             self.automaton.make_automaton()
         self.reach = max((len(t) + 2 * k for _, t, k in self.items), default=0)
 
-    def find(self, text: str) -> dict[int, tuple[int, int]]:
-        """Item number: (distance, end) of its best match in a normalised text."""
+    def find(self, text: str, first: bool = False) -> dict[int, tuple[int, int]]:
+        """Item number: (distance, end) of its best match in a normalised text; with ``first``, of any one item."""
         best: dict[int, tuple[int, int]] = {}
         if not self.items or not text:
             return best
@@ -118,9 +119,25 @@ class Matcher:
                 got = myers(item, text[begin:stop], edits, self.peq[i])
                 if got and (i not in best or got[0] < best[i][0]):
                     best[i] = (got[0], begin + got[1])
+                    if first:
+                        return best
         return best
 
 
+def _blocks(benchmark: DataFrame, item_key: str, item_text: str, block_items: int) -> Iterator[Broadcast]:
+    """The items, (ids, normalised text) with equal texts together, in broadcast blocks of about ``block_items``."""
+    spark = benchmark.sparkSession
+    asked = stage(benchmark.select(F.col(item_key).cast("long").alias("id"), F.col(item_text).cast("string").alias("t")).where("t is not null"), "items")
+    blocks = max(1, -(-asked.count() // block_items))
+    for n in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == n) if blocks > 1 else asked
+        groups: dict[str, list[int | None]] = {}
+        for r in block.toLocalIterator():
+            if flat := normalise(r["t"]):
+                groups.setdefault(flat, []).append(r["id"])
+        yield spark.sparkContext.broadcast([(tuple(v), k) for k, v in sorted(groups.items())])
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", share: float = EDIT_SHARE, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """(key, item_id, distance int, match_end long) for each document and benchmark item that occurs in it
     within the item's edit budget; ``match_end`` is a position in the normalised text.
@@ -134,16 +151,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
     kind = docs.schema[key].dataType.simpleString()
     schema = f"_key {kind}, item_id long, distance int, match_end long"
     rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
-    asked = stage(benchmark.select(F.col(item_key).cast("long").alias("id"), F.col(item_text).cast("string").alias("t")).where("t is not null"), "items")
-    blocks = max(1, -(-asked.count() // block_items))
     out = None
-    for n in range(blocks):
-        block = asked.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == n) if blocks > 1 else asked
-        groups: dict[str, list[int | None]] = {}
-        for r in block.toLocalIterator():  # at most about block_items rows
-            if flat := normalise(r["t"]):
-                groups.setdefault(flat, []).append(r["id"])
-        sent = spark.sparkContext.broadcast([(tuple(v), k) for k, v in sorted(groups.items())])
+    for sent in _blocks(benchmark, item_key, item_text, block_items):
 
         def match(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(sent.value, share)
@@ -161,7 +170,22 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
     return out.withColumnRenamed("_key", key)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **more) -> DataFrame:
-    """``docs`` without the rows whose key belongs to a document that holds a benchmark item."""
-    hit = stage(find_contamination(docs, benchmark, key, **more).select(key).distinct(), "contaminated")
-    return without(docs, key, hit, hit.count())
+def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", share: float = EDIT_SHARE, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """``docs`` without the rows whose text holds a benchmark item within its edit budget.
+
+    Each row is judged by its own text, so rows that share a key, or have none, do not fall with one another; null and
+    empty texts stay, and an empty benchmark takes nothing.  All columns are kept as they are."""
+    bound_batches(docs.sparkSession)
+    columns, at = docs.columns, docs.columns.index(text)
+    names = [f"c{i}" for i in range(len(columns))]
+    typed = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
+    kept = docs.toDF(*names)
+    for sent in _blocks(benchmark, item_key, item_text, block_items):
+
+        def clean(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(sent.value, share)
+            for b in batches:
+                yield b.filter(pa.array([not matcher.find(normalise(t.as_py()), first=True) for t in b.column(at)], pa.bool_()))
+
+        kept = kept.mapInArrow(clean, typed)
+    return kept.toDF(*columns)

@@ -111,9 +111,12 @@ def span_hash(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     """Hash of each span low[start:end], a polynomial in an odd base over random byte codes, mixed."""
     if not len(start):
         return np.zeros(0, np.uint64)
-    total = np.zeros(len(low) + 1, np.uint64)
-    np.cumsum(BYTE_CODE[low] * _powers_to(len(low)), out=total[1:])
-    value = (total[end] - total[start]) * _inverse_at(start)
+    total = BYTE_CODE[low]
+    total *= _powers_to(len(low))
+    np.cumsum(total, out=total)
+    value = total[end - 1]
+    value[start > 0] -= total[start[start > 0] - 1]
+    value *= _inverse_at(start)
     return mix(value + (end - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
 

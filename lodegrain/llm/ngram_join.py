@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_min, bound_batches, bounded, components, stage, without
+from .common import attach_min, bound_batches, bounded, components, row_ids, stage, without
 from .kernels import TOKEN_BITS, Words, buffers, distinct_sets, mix, pieces, release, shingles
 
 SIZE, PERCENT = 5, 80
@@ -364,11 +364,20 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     return prints.join(grouped, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", **more) -> DataFrame:
-    """``docs`` with one document of each group of similar ones, that with the smallest doc_id; rows with no
-    words or a null doc_id stay, and of rows that repeat a doc_id with words one stays."""
-    found = stage(similar_documents(docs, key, **more), "similar")
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **more) -> DataFrame:
+    """``docs`` with one document of each group of similar ones, that with the smallest doc_id.
+
+    Rows with no words or a null doc_id stay.  Rows are judged by doc_id and text: different texts under one doc_id are
+    documents of their own, and of rows that repeat a doc_id and its text, which has words, any one stays."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    k, t = names[docs.columns.index(key)], names[docs.columns.index(text)]
+    plain, _ = row_ids(docs.toDF(*names), k, t)
+    found = stage(similar_documents(plain.select("doc", F.col(t).alias("text")), "doc", "text", **more), "similar")
     gone = stage(found.where("component_id <> doc_id").select("doc_id").distinct(), "dropped")
-    kept = without(docs, key, gone, gone.count())
-    twice = found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    return kept if twice.isEmpty() else kept.where(F.col(key).isNull()).unionByName(kept.where(F.col(key).isNotNull()).dropDuplicates([key]))
+    kept = without(plain, "doc", gone, gone.count())
+    twice = stage(found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    if n := twice.count():
+        again = bounded(twice, n)
+        once = kept.join(again, F.col("doc") == F.col("doc_id"), "left_semi").dropDuplicates(["doc"])
+        kept = kept.join(again, F.col("doc") == F.col("doc_id"), "left_anti").unionByName(once)
+    return kept.select(*names).toDF(*docs.columns)

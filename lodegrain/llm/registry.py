@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, language_id, lm_score, ngram_join, sharding, substring_dedup, topk, url_filter, warc
 from .common import table
 
-#: Place of the tokenizer file, the same on every machine.
-TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+#: The tokenizer file, at the same place on every machine.
+TOKENIZER = str(public_tokenizers.path("word_bpe_49k.json"))
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 
 

@@ -20,10 +20,15 @@ TABLE_SIZE = 65537
 
 
 def build_table(names: Sequence[str], size: int = TABLE_SIZE, weights: Sequence[int] | None = None) -> list[int]:
-    """Shard index of each slot.  ``size`` must be prime and at least the number of shards."""
-    if not names or size < len(names) or any(size % p == 0 for p in range(2, int(size**0.5) + 1)):
+    """Shard index of each slot.  ``size`` must be prime and at least the number of shards, names differ, and
+    ``weights``, if given, are as many whole numbers from 0 on, not all 0; a shard of weight 0 gets no slot."""
+    if not names or size < max(2, len(names)) or any(size % p == 0 for p in range(2, int(size**0.5) + 1)):
         raise ValueError("a prime table size of at least the number of shards is needed")
-    weights = list(weights) if weights else [1] * len(names)
+    if len(set(names)) < len(names):
+        raise ValueError("shards need different names")
+    weights = [1] * len(names) if weights is None else list(weights)
+    if len(weights) != len(names) or any(w != int(w) or w < 0 for w in weights) or not any(weights):
+        raise ValueError("a weight from 0 on for each shard, and one above 0, are needed")
     digest = [hashlib.md5(n.encode()).digest() for n in names]
     place = [int.from_bytes(d[:8], "big") % size for d in digest]
     skip = [int.from_bytes(d[8:], "big") % (size - 1) + 1 for d in digest]
@@ -59,5 +64,6 @@ def assign_shards(df: DataFrame, key: str, names: Sequence[str], size: int = TAB
 
 
 def write_shards(df: DataFrame, path: str, key: str, names: Sequence[str], **more) -> None:
-    """Write one folder per shard; rows are dealt evenly over tasks, not one task per shard."""
-    assign_shards(df, key, names, **more).write.partitionBy("shard").parquet(path)
+    """Write one folder per shard.  Rows are rebalanced by shard: a small shard is one task and one file, a large one
+    is split over as many as its size needs, so the number of files follows the data and not tasks times shards."""
+    assign_shards(df, key, names, **more).hint("rebalance", "shard").write.partitionBy("shard").parquet(path)

@@ -77,9 +77,13 @@ class Buckets:
         self.cuts = list(range(0, len(ids), size))
         self.size = size
         self.verified = 0
+        self.at: dict[int, list[int]] = {}
+        for i, v in enumerate(self.ids.tolist()):
+            self.at.setdefault(v, []).append(i)
 
     def search(self, qid: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(scores, ids) of the k best, by falling score, then id."""
+        """(scores, ids) of the k best, by falling score, then id; the query's own row is no candidate."""
+        own = next((int(i) for i in self.at.get(qid, ()) if (self.rows[i] == q).all()), -1)
         qn = float(np.sqrt((q.astype(np.float64) ** 2).sum()))
         qu = q / qn if qn else q.astype(np.float64)
         focus = np.argsort(-np.abs(qu), kind="stable")[:FOCUS]
@@ -103,7 +107,7 @@ class Buckets:
                         fit &= ((near >= low) & (near <= high)).all(1)
                     uid = np.flatnonzero(fit) + a
             pick = np.arange(a, b) if uid is None else uid
-            pick = pick[self.ids[pick] != qid]
+            pick = pick[pick != own]
             if not len(pick):
                 continue
             self.verified += len(pick)
@@ -118,35 +122,39 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, query_block: int =
     """(query_id, rank, vec_id, score) of the ``k`` best candidates of each query by integer inner product,
     ties to the smaller vec_id; both inputs as made by :func:`integer_vectors`.
 
-    A query never meets rows with its own id.  Vectors of another dimension than the query's are no
-    candidates.  Repeated candidate rows count each; repeated query rows count once.  Fewer candidates than
-    ``k`` give fewer rows; empty inputs give none.
+    A query never meets its own row.  Rows that share a vec_id but not the vector are queries and candidates of their
+    own; a query row that is repeated counts once as a query, and its twins are candidates.  Vectors of another
+    dimension than the query's are no candidates.  Repeated candidate rows count each.  Fewer candidates than ``k`` give
+    fewer rows; empty inputs give none.  A score beyond the range of a long is held to its end.
     """
     spark = vectors.sparkSession
-    schema = "query_id long, vec_id long, score long"
-    queries = stage(queries.dropDuplicates(["vec_id"]), "queries")
+    schema = "query_id long, query_no long, vec_id long, score long"
+    queries = stage(queries.dropDuplicates(["vec_id", "v"]).withColumn("no", F.monotonically_increasing_id()), "queries")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     held = stage(vectors.withColumn("_n", norm).repartitionByRange(F.col("_n").desc(), F.col("vec_id")).drop("_n"), "vectors")
     blocks = max(1, -(-queries.count() // query_block))
     found = None
     for i in range(blocks):
         block = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i) if blocks > 1 else queries
-        asked = [(d, ids.tobytes(), rows.tobytes()) for d, ids, rows in _matrices(block.select("vec_id", "v").toArrow().to_batches())]
+        held_block = block.select("no", "v", "vec_id").toArrow()
+        name = dict(zip(held_block["no"].to_pylist(), held_block["vec_id"].to_pylist(), strict=True))
+        asked = [(d, no.tobytes(), np.array([name[int(x)] for x in no], np.int64).tobytes(), rows.tobytes()) for d, no, rows in _matrices(held_block.to_batches())]
         sent = spark.sparkContext.broadcast(asked)  # at most about query_block vectors
 
         def search(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterable[pa.RecordBatch]:
             mine = {d: Buckets(ids, rows) for d, ids, rows in _matrices(batches)}
-            for dim, ids, rows in sent.value:
+            for dim, no, ids, rows in sent.value:
                 if dim not in mine:
                     continue
                 out = []
-                for qid, q in zip(np.frombuffer(ids, np.int64), np.frombuffer(rows, np.int64).reshape(-1, dim) if dim else np.zeros((len(ids) // 8, 0), np.int64), strict=True):
+                wanted = np.frombuffer(rows, np.int64).reshape(-1, dim) if dim else np.zeros((len(ids) // 8, 0), np.int64)
+                for number, qid, q in zip(np.frombuffer(no, np.int64), np.frombuffer(ids, np.int64), wanted, strict=True):
                     score, got = mine[dim].search(int(qid), q, k)
-                    out.append((np.full(len(got), qid), got, score))
+                    out.append((np.full(len(got), qid), np.full(len(got), number), got, score))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names=["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out, strict=True)], names=["query_id", "query_no", "vec_id", "score"])
 
         part = held.mapInArrow(search, schema)
         found = part if found is None else found.unionByName(part)
-    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
+    order = W.partitionBy("query_id", "query_no").orderBy(F.col("score").desc(), F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -6,8 +6,8 @@ each of its host's suffixes that some rule names.  Keys and rules are sorted and
 intervals of prefixes are nested or disjoint, so a stack holds the rules active at a key and its top is
 the longest of that host.  The longest over a url's keys wins.
 
-Urls never move between tasks: each task sorts its own and merges them with the sorted rules.  Rules
-are read in blocks of a fixed size, so a list of any length needs bounded memory.
+Urls never move between tasks: each task sorts its own and merges them with the rules, which are broadcast once,
+sorted.  A list of more than MOST_RULES is refused, so what is broadcast is bounded.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from .common import bound_batches
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-BLOCK_RULES = 100_000
+#: Rules that are broadcast at most, and their characters in all.
+MOST_RULES, MOST_TEXT = 500_000, 32 * 1024 * 1024
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,32 +55,35 @@ def _sweep(keys: list[tuple[str, int]], rules: list[tuple[str, int]], best: list
             best[row] = stack[-1][1]
 
 
-def judge(hosts: Sequence[str], paths: Sequence[str], rules: Sequence[tuple[str, str, str]], block_rules: int = BLOCK_RULES) -> list[int]:
-    """Number of the winning rule of each (host, path), -1 if none fits."""
-    # longest text first, then longest host, then the first given: a strict order of any two rules
-    rank = [(len(h) + len(p), len(h), -i) for i, (_, h, p) in enumerate(rules)]
-    best = [-1] * len(hosts)
-    for begin in range(0, len(rules), block_rules):
-        block = range(begin, min(begin + block_rules, len(rules)))
+class Rules:
+    """(verdict, host, path) rules in order of their keys."""
+
+    def __init__(self, rules: Sequence[tuple[str, str, str]]):
+        self.rules = list(rules)
+        # longest text first, then longest host, then the first given: a strict order of any two rules
+        self.rank = [(len(h) + len(p), len(h), -i) for i, (_, h, p) in enumerate(self.rules)]
         first: dict[str, int] = {}
-        for i in block:
-            key = reverse_host(rules[i][1]) + "\0" + rules[i][2]
-            if key not in first or rank[i] > rank[first[key]]:
+        for i, (_, h, p) in enumerate(self.rules):
+            key = reverse_host(h) + "\0" + p
+            if key not in first or self.rank[i] > self.rank[first[key]]:
                 first[key] = i
-        ordered, named = sorted(first.items()), {reverse_host(rules[i][1]) for i in block}
-        keys = []
+        self.ordered, self.named = sorted(first.items()), {reverse_host(h) for _, h, _ in self.rules}
+
+    def judge(self, hosts: Sequence[str], paths: Sequence[str]) -> list[int]:
+        """Number of the winning rule of each (host, path), -1 if none fits."""
+        best, keys = [-1] * len(hosts), []
         for row, (host, path) in enumerate(zip(hosts, paths, strict=True)):
             at, back = -1, reverse_host(host)
             while True:
                 at = back.find(".", at + 1)
                 level = back if at < 0 else back[:at]
-                if level in named:
+                if level in self.named:
                     keys.append((f"{level}\0{path}", row))
                 if at < 0:
                     break
         keys.sort()
-        _sweep(keys, ordered, best, rank)
-    return best
+        _sweep(keys, self.ordered, best, self.rank)
+        return best
 
 
 def judge_urls(df: DataFrame, key: str, url: str, rules: Sequence[tuple[str, str, str]], default: str = "allow") -> DataFrame:
@@ -91,11 +95,14 @@ def judge_urls(df: DataFrame, key: str, url: str, rules: Sequence[tuple[str, str
     """
     bound_batches(df.sparkSession)
     small = df.select(F.col(key).alias("_key"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    held = list(rules)
+    if len(rules) > MOST_RULES or sum(len(h) + len(p) for _, h, p in rules) > MOST_TEXT:
+        raise ValueError("too many rules to broadcast")
+    sent = df.sparkSession.sparkContext.broadcast(Rules(rules))
 
     def sweep(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        held = sent.value.rules
         for batch in batches:
-            won = judge(batch.column(1).to_pylist(), batch.column(2).to_pylist(), held)
+            won = sent.value.judge(batch.column(1).to_pylist(), batch.column(2).to_pylist())
             names = pa.array([None if i < 0 else held[i][1] + held[i][2] for i in won], pa.string())
             verdicts = pa.array([default if i < 0 else held[i][0] for i in won], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, names, verdicts], names=["_key", "host", "path", "rule", "verdict"])

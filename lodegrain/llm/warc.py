@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import attach_min, bound_batches, bounded, stage, work_path
 
 REVISIT_FROM = 100
-GAP, SPAN, WINDOW = 64 * 1024, 8 * 1024 * 1024, 32 * 1024 * 1024
+GAP, SPAN, WINDOW = 64 * 1024, 8 * 1024 * 1024, 16 * 1024 * 1024
 _DATE = "2024-01-01T00:00:00Z"
 INDEX = "page_id long, file string, offset long, length long, url string, digest string, record_type string"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
@@ -135,7 +135,9 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
     its digest; a revisit has a null payload and the digest and length of the one it refers to."""
     bound_batches(index.sparkSession)
     placed = index.select("file", "offset", "length", "page_id").withColumn("_w", F.floor(F.col("offset") / WINDOW))
-    dealt = placed.repartition("file", "_w").sortWithinPartitions("file", "offset").drop("_w")
+    # as many tasks as the payloads need: the index itself is small, and would be read by one
+    tasks = max(1, -(-(index.agg(F.sum("length")).first()[0] or 0) // WINDOW))
+    dealt = placed.repartition(int(tasks), "file", "_w").sortWithinPartitions("file", "offset").drop("_w")
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_folder(folder)

@@ -48,8 +48,10 @@ def test_tables_are_even_weighted_and_stable():
     assert abs(heavy[0] - 1009 / 2) < 5
     before, after = sharding.build_table(names, 5003), sharding.build_table(names[:-1], 5003)
     assert sum(a != b for a, b in zip(before, after) if a != 19) < 0.15 * 5003
-    with pytest.raises(ValueError):
-        sharding.build_table(names, 5000)
+    assert set(sharding.build_table(names[:3], 101, [0, 1, 2])) == {1, 2}
+    for wrong in ((names, 5000), (names[:1], 1), (names[:2], 101, [0, 0]), (names[:2], 101, [1]), (names[:2], 101, [1, 1, 1]), (names[:2], 101, [1, -1]), (["a", "a"], 101), ([], 101)):
+        with pytest.raises(ValueError):
+            sharding.build_table(*wrong)
 
 
 def test_rows_are_placed(spark):
@@ -65,6 +67,15 @@ def test_rows_are_placed(spark):
     assert spread.select("slot").distinct().count() > 8
 
 
+def test_shards_are_written_in_few_files(spark, tmp_path):
+    df = spark.range(3000).withColumn("k", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id"))).repartition(8)
+    sharding.write_shards(df, str(tmp_path / "out"), "k", ["p", "q", "r"], size=101)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == 3000 and len(list((tmp_path / "out").rglob("*.parquet"))) <= 6
+    want = {(r["id"], r["shard"]) for r in sharding.assign_shards(df, "k", ["p", "q", "r"], 101).collect()}
+    assert {(r["id"], r["shard"]) for r in back.collect()} == want
+
+
 # --- URL rules ------------------------------------------------------------------------------------------
 
 
@@ -73,14 +84,14 @@ def plain(host, path, rules):
     return -max(fit)[2] if fit else -1
 
 
-@pytest.mark.parametrize("block", [3, 100_000])
-def test_the_sweep_is_the_longest_rule(block):
-    rng = random.Random(block)
+@pytest.mark.parametrize("seed", [3, 100_000])
+def test_the_sweep_is_the_longest_rule(seed):
+    rng = random.Random(seed)
     host = lambda: ".".join(rng.choices("abc", k=rng.randrange(1, 5)))
     path = lambda: "/" + "".join(rng.choices("xy/", k=rng.randrange(5)))
     rules = [(rng.choice(["block", "allow"]), host(), path()) for _ in range(60)] + [("block", "", "/")]
     hosts, paths = [host() for _ in range(400)] + [""], [path() for _ in range(400)] + [""]
-    assert url_filter.judge(hosts, paths, rules, block) == [plain(h, p, rules) for h, p in zip(hosts, paths)]
+    assert url_filter.Rules(rules).judge(hosts, paths) == [plain(h, p, rules) for h, p in zip(hosts, paths)]
 
 
 def test_urls(spark):
@@ -89,6 +100,10 @@ def test_urls(spark):
     got = {(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(df, "page_id", "url", url_filter.RULES).collect()}
     assert got == {(1, "www.example.net", "/en/x", "example.net/en/", "allow"), (2, "example.net", "/x", "net/", "block"), (3, "a.example.com", "/de/", "example.com/de/", "block"), (4, "notnet", "/", None, "allow"), (5, "", "", None, "allow"), (6, "", "", None, "allow"), (7, "x.org", "", None, "allow"), (8, "h", "", None, "allow"), (None, "a.net", "", None, "allow")}
     assert url_filter.judge_urls(df.limit(0), "page_id", "url", url_filter.RULES).count() == 0
+    long = spark.createDataFrame([(1, "http://" + "a." * 20_000 + "net/" + "x" * 200_000)], "page_id long, url string")
+    assert url_filter.judge_urls(long, "page_id", "url", url_filter.RULES).first()["verdict"] == "block"
+    with pytest.raises(ValueError):
+        url_filter.judge_urls(df, "page_id", "url", [("block", "a", "/" * 40_000_000)])
 
 
 # --- top-k ----------------------------------------------------------------------------------------------
@@ -109,4 +124,7 @@ def test_top_k_is_brute_force(spark):
             near = sorted((-sum(x * y for x, y in zip(ints[q], c)), i) for i, c in ints.items() if i != q and len(c) == len(ints[q]))
             want |= {(q, k): (i, -s) for k, (s, i) in enumerate(near[:5], 1)}
     assert got == want
+    same = topk.integer_vectors(spark.createDataFrame([(0, [1.0]), (0, [2.0]), (0, [2.0]), (1, [3.0])], "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    rows = [(r["query_id"], r["rank"], r["vec_id"], r["score"] // 65536) for r in topk.top_k(same, same.where("vec_id = 0"), 5).collect()]
+    assert sorted(rows) == [(0, 1, 1, 3), (0, 1, 1, 6), (0, 2, 0, 2), (0, 2, 0, 4), (0, 3, 0, 2), (0, 3, 0, 2)]
     assert topk.top_k(vectors.limit(0), vectors, 5).count() == 0 and topk.top_k(vectors, vectors.limit(0), 5).count() == 0

@@ -56,3 +56,22 @@ def test_texts_in_no_learnt_language_go(spark):
     assert sum(i >= 10**6 for i in kept) <= 0.05 * len(strange)
     prose = [r[0] for r in docs.where("length(text) > 200 and lang is not null").select("doc_id").collect()]
     assert len(prose) > 50 and sum(i in kept for i in prose) >= 0.98 * len(prose)
+
+
+def test_odd_tables_go_through(spark, tmp_path):
+    """Null ids and texts, repeated ids, extra columns with clashing names, and an empty table."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60)
+    odd = [(None, None), (None, "the and of"), (7, ""), (10**7, "x" * 300_000), (10**7, "the words of that text " * 30), (10**7, "the words of that text " * 30)]
+    extra = spark.createDataFrame([(i, t, None, None, None) for i, t in odd], docs.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    docs = docs.select(extra.columns).unionByName(extra).selectExpr("*", "'a' as doc", "1 as c0", "2 as root", "'b' as spans", "3 as token")
+    docs.write.parquet(str(tmp_path / "in"))
+    for start in ("in", "none"):
+        before = spark.read.parquet(str(tmp_path / "in"))
+        before = before if start == "in" else before.limit(0)
+        columns = before.columns
+        for k, (name, step) in enumerate(P.STAGES):
+            path = str(tmp_path / f"{start}-{k}")
+            step(spark, before, SMALL).write.parquet(path)
+            before = spark.read.parquet(path)
+            assert k == len(P.STAGES) - 1 or before.columns == columns, name
+        assert (before.count() == 0) == (start == "none")
