@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodegrain.llm import bpe, decontaminate, language_id, ngram_join, substring_dedup
-from lodegrain.llm.common import table, work_path
+from lodegrain.llm.common import discard, settle, table, work_path
 from lodegrain.llm.registry import TOKENIZER
 
 
@@ -24,18 +24,22 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settle(spark)
     return ngram_join.keep_one(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settle(spark)
     return substring_dedup.remove_repeats(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settle(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settle(spark)
     return bpe.encode_documents(docs, TOKENIZER)
 
 
@@ -52,10 +56,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's result over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's result over ``documents``; what a stage returned goes once the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, step) in enumerate(STAGES):
         path = work_path(spark, f"pipeline-{k}")
         step(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        discard(spark, before)
+        before = path
     return docs
