@@ -186,11 +186,19 @@ def feed_page(url: str, raw: bytes) -> dict | None:
 # --- office files and books -----------------------------------------------------------------------------
 
 
+#: Bytes that an archive may unpack to.
+LARGEST_UNPACKED = 256 * 1024 * 1024
+
+
 def _open(raw: bytes) -> zipfile.ZipFile | None:
+    """An archive, None for other data; one that would unpack to more than LARGEST_UNPACKED is refused."""
     try:
-        return zipfile.ZipFile(io.BytesIO(raw))
+        z = zipfile.ZipFile(io.BytesIO(raw))
     except zipfile.BadZipFile:
         return None
+    if sum(x.file_size for x in z.infolist()) > LARGEST_UNPACKED:
+        raise ValueError("the archive unpacks to too much")
+    return z
 
 
 def _core(z: zipfile.ZipFile) -> dict[str, str]:
@@ -397,24 +405,26 @@ def spreadsheet_page(url: str, raw: bytes) -> dict | None:
 EXTRACTORS: dict[str, Callable[[str, bytes], dict | None]] = {"arxiv": arxiv_page, "github": github_page, "pdf": pdf_page, "docx": docx_page, "spreadsheet": spreadsheet_page, "pptx": pptx_page, "epub": epub_page, "rtf": rtf_page, "rss": feed_page, "markdown": markdown_page, "generic": generic_page}
 
 
-def extract(fetched: DataFrame, *keep: str, extractors: dict[str, Callable[[str, bytes], dict | None]] | None = None) -> DataFrame:
+def extract(fetched: DataFrame, *keep: str, extractors: dict[str, Callable[[str, bytes], dict | None]] | None = None, errors: bool = False) -> DataFrame:
     """Pages (SCHEMA, after the columns ``keep``) of (url, content_type, body) rows; what gives no page is left
-    out, and so is what an extractor fails on."""
+    out, and so is what an extractor fails on, whatever the failure.  With ``errors`` there is a column ``error``, null
+    for pages, and each failure has a row with it and the url."""
     table = EXTRACTORS | (extractors or {})
     kept = "".join(f"{c} {fetched.schema[c].dataType.simpleString()}, " for c in keep)
+    blank = {f.split()[0]: None for f in SCHEMA.split(", ")}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for row in b.to_dict("records"):
                 try:
-                    page = table[row["_by"]](row["_url"], bytes(row["_body"]))
-                except (ValueError, KeyError, StopIteration, ET.ParseError, zipfile.BadZipFile, RecursionError):
-                    page = None
-                if page:
-                    out.append({c: row[c] for c in keep} | page)
+                    page, why = table[row["_by"]](row["_url"], bytes(row["_body"])), None
+                except Exception as e:  # noqa: BLE001  outside data: a damaged file must not end the run
+                    page, why = None, f"{type(e).__name__}: {e}"
+                if page or (why and errors):
+                    out.append({c: row[c] for c in keep} | blank | (page or {"url": row["_url"]}) | ({"error": why} if errors else {}))
             if out:
                 yield pd.DataFrame(out)
 
     rows = fetched.where("url is not null and body is not null").select(*keep, F.col("url").alias("_url"), extractor(F.col("url"), F.col("content_type")).alias("_by"), F.col("body").cast("binary").alias("_body"))
-    return rows.mapInPandas(run, kept + SCHEMA)
+    return rows.mapInPandas(run, kept + SCHEMA + (", error string" if errors else ""))

@@ -44,30 +44,43 @@ class Node:
         return glue.join(out)
 
 
+#: Elements nested deeper than this are taken as siblings, as browsers do; their text stays.
+DEEPEST = 150
+
+
 class _Tree(HTMLParser):
     """A tolerant tree: unknown end tags are ignored, a missing one ends with its parent."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("[document]", {}, None)
+        self.depth = 0
+        self.flat: dict[str, int] = {}  # elements that are open below the deepest level
 
     def handle_starttag(self, tag, attrs):
         if tag in ("p", "li", "tr", "td", "th", "option") and self.at.tag == tag:
-            self.at = self.at.parent
+            self.at, self.depth = self.at.parent, self.depth - 1
         node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(node)
-        if tag not in _VOID:
-            self.at = node
+        if tag in _VOID:
+            return
+        if self.depth >= DEEPEST:
+            self.flat[tag] = self.flat.get(tag, 0) + 1
+        else:
+            self.at, self.depth = node, self.depth + 1
 
     def handle_startendtag(self, tag, attrs):
         self.at.children.append(Node(tag, {k: v or "" for k, v in attrs}, self.at))
 
     def handle_endtag(self, tag):
-        n = self.at
+        if self.flat.get(tag):
+            self.flat[tag] -= 1
+            return
+        n, up = self.at, 0
         while n is not None and n.tag != tag:
-            n = n.parent
+            n, up = n.parent, up + 1
         if n is not None and n.parent is not None:
-            self.at = n.parent
+            self.at, self.depth = n.parent, self.depth - up - 1
 
     def handle_data(self, data):
         self.at.children.append(data)
@@ -109,10 +122,14 @@ def main_content(root: Node) -> Node:
         found = next((n for n in root.walk() if n is not root and _matches(n, selector)), None)
         if found is not None and len(found.text("")) > 100:
             return found
-    best = max((n for n in root.walk() if n.tag in ("div", "section")), key=lambda n: len(n.text("")), default=None)
-    if best is not None and best.text(""):
+    every = list(root.walk())
+    size: dict[int, int] = {}
+    for n in reversed(every):  # children come after their parent, so their sizes are known
+        size[id(n)] = sum(len(c.strip()) if isinstance(c, str) else size[id(c)] for c in n.children)
+    best = max((n for n in every if n.tag in ("div", "section")), key=lambda n: size[id(n)], default=None)
+    if best is not None and size[id(best)]:
         return best
-    return next((n for n in root.walk() if n.tag == "body"), root)
+    return next((n for n in every if n.tag == "body"), root)
 
 
 def _inline(n: Node | str, base: str) -> str:
@@ -215,10 +232,16 @@ def page_links(root: Node, url: str) -> list[str]:
 
 
 def extract_page(url: str, html: str | None) -> dict | None:
-    """Title, markdown, words and links of a page; None with under 50 characters of content."""
+    """Title, markdown, words and links of a page; None with under 50 characters of content, or if it cannot be read."""
     if not html:
         return None
-    root = parse(html)
+    try:
+        return _page(url, parse(html))
+    except (ValueError, RecursionError, AssertionError):  # a declaration or an address that is not well-formed
+        return None
+
+
+def _page(url: str, root: Node) -> dict | None:
     title = page_title(root, url or "")
     for n in list(root.walk()):
         n.children = [c for c in n.children if isinstance(c, str) or c.tag not in NOISE]

@@ -109,3 +109,42 @@ def test_pdf_spans_and_paragraphs(spark):
     assert D.clean_pdf("a broken exam-\nple of\ntext\n\n12\n\nINTRODUCTION\nnext") == "a broken example of text\nINTRODUCTION next"
     df = spark.createDataFrame([(1, p, k, 0, s, b, t) for p, k, s, b, t in spans], "doc_id int, page int, line int, position int, size double, bold boolean, text string")
     assert D.pdf_markdown(df).first()["content"].startswith("## Title")
+
+
+def test_deep_pages_and_damaged_files_do_not_end_a_run(spark):
+    deep = "<html><body>" + "<div>" * 3000 + "<p>" + "words that stay " * 10 + "</p>" + "</div>" * 3000 + "<p>after</p></body></html>"
+    page = H.extract_page("http://a.b/c", deep)
+    assert page["content"].count("words that stay") == 10 and page["word_count"] >= 30
+    assert H.extract_page("http://a.b/c", "<em>" * 5000 + "x" * 80)["content"].strip("*") == "x" * 80
+    good = io.BytesIO()
+    with zipfile.ZipFile(good, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", "<document><body><p><r><t>Some text</t></r></p></body></document>" + " " * 5000)
+    damaged = bytearray(good.getvalue())
+    damaged[60:90] = b"\xff" * 30
+    book = io.BytesIO()
+    with zipfile.ZipFile(book, "w") as z:
+        z.writestr("xl/sharedStrings.xml", "<sst><si><t>a</t></si></sst>")
+        z.writestr("xl/workbook.xml", "<workbook><sheets><sheet name='S'/></sheets></workbook>")
+        z.writestr("xl/worksheets/sheet1.xml", "<worksheet><sheetData><row><c t='s'><v>99</v></c></row></sheetData></worksheet>")
+    rows = [("http://x/a.docx", "", good.getvalue()), ("http://x/b.docx", "", bytes(damaged)), ("http://x/c.xlsx", "", book.getvalue()), ("http://x/d.pdf", "", b"%PDF-1.4 nothing"), ("http://x/e.epub", "", b"PK"), ("http://x/f.pptx", "", None)]
+    df = spark.createDataFrame(rows, "url string, content_type string, body binary")
+    assert {r["url"] for r in D.extract(df).collect()} == {"http://x/a.docx"}
+    seen = {r["url"]: (r["content"], r["error"]) for r in D.extract(df, errors=True).collect()}
+    assert seen["http://x/a.docx"][1] is None and "IndexError" in seen["http://x/c.xlsx"][1] and seen["http://x/b.docx"][1]
+
+
+def test_files_that_cannot_be_parsed_are_cut_as_text(spark):
+    rows = [("a.py", "x = " + "-" * 100_000 + "1\n"), ("b.py", PYTHON), ("c.py", "x = " + "(" * 5000), ("d.json", "[" * 20_000), ("e.html", "<div>" * 5000 + "text that is long enough")]
+    got = {r["file_path"] for r in C.chunk_files(spark.createDataFrame(rows, "file_path string, content string")).select("file_path").distinct().collect()}
+    assert got == {"a.py", "b.py", "c.py", "d.json", "e.html"}
+
+
+def test_declarations_of_brace_languages():
+    def found(language, text):
+        return [(c.kind, c.name) for c in C.chunk_braces(text, C.Options(keep_gaps=False), language)]
+
+    js = "export default class Shop {\n}\nexport async function load() {\n}\nfunction* gen() {\n}\nexport const add = async (a, b) => {\n}\nlet old = function () {\n}\nif (x) {\n}\n"
+    assert found("javascript", js) == [("class", "Shop"), ("function", "load"), ("function", "gen"), ("arrow_function", "add"), ("function", "old")]
+    java = "public final class A {\n  private static final Map<String, int[]> make(int a) {\n  }\n  public A(int b) throws X {\n  }\n  int call(1);\n}\n"
+    assert found("java", java) == [("class", "A"), ("method", "make"), ("constructor", "A")]
+    assert found("go", "func (s *Set) Add(x int) {\n}\nfunc New() *Set {\n}\ntype Set struct {\n}\n") == [("function", "Add"), ("function", "New"), ("type", "Set")]

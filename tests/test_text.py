@@ -66,11 +66,20 @@ def test_paper_ids(spark):
 
 def test_wikitext(spark):
     text = "{{Infobox {{x}} }}== Head ==\n'''bold''' and ''it'' [[Page|text]] [[Other]] [http://a.b c d]<ref name=x/><ref>no</ref>\n* item\n<!-- gone -->"
+    assert one(spark, T.wikitext_to_markdown("t"), t="=== A ===\n==B== c\n=====E=====\n''x'' [https://a.b] [[p|q]]\n\n\n\n==\n* y") == "### A\n## B c\n##### E\n*x*  q\n\n==\n- y"
     assert one(spark, T.wikitext_to_markdown("t"), t=text) == "## Head\n**bold** and *it* text Other c d\n- item"
 
 
 def test_response_issues(spark):
-    known = {"short": "too_short", "no no no no no no this is so": "word_repetition", "A fine answer that says what was asked for, in plain words.": None}
+    plain = " ".join(f"w{i}." for i in range(300))
+    known = {
+        "short": "too_short", "no no no no no no this is so": "word_repetition", "A fine answer that says what was asked for, in plain words.": None,
+        "(yes yes YES, yes) and more of it": None, "he said (yes yes YES yes) and no more.": "word_repetition", "over and over we go; over and over we go; over and over we go; it ends.": "phrase_repetition",
+        "z " * 60_000: "word_repetition", "ab cd ef gh. " * 20_000: "phrase_repetition", plain: None, "aa bb cc bb aa cc aa cc bb bb aa cc cc bb aa.": "high_repetition_ratio",
+        "<think>" + plain + "</think> Yes. It is.": None, "Good. Hmm, hmm that is odd.": "thinking_loop", "Think. Rethink. Wait. Actually. Thinker. Let me be. Hmm.": "excessive_thinking",
+        "It was fine but one two three four.": None, "It was fine but one two three four five.": "excessive_filler", ". ".join(" ".join(f"v{k}x{i}" for i in range(60)) for k in range(3)): "excessive_rambling",
+        "It is {a {b {c in the end}": "broken_json", 'Here: {"a": "1", "b" : "2","c":"3",  "d":"4"}': "json_repetition", '{"a": "1", "b": "2", "c": "3"}': None, "well" + " " * 100_000 + "done, as it seems.": "phrase_repetition",
+    }
     got = spark.createDataFrame([(u,) for u in known], "u string").select("u", T.response_issue("u").alias("x")).collect()
     assert {r["u"]: r["x"] for r in got} == known
 
