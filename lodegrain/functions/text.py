@@ -28,8 +28,11 @@ def code_tokens(text: ColumnOrName) -> Column:
         camel = F.when(F.size(humps) > 1, humps).otherwise(none)
         return F.transform(F.concat(F.array(w), snake, camel), lambda t: F.lower(t))
 
-    # most words have no parts, and are not split
-    return F.flatten(F.transform(words, lambda w: F.when(w.rlike("_|[a-z][A-Z]|[A-Z][A-Z][a-z]"), spread(w)).otherwise(F.array(F.lower(w)))))
+    # most words have no parts, and are not split; a text without such words needs no function per word at all
+    parted = "_|[a-z][A-Z]|[A-Z][A-Z][a-z]"
+    each = F.flatten(F.transform(words, lambda w: F.when(w.rlike(parted), spread(w)).otherwise(F.array(F.lower(w)))))
+    plain = F.array_remove(F.split(F.lower(F.regexp_replace(_col(text), "[^a-zA-Z0-9_]+", " ")), " "), "")
+    return F.when(_col(text).rlike(parted), each).otherwise(plain)
 
 
 def searchable_text(content: ColumnOrName, name: ColumnOrName, chunk_type: ColumnOrName) -> Column:

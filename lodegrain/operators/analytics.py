@@ -24,8 +24,9 @@ def domain_stats(log: DataFrame) -> DataFrame:
     successful ones, extractors by name, and the last five different errors by first sight."""
     log = log.withColumn("domain", T.normalise_domain("domain"))
     first = log.where("not success and error is not null").groupBy("domain", "error").agg(F.min("ts").alias("seen"))
-    errors = first.groupBy("domain").agg(F.transform(F.array_sort(F.collect_list(F.struct("seen", "error"))), lambda x: x["error"]).alias("all"))
-    errors = errors.select("domain", F.when(F.size("all") > 5, F.slice("all", -5, 5)).otherwise(F.col("all")).alias("errors"))
+    late = W.partitionBy("domain").orderBy(F.desc("seen"), F.desc("error"))  # five a domain before any list is made
+    first = first.withColumn("k", F.row_number().over(late)).where("k <= 5")
+    errors = first.groupBy("domain").agg(F.transform(F.array_sort(F.collect_list(F.struct("seen", "error"))), lambda x: x["error"]).alias("errors"))
     ok = F.col("success")
     counted = log.groupBy("domain").agg(F.count("*").alias("total"), F.count_if(ok).alias("success"), F.count_if(~ok).alias("fail"), F.sum(F.when(ok, F.col("word_count")).otherwise(0)).alias("total_words"), F.array_sort(F.collect_set("extractor")).alias("extractors"))
     return counted.join(errors, "domain", "left").withColumn("errors", F.coalesce("errors", F.array().cast("array<string>"))).withColumn("avg_words", F.when(F.col("success") > 0, F.floor(F.col("total_words") / F.col("success"))).otherwise(0))
@@ -125,3 +126,20 @@ def mean_vectors(vectors: DataFrame, by: str, vector: str) -> DataFrame:
     parts = vectors.select(by, F.posexplode(vector).alias("i", "x"))
     mean = parts.groupBy(by, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     return mean.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("mean"))
+
+
+def session_report(rounds: DataFrame, session: str, order: str, seconds: str, tokens: str, confidence: str) -> DataFrame:
+    """Per session: mean seconds of a round (two digits), the confidences in order of the rounds, tokens and rounds."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(confidence).alias("c")))), lambda x: x["c"])
+    return rounds.groupBy(session).agg(F.round(F.avg(seconds), 2).alias("mean_seconds"), ordered.alias("trend"), F.sum(tokens).alias("tokens"), F.count("*").alias("rounds"))
+
+
+def domain_counters(log: DataFrame) -> DataFrame:
+    """(domain, attempts, successes, failures) of a scrape log."""
+    return log.groupBy(T.normalise_domain("domain").alias("domain")).agg(F.count("*").alias("attempts"), F.count_if("success").alias("successes"), F.count_if(~F.col("success")).alias("failures"))
+
+
+def corpus_totals(files: DataFrame) -> DataFrame:
+    """(files, words, tokens) of a corpus, pruned files left out."""
+    live = files.where(~F.col("is_pruned"))
+    return live.agg(F.count("*").alias("files"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodegrain.functions.text import normalise_domain, url_host
 from lodegrain.operators.html import absolute, hrefs
+from lodegrain.sources.workspace import stage
 
 
 def outlinks(pages: DataFrame) -> DataFrame:
@@ -35,9 +36,15 @@ def crawl(pages: DataFrame, seeds: DataFrame, depth: int, max_pages: int | None,
     found = None
     frontier = check_domains(seeds.select("url").distinct(), blacklist).where("allowed").select("url")
     for level in range(depth + 1):
-        fetched = pages.select("url").distinct().join(frontier, "url", "left_semi").select("url", F.lit(level).alias("level"))
+        # each level is written, so the plan of one does not hold those of all before it
+        fetched = stage(pages.select("url").distinct().join(frontier, "url", "left_semi").select("url", F.lit(level).alias("level")), "crawl-level")
         found = fetched if found is None else found.unionByName(fetched)
         if level < depth:
             out = links.join(fetched.select("url"), "url", "left_semi")
             frontier = next_frontier(out, found, blacklist)
     return found if max_pages is None else found.orderBy("level", "url").limit(max_pages)
+
+
+def remaining(attempted: DataFrame, scraped: DataFrame) -> DataFrame:
+    """Distinct (url) that were attempted and not scraped."""
+    return attempted.select("url").distinct().join(scraped.select("url"), "url", "left_anti")

@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodegrain.functions import text as T
+from lodegrain.sources.workspace import BROADCAST_ROWS, bounded, spread, stage
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
@@ -29,12 +30,16 @@ IMPORTANT_PATHS = ("readme", "main.", "index.", "__init__", "config", "setup", "
 
 @dataclass
 class KeywordIndex:
-    """BM25 tables: postings (term, key..., tf), one row per chunk (key..., dl), one per term (term, df, idf)."""
+    """BM25 tables: postings (term, key..., tf, dl), one row per chunk (key..., dl), one per term (term, df, idf).
+
+    An index that was just built has ``tokens`` (key..., tokens, dl) instead of postings that are there already: a
+    batch of queries then groups the tokens it asks for, and no others."""
 
     postings: DataFrame
     chunks: DataFrame
     terms: DataFrame
     key: tuple[str, ...]
+    tokens: DataFrame | None = None
 
     def save(self, path: str, buckets: int = 64) -> None:
         """Postings are written in buckets of their term, so a query reads few of them."""
@@ -46,22 +51,38 @@ class KeywordIndex:
     @classmethod
     def load(cls, spark, path: str, key: Sequence[str]) -> KeywordIndex:
         read = lambda n: spark.read.parquet(f"{path}/{n}")
-        return cls(read("postings").drop("bucket"), read("chunks"), read("terms"), tuple(key))
+        return cls(read("postings"), read("chunks"), read("terms"), tuple(key))
+
+    def hits(self, terms: DataFrame) -> DataFrame:
+        """(term, key..., tf, dl) of the chunks that hold one of the ``terms`` (term), a stated set."""
+        n = terms.count()
+        if self.tokens is not None:
+            found = self.tokens.select(*self.key, "dl", F.explode("tokens").alias("term")).join(bounded(terms, n), "term", "left_semi")
+            return found.groupBy("term", *self.key, "dl").agg(F.count("*").alias("tf"))
+        postings = self.postings
+        if "bucket" in postings.columns:  # a saved index: only the terms' buckets are read
+            if n <= BROADCAST_ROWS:
+                total = int(postings.agg(F.max("bucket")).first()[0] or 0) + 1
+                asked = [r[0] for r in terms.select(F.pmod(F.xxhash64("term"), F.lit(total)).cast("int")).distinct().collect()]  # at most the buckets
+                postings = postings.where(F.col("bucket").isin(asked)) if 64 >= total else postings
+            postings = postings.drop("bucket")
+        return postings.join(bounded(terms, n), "term", "left_semi")
 
 
 def build_keyword_index(chunks: DataFrame, key: Sequence[str], text: Column) -> KeywordIndex:
-    """Index ``text`` of every chunk.  A term that most chunks hold has a negative idf and gets a quarter of
-    the mean idf of all terms instead."""
+    """Index ``text`` of every chunk, tokenized once.  A term that most chunks hold has a negative idf and gets a
+    quarter of the mean idf of all terms instead."""
     key = tuple(key)
-    tokens = chunks.select(*key, T.code_tokens(text).alias("tokens"))
-    postings = tokens.select(*key, F.explode("tokens").alias("term")).groupBy("term", *key).agg(F.count("*").alias("tf"))
-    sizes = tokens.select(*key, F.size("tokens").alias("dl"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    tokens = spread(chunks).select(*key, T.code_tokens(text).alias("tokens")).withColumn("dl", F.size("tokens"))
+    tokens = stage(tokens, "tokens")
+    postings = tokens.select(*key, "dl", F.explode("tokens").alias("term")).groupBy("term", *key, "dl").agg(F.count("*").alias("tf"))
+    sizes = tokens.select(*key, "dl")
+    df = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     n = sizes.agg(F.count("*").alias("n"))
     raw = df.crossJoin(F.broadcast(n)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))
     terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return KeywordIndex(postings, sizes, terms, key)
+    return KeywordIndex(postings, sizes, terms, key, tokens)
 
 
 def bm25(index: KeywordIndex, queries: DataFrame, k: int, query: str = "query") -> DataFrame:
@@ -72,7 +93,7 @@ def bm25(index: KeywordIndex, queries: DataFrame, k: int, query: str = "query")
     """
     asked = queries.select("query_id", F.explode(T.code_tokens(query)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     mean = index.chunks.agg(F.avg("dl").alias("avgdl"))
-    hits = index.postings.join(asked, "term").join(index.terms, "term").join(index.chunks, list(index.key)).crossJoin(F.broadcast(mean))
+    hits = index.hits(asked.select("term").distinct()).join(asked, "term").join(index.terms, "term").crossJoin(F.broadcast(mean))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("query_id", *index.key).agg(F.round(F.sum(part), 9).alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), *index.key)
@@ -183,8 +204,10 @@ def rerank(results: DataFrame, query: str | Column = "query", now: Column | None
     boost = boost * F.when(F.length(trimmed) < 50, 0.9).otherwise(1.0)
     boost = boost * F.when((F.size(lines) >= 3) & F.exists(lines, lambda x: F.length(F.trim(x)) > 10), 1.02).otherwise(1.0)
     boost = F.when(matched, boost).otherwise(F.least(boost, F.lit(1.15)))
-    best = F.max("score").over(W.partitionBy("query_id"))
-    return results.withColumn("_best", best).withColumn("score", F.when(s >= 0.5 * F.col("_best"), s * boost).otherwise(s)).drop("_best")
+    # a query's best by a grouped maximum, not a window: a query of many rows is not gathered in one task
+    best = results.groupBy(F.col("query_id").alias("_query")).agg(F.max("score").alias("_best"))
+    with_best = results.join(best, F.col("query_id").eqNullSafe(F.col("_query")))
+    return with_best.withColumn("score", F.when(s >= 0.5 * F.col("_best"), s * boost).otherwise(s)).drop("_best", "_query")
 
 
 def diversify(results: DataFrame, top_k: int) -> DataFrame:
@@ -254,3 +277,21 @@ def usage_query(identifier: Column) -> Column:
 
 def example_query(topic: Column) -> Column:
     return F.concat(F.lit("example implementation "), topic)
+
+
+def normalised(results: DataFrame) -> DataFrame:
+    """Scores as a share, at most 1, of the query's largest; queries without a positive score keep theirs."""
+    best = results.groupBy(F.col("query_id").alias("_query")).agg(F.max("score").alias("_best"))
+    joined = results.join(best, F.col("query_id").eqNullSafe(F.col("_query")))
+    return joined.withColumn("score", F.when(F.col("_best") > 0, F.least(F.col("score") / F.col("_best"), F.lit(1.0))).otherwise(F.col("score"))).drop("_best", "_query")
+
+
+def holding(results: DataFrame, name: str) -> DataFrame:
+    """Results whose content holds the identifier in column ``name``."""
+    return results.where(F.contains("content", F.col(name)))
+
+
+def without_self(results: DataFrame, snippet: str) -> DataFrame:
+    """Results without those whose content is the snippet itself, blanks around it aside."""
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    return results.where(strip(F.col("content")) != strip(F.col(snippet)))

@@ -24,6 +24,7 @@ from lodegrain.operators import index as I
 from lodegrain.operators import retrieval as R
 from lodegrain.plans.search import Searcher
 from lodegrain.sources import web
+from lodegrain.sources.workspace import spread
 from lodegrain.streaming import events as Z
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,7 +87,7 @@ def _tokens(name: str, key: str, source: str, text: str) -> str:
 
 @query("WITH" + _tokens("t", "doc_id", "documents", "text") + " SELECT doc_id, count(*) AS tokens, count(DISTINCT term) AS terms FROM t GROUP BY doc_id")
 def r2_tokenize_counts(spark: SparkSession, d: str) -> DataFrame:
-    tokens = files(spark, d).select("doc_id", T.code_tokens("content").alias("t")).where("size(t) > 0")
+    tokens = spread(files(spark, d)).select("doc_id", T.code_tokens("content").alias("t")).where("size(t) > 0")
     return tokens.select("doc_id", F.size("t").cast("long").alias("tokens"), F.size(F.array_distinct("t")).cast("long").alias("terms"))
 
 
@@ -313,20 +314,6 @@ def j10_check_domains(spark: SparkSession, d: str) -> DataFrame:
     return S.check_domains(pages, listed).groupBy("domain").agg(F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("blocked"))
 
 
-@query("SELECT DISTINCT url, 0 AS level FROM pages WHERE url IS NOT NULL")
-def s13_crawl_seeds(spark: SparkSession, d: str) -> DataFrame:
-    """A crawl seeded with every page finds each once, at level 0."""
-    pages = table(spark, d, "pages").where("url is not null")
-    empty = pages.select(F.lit("").alias("domain")).where("false")
-    return S.crawl(pages, pages.select("url"), 1, None, empty)
-
-
-@query("""SELECT page_id, CASE WHEN regexp_matches(lower(url), 'youtube\\.com|youtu\\.be') THEN 'youtube' END AS api,
-CASE WHEN regexp_matches(lower(regexp_extract(url, '://[^/?#]*([^?#]*)', 1)), '\\.(rss|atom|feed)$') THEN 'rss' WHEN regexp_matches(lower(regexp_extract(url, '://[^/?#]*([^?#]*)', 1)), '\\.(md|txt)$') THEN 'markdown' ELSE 'generic' END AS by FROM pages""")
-def x16_routes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", web.direct_fetcher(F.col("url")).alias("api"), web.extractor(F.col("url"), F.lit("text/html")).alias("by"))
-
-
 # --- statistics -----------------------------------------------------------------------------------------
 
 
@@ -356,13 +343,6 @@ def a5_domain_stats(spark: SparkSession, d: str) -> DataFrame:
     return A.domain_stats(scrape_log(spark, d)).withColumn("extractors", F.concat_ws(",", "extractors")).withColumn("errors", F.concat_ws(",", "errors"))
 
 
-@query("WITH " + _LOG + ", st AS (SELECT domain, count(*) AS total FROM log WHERE NOT success GROUP BY 1) SELECT domain, 'Auto-blocked: ' || total || ' consecutive failures, 0 successes' AS reason FROM st WHERE total >= 5")
-def a6_auto_blacklist(spark: SparkSession, d: str) -> DataFrame:
-    """Over the failures alone, so every domain with five is blocked."""
-    none = spark.createDataFrame([], "domain string")
-    return A.auto_blacklist(A.domain_stats(scrape_log(spark, d).where("not success")), none, none)
-
-
 @query("WITH " + _LOG + " SELECT domain, round(count(*) FILTER (WHERE success) / count(*), 3) AS success_rate FROM log GROUP BY domain")
 def a8_success_rate(spark: SparkSession, d: str) -> DataFrame:
     rounds = scrape_log(spark, d).select(T.normalise_domain("domain").alias("domain"), F.lit(1).alias("attempts"), F.col("success").cast("int").alias("successes"))
@@ -498,14 +478,6 @@ def n8_corpus_excerpts(spark: SparkSession, d: str) -> DataFrame:
 # --- changes and events ---------------------------------------------------------------------------------
 
 
-@query("""SELECT 'd' || doc_id AS file_path, CASE WHEN n_chars < 200 THEN 'new' WHEN n_chars > 4000 THEN 'removed' WHEN lang = 'de' THEN 'changed' ELSE 'unchanged' END AS status FROM documents""")
-def j11_manifest_diff(spark: SparkSession, d: str) -> DataFrame:
-    """A manifest without the short documents, and with other hashes for the German ones; the long ones are gone."""
-    rows = table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file_path"), F.col("n_chars").alias("size"), F.lit(0).alias("mtime"), "lang")
-    old = rows.where("size >= 200").withColumn("hash", F.when(F.col("lang") == "de", "old").otherwise("same"))
-    return I.manifest_diff(rows.where("size <= 4000").withColumn("hash", F.lit("same")), old)
-
-
 @query("""WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 r AS (SELECT user_id, event_id, ts, k, true AS ok, ts AS last FROM e WHERE k = 1
 UNION ALL SELECT e.user_id, e.event_id, e.ts, e.k, e.ts - r.last >= INTERVAL 3600 SECOND, CASE WHEN e.ts - r.last >= INTERVAL 3600 SECOND THEN e.ts ELSE r.last END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)

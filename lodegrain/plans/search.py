@@ -25,6 +25,15 @@ class Searcher:
     keywords: R.KeywordIndex
     query_vector: Callable[[Column], Column] | None = None
 
+    def save(self, path: str) -> None:
+        """Keep the keyword index, so that later sessions open it and tokenize nothing."""
+        self.keywords.save(path)
+
+    @classmethod
+    def open(cls, chunks: DataFrame, path: str, query_vector: Callable[[Column], Column] | None = None) -> Searcher:
+        """With a keyword index that was saved."""
+        return cls(chunks, R.KeywordIndex.load(chunks.sparkSession, path, KEY), query_vector)
+
     @classmethod
     def build(cls, chunks: DataFrame, query_vector: Callable[[Column], Column] | None = None) -> Searcher:
         return cls(chunks, R.build_keyword_index(chunks, KEY, T.searchable_text("content", "name", "chunk_type")), query_vector)
@@ -41,7 +50,8 @@ class Searcher:
         chunks, index = self.chunks, self.keywords
         if prefilter:
             chunks = R.post_filter(chunks, chunk_types, languages, file_pattern)
-            index = R.KeywordIndex(index.postings.join(chunks.select(*KEY), list(KEY), "left_semi"), index.chunks, index.terms, index.key)
+            keep = lambda df: df.join(chunks.select(*KEY), list(KEY), "left_semi") if df is not None else None
+            index = R.KeywordIndex(keep(index.postings), index.chunks, index.terms, index.key, keep(index.tokens))
         asked = queries.select("query_id", F.col(expanded).alias("_asked"))
         fetch = top_k * R.OVERFETCH
         lists = []

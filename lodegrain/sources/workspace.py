@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -16,8 +17,13 @@ _own: dict[str, str] = {}
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``, or under a folder of our own where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="lodegrain-"))
+    """A new path under ``spark.checkpoint.dir``, or under a folder of our own where that is unset and all runs in
+    one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="lodegrain-"))
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -33,6 +39,16 @@ def bounded(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def spread(df: DataFrame, bytes_each: int = 1 << 20) -> DataFrame:
+    """Deal a small table, which its few files would leave to one task or a few, over all cores; a table of as many
+    files, or with work for all cores by its size, is left as it is.  Both are known to the planner, so nothing is
+    read for it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tasks = min(cores, -(-size // bytes_each))
+    return df.repartition(tasks) if 1 < tasks and size < cores << 24 and 0 < len(df.inputFiles()) < cores else df
+
+
 def attach_first(df: DataFrame, by: Sequence[str], first: str, out: str) -> DataFrame:
     """Add ``out``, the smallest ``first`` of the rows with equal ``by``.  A group of any size is dealt over
     several tasks, in the aggregation and in the join.  ``df`` is read twice."""

@@ -9,8 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -38,25 +38,30 @@ def accepted(times: list[float], last: float | None, delay: float) -> list[bool]
 
 
 def debounce(events: DataFrame, key: str, ts: str, order: str, delay: float = DELAY_SECONDS) -> DataFrame:
-    """The accepted events of a finite table.
+    """The accepted events of a finite table; events without a time are none.
 
-    An event that comes ``delay`` or more after the one before it (accepted or not) begins a burst, and is always
-    accepted.  Only within a burst does acceptance depend on what was accepted, so the fold there is over one
-    burst's times, and a key with any number of events is not gathered.
+    Acceptance depends on what was accepted before, so a key's events are folded in order of time in one task, as
+    a stream: of each key only the time of the last accepted event is held, whatever the number of its events.
     """
-    w = W.partitionBy(key).orderBy(ts, order)
-    seconds = F.col(ts).cast("timestamp").cast("double")
-    marked = events.withColumn("_t", seconds).withColumn("_gap", F.col("_t") - F.lag("_t").over(w))
-    burst = F.sum(F.when(F.col("_gap") < delay, 0).otherwise(1)).over(w.rowsBetween(W.unboundedPreceding, 0))
-    schema = events.schema
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["_t", order])
-        return rows[accepted(rows["_t"].tolist(), None, delay)][schema.names]
-
-    alone = marked.withColumn("_burst", burst).withColumn("_n", F.count("*").over(W.partitionBy(key, "_burst")))
-    single = alone.where("_n = 1").select(*schema.names)
-    return single.unionByName(alone.where("_n > 1").drop("_gap", "_n").groupBy(key, "_burst").applyInPandas(fold, schema))
+    columns = events.columns
+    names = [f"c{i}" for i in range(len(columns))]
+    named = dict(zip(columns, names, strict=True))
+    timed = events.toDF(*names).withColumn("_t", F.col(named[ts]).cast("timestamp").cast("double")).where("_t is not null")
+    sorted_rows = timed.repartition(named[key]).sortWithinPartitions(named[key], "_t", named[order])
+    at = columns.index(key)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, last = object(), None
+        for b in batches:
+            ok = []
+            for k, t in zip(b.column(at).to_pylist(), b.column(len(names)).to_pylist(), strict=True):
+                fresh = k != before or t - last >= delay
+                before, last = k, t if fresh else last
+                ok.append(fresh)
+            yield b.filter(pa.array(ok, pa.bool_())).select(names)
+
+    kinds = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, events.schema, strict=True))
+    return sorted_rows.mapInArrow(fold, kinds).toDF(*columns)
 
 
 def debounce_stream(events: DataFrame, key: str, ts: str, delay: float = DELAY_SECONDS) -> DataFrame:
