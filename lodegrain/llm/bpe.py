@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from lodegrain.sources.workspace import spread
+
 from .common import bound_batches
 
 #: Bytes that a worker's cache of words may take, and about what an entry takes besides its word and tokens.
@@ -281,4 +283,4 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays(columns, names=["_key", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
     schema = f"_key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
-    return docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")).mapInArrow(run, schema).withColumnRenamed("_key", key)
+    return spread(docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))).mapInArrow(run, schema).withColumnRenamed("_key", key)

@@ -19,6 +19,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodegrain.sources.workspace import spread
+
 from .common import bound_batches, stage
 
 #: Edits allowed, as a share of an item's normalised length, and the length below which none are.
@@ -150,7 +152,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     schema = f"_key {kind}, item_id long, distance int, match_end long"
-    rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
+    rows = spread(docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")))
     out = None
     for sent in _blocks(benchmark, item_key, item_text, block_items):
 
@@ -179,7 +181,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     columns, at = docs.columns, docs.columns.index(text)
     names = [f"c{i}" for i in range(len(columns))]
     typed = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
-    kept = docs.toDF(*names)
+    kept = spread(docs).toDF(*names)
     for sent in _blocks(benchmark, item_key, item_text, block_items):
 
         def clean(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodegrain.sources.workspace import spread
+
 from .common import bound_batches
 from .kernels import LOWER, buffers, pieces
 
@@ -29,6 +31,8 @@ SAMPLE_ROWS = 4000
 #: A text whose margins are less than ``PART`` of those that all but ``FEW`` of the fitted texts of its family or
 #: language reach is in none of the learnt languages.
 PART, FEW = 0.5, 0.01
+#: Steps end when no weight changes by more than this share of the largest.
+SETTLED = 1e-3
 #: Bytes and rows whose features are held at a time.
 PIECE = (500_000, 512)
 _LETTER = np.zeros(256, bool)
@@ -72,11 +76,14 @@ def fit_svm(x: np.ndarray, y: np.ndarray, weight: float = 1e-4, steps: int = 120
     w = np.zeros(x.shape[1], np.float32)
     v, t, rate = w.copy(), 1.0, 1 / (2 * 2.0 + weight)
     for _ in range(steps):
+        old = w
         lack = np.maximum(0, 1 - y * (x @ v))
         new = v - rate * (weight * v - 2 * (x.T @ (share * y * lack)))
         later = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v = new + (t - 1) / later * (new - w)
         w, t = new, later
+        if np.abs(w - old).max() <= SETTLED * np.abs(w).max():
+            break
     return w
 
 
@@ -92,7 +99,9 @@ class Model:
         fam = np.array([self.family[v] for v in labels])
         sign = lambda hit: np.where(hit, 1, -1).astype(np.float32)
         names = self.names if len(self.names) > 1 else []
-        self.family_weights = np.array([fit_svm(x, sign(fam == f)) for f in names]).reshape(len(names), DIM + 1)
+        # of two families one machine tells both apart
+        fits = [fit_svm(x, sign(fam == f)) for f in names[: 1 if len(names) == 2 else None]]
+        self.family_weights = np.array(fits if len(names) != 2 else [fits[0], -fits[0]]).reshape(len(names), DIM + 1)
         self.members = {f: [v for v in self.languages if self.family[v] == f] for f in self.names}
         self.pairs = {}
         for f in self.names:
@@ -159,7 +168,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     """Fit from rows with a text and a label.  Languages are sampled alike, by a hash of key and label, to at
     most ``sample_rows`` rows in all; None if there are no labelled rows."""
     bound_batches(labelled.sparkSession)
-    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    rows = spread(labelled).where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
     if not counts:
         return None
@@ -193,7 +202,7 @@ def identify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: st
     bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     names = [f"_k{i}" for i in range(len(keep) + 1)]
-    rows = docs.select(*(F.col(c).alias(n) for c, n in zip((key, *keep), names, strict=True)), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_ok"), F.col(text).cast("string").alias("_text"))
+    rows = spread(docs).select(*(F.col(c).alias(n) for c, n in zip((key, *keep), names, strict=True)), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_ok"), F.col(text).cast("string").alias("_text"))
     sent = spark.sparkContext.broadcast(model)
     kinds = [docs.schema[c].dataType.simpleString() for c in (key, *keep)]
 

@@ -22,6 +22,8 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodegrain.sources.workspace import spread
+
 from .common import bound_batches, stage
 from .kernels import Words, buffers, mix, pieces, release
 
@@ -289,7 +291,7 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
     bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"), F.coalesce(train, F.lit(False)).alias("_train"))
+    rows = spread(docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"), F.coalesce(train, F.lit(False)).alias("_train")))
     learn = rows.where("_train").select("_key", "_text")
     size = learn.agg(F.count("*"), F.sum(F.length("_text"))).first()
     bits = _bits_for((size[1] or 0) // 6, 6)

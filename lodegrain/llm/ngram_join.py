@@ -32,6 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodegrain.sources.workspace import spread
+
 from .common import attach_min, bound_batches, bounded, components, row_ids, stage, without
 from .kernels import TOKEN_BITS, Words, buffers, distinct_sets, mix, pieces, release, shingles
 
@@ -339,7 +341,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     bound_batches(docs.sparkSession)
     tokens = tokens or shingle_sets(size)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = spread(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
     prints = stage(fingerprints(rows, tokens), "fingerprints")
     known = prints.where("n > 0 and doc_id is not null")
     classes = stage(attach_min(known, ["fp1", "fp2", "n"], "doc_id", "rep").select("doc_id", "n", "rep"), "classes")

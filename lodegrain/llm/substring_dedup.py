@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodegrain.sources.workspace import spread
+
 from .common import bound_batches, bounded_bytes, components, row_ids, stage
 from .kernels import Words, buffers, mix, narrow, pieces, release, widen
 
@@ -417,6 +419,7 @@ def _grown(ends: DataFrame) -> DataFrame:
 
 def _spans(rows: DataFrame, percent: int, least_words: int) -> DataFrame:
     """(doc, begin, end, n_words, kept) of (doc, text) rows."""
+    rows = spread(rows)
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = max(6, int(np.ceil(np.log2(max(1, total / 6 / (2 * REACH + 1) * BANDS / BUCKET_KEYS)))))
     found = stage(_candidates(rows, bits), "paragraph-pairs")
