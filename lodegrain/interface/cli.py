@@ -4,18 +4,26 @@ from __future__ import annotations
 
 import argparse
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from datetime import UTC, datetime
+from functools import reduce
 from pathlib import Path
+from urllib.parse import urlencode
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegrain.interface.models import embed_chunks, hashed_vector
+from lodegrain.functions.text import url_host
+from lodegrain.interface.models import ChatModel, RememberedModel, embed_chunks, hashed_vector
+from lodegrain.interface.research import Research, TimeBudget
 from lodegrain.interface.settings import INDEX_DIR, nearby_index
 from lodegrain.operators.analytics import index_stats
 from lodegrain.operators.index import index_files
 from lodegrain.plans.search import Searcher
 from lodegrain.sources.files import project_files
+from lodegrain.sources.search_engines import parse_results
+from lodegrain.sources.web import Fetcher, HttpFetcher, fetch, page_files, scrape
+from lodegrain.sources.workspace import stage
 
 
 def session() -> SparkSession:
@@ -34,8 +42,39 @@ def chunks_of(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def build(spark: SparkSession, folder: str) -> DataFrame:
-    """Index a folder, or bring its index up to date; returns each file's status."""
-    return index_files(spark, project_files(spark, folder), str(Path(folder) / INDEX_DIR), embed_chunks)
+    """Index a folder, or bring its index up to date, and keep its keyword index, so that a search tokenizes only
+    its query; returns each file's status."""
+    index = str(Path(folder) / INDEX_DIR)
+    status = index_files(spark, project_files(spark, folder), index, embed_chunks)
+    if not (Path(index) / "keywords").is_dir() or not status.where("status <> 'unchanged'").isEmpty():
+        Searcher.build(spark.read.parquet(f"{index}/chunks"), hashed_vector).save(f"{index}/keywords")
+    return status
+
+
+def opened(spark: SparkSession, folder: str) -> Searcher:
+    """The searcher over a folder's index, by its kept keyword index if there is one."""
+    chunks, kept = chunks_of(spark, folder), Path(_index(folder)) / "keywords"
+    return Searcher.open(chunks, str(kept), hashed_vector) if kept.is_dir() else Searcher.build(chunks, hashed_vector)
+
+
+def scraped(spark: SparkSession, urls: list[str], folder: str, fetcher: Callable[[], Fetcher] = HttpFetcher) -> DataFrame:
+    """Scrape ``urls`` into markdown files under ``folder``; returns each url's outcome."""
+    wanted = spark.createDataFrame([(u,) for u in urls], "url string")
+    hosts = wanted.select(F.lower(url_host("url")).alias("host")).where("host <> ''").distinct()
+    asked = fetch(hosts.select(F.concat(F.lit("https://"), "host", F.lit("/robots.txt")).alias("url")), fetcher)
+    robots = stage(asked, "robots").where("http_status = 200").select(F.lower(url_host("url")).alias("host"), F.col("body").cast("string").alias("body"))
+    pages, outcomes = scrape(wanted, fetcher, spark.createDataFrame([], "domain string"), robots)
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    for r in page_files(pages, datetime.now(UTC).isoformat()).toLocalIterator():  # a stated list of urls
+        (Path(folder) / r["file_name"]).write_text(r["body"])
+    return outcomes
+
+
+def found_online(spark: SparkSession, query: str, most: int, fetcher: Callable[[], Fetcher] = HttpFetcher) -> DataFrame:
+    """Results (title, url, snippet) of a web search without a key."""
+    _, _, body = fetcher().fetch("https://html.duckduckgo.com/html/?" + urlencode({"q": query}))
+    answers = spark.createDataFrame([(1, "duckduckgo", body.decode("utf-8", errors="replace"))], "query_id int, engine string, payload string")
+    return parse_results(answers, most)
 
 
 def _print(df: DataFrame, limit: int = 100) -> None:
@@ -52,9 +91,16 @@ def parser() -> argparse.ArgumentParser:
     search.add_argument("query")
     for name in ("find-function", "find-class"):
         verbs.add_parser(name).add_argument("name")
+    verbs.add_parser("scrape").add_argument("urls", nargs="+")
+    verbs.add_parser("search-web").add_argument("query")
+    research = verbs.add_parser("research")
+    research.add_argument("topic")
+    research.add_argument("--model-url", default="http://localhost:11434")
+    research.add_argument("--model", default="qwen3")
+    research.add_argument("--minutes", type=float, default=0)
     server = verbs.add_parser("server")
     server.add_argument("--port", type=int, default=7777)
-    for name in ("search", "find-function", "find-class", "server"):
+    for name in ("search", "find-function", "find-class", "server", "scrape", "search-web", "research"):
         verbs.choices[name].add_argument("--folder", default=".")
         verbs.choices[name].add_argument("--top-k", type=int, default=10)
     search.add_argument("--type", dest="types", action="append")
@@ -64,6 +110,24 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def _research(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Rounds of search, scraping and analysis on a topic, by a local model and a web search without a key."""
+    none = spark.createDataFrame([], "domain string")
+
+    def search(queries: list[str]) -> DataFrame:
+        found = [found_online(spark, q, a.top_k).select("url") for q in queries]
+        return reduce(DataFrame.unionByName, found)
+
+    def read(urls: DataFrame) -> DataFrame:
+        pages, _ = scrape(urls, HttpFetcher, none, none.selectExpr("domain as host", "domain as body"))
+        return pages.select("url", "title", "content")
+
+    model = RememberedModel(ChatModel(a.model_url, a.model))
+    run = Research(spark, a.folder, a.topic, model, search, read, budget=TimeBudget(a.minutes))
+    _print(run.run())
+    print(run.report())
+
+
 def main(argv: Sequence[str] | None = None) -> int:
     a = parser().parse_args(argv)
     spark = session()
@@ -75,13 +139,22 @@ def main(argv: Sequence[str] | None = None) -> int:
 
         watch(spark, a.folder, str(Path(a.folder) / INDEX_DIR), str(Path(a.folder) / INDEX_DIR / "watch"), embed_chunks).awaitTermination()
         return 0
+    if a.verb == "scrape":
+        _print(scraped(spark, a.urls, a.folder))
+        return 0
+    if a.verb == "search-web":
+        _print(found_online(spark, a.query, a.top_k))
+        return 0
+    if a.verb == "research":
+        _research(spark, a)
+        return 0
     chunks = chunks_of(spark, a.folder)
     if a.verb in ("stats", "info", "status"):
         _print(index_stats(chunks).orderBy("kind", F.desc("n")))
     elif a.verb == "debug-schema":
         print(chunks.schema.simpleString())
     else:
-        searcher = Searcher.build(chunks, hashed_vector)
+        searcher = opened(spark, a.folder)
         if a.verb == "find-function":
             _print(searcher.function(a.name, a.top_k).drop("embedding"))
         elif a.verb == "find-class":

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
+from urllib.request import Request, urlopen
 
 import numpy as np
 import pandas as pd
@@ -86,3 +88,52 @@ def expand_queries(queries: DataFrame, model: LanguageModel | None, max_terms: i
     got = queries.sparkSession.createDataFrame(answers, f"query_id {kind}, _answer string")
     joined = queries.join(got, "query_id", "left")
     return joined.withColumn("expanded", F.when(F.col("_answer").isNotNull(), T.clean_expansion("_answer", "query", max_terms)).otherwise(F.col("query"))).drop("_answer")
+
+
+class ChatModel:
+    """A language model behind a chat service of the usual form (POST /v1/chat/completions); None where it fails.
+
+    ``send`` posts a JSON text to a url and returns the answer's; another can be given for tests or other transports."""
+
+    def __init__(self, base_url: str, model: str, key: str | None = None, seconds: float = 120, send: Callable[[str, str], str] | None = None):
+        self.url, self.model, self.key, self.seconds = base_url.rstrip("/") + "/v1/chat/completions", model, key, seconds
+        self.send = send or self._post
+
+    def _post(self, url: str, body: str) -> str:
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
+        with urlopen(Request(url, body.encode(), headers), timeout=self.seconds) as answer:  # noqa: S310
+            return answer.read().decode()
+
+    def __call__(self, prompt: str, temperature: float) -> str | None:
+        asked = {"model": self.model, "temperature": temperature, "messages": [{"role": "user", "content": prompt}]}
+        try:
+            return json.loads(self.send(self.url, json.dumps(asked)))["choices"][0]["message"]["content"]
+        except (OSError, ValueError, KeyError, IndexError, TypeError):
+            return None
+
+
+def first_working(models: Sequence[LanguageModel]) -> LanguageModel:
+    """A chain of models: each prompt goes to the first that answers it."""
+
+    def ask(prompt: str, temperature: float) -> str | None:
+        return next((a for m in models if (a := m(prompt, temperature)) is not None), None)
+
+    return ask
+
+
+class RememberedModel:
+    """A model whose answers are kept; beyond ``most`` the older half goes.  Failures are not kept."""
+
+    def __init__(self, model: LanguageModel, most: int = 1000):
+        self.model, self.most, self.known = model, most, {}
+
+    def __call__(self, prompt: str, temperature: float) -> str | None:
+        if (prompt, temperature) not in self.known:
+            answer = self.model(prompt, temperature)
+            if answer is None:
+                return None
+            self.known[prompt, temperature] = answer
+            if len(self.known) > self.most:
+                for k in list(self.known)[: len(self.known) - self.most // 2]:
+                    del self.known[k]
+        return self.known[prompt, temperature]

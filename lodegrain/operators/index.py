@@ -82,3 +82,19 @@ def index_files(spark: SparkSession, files: DataFrame, path: str, embed: Callabl
     live.write.mode("overwrite").parquet(f"{path}/manifest__next")
     spark.read.parquet(f"{path}/manifest__next").write.mode("overwrite").parquet(f"{path}/manifest")
     return status
+
+
+def index_size(spark: SparkSession, path: str) -> int:
+    """Bytes of all files of an index."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.getContentSummary(root).getLength() if files.exists(root) else 0
+
+
+def indexing_stats(status: DataFrame, chunks: DataFrame, seconds: float) -> DataFrame:
+    """(files, indexed, failed, chunks, files_per_second) of a run: its files' (file_path, status), the index's chunks,
+    and how long it took; a file that was to be indexed and has no chunk has failed."""
+    todo = status.where(F.col("status").isin("new", "changed"))
+    held = chunks.groupBy("file_path").agg(F.count("*").alias("n"))
+    done = todo.join(held, "file_path", "left").agg(F.count("n").alias("indexed"), F.count_if(F.col("n").isNull()).alias("failed"), F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"))
+    return status.agg(F.count("*").alias("files")).crossJoin(done).withColumn("files_per_second", F.round(F.col("indexed") / F.lit(max(seconds, 1e-9)), 3))

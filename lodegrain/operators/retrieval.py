@@ -17,12 +17,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodegrain.functions import text as T
-from lodegrain.sources.workspace import BROADCAST_ROWS, bounded, spread, stage
+from lodegrain.sources.workspace import bounded, spread, stage
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
 OVERFETCH = 3
 QUERY_BLOCK = 64
+TERM_BUCKETS = 64
 FUNCTION_TYPES = ("function", "method", "async_function")
 #: Parts of paths that speak for an important file.
 IMPORTANT_PATHS = ("readme", "main.", "index.", "__init__", "config", "setup", "install", "getting", "started", "docs/", "documentation", "guide", "tutorial", "example")
@@ -41,9 +42,9 @@ class KeywordIndex:
     key: tuple[str, ...]
     tokens: DataFrame | None = None
 
-    def save(self, path: str, buckets: int = 64) -> None:
+    def save(self, path: str) -> None:
         """Postings are written in buckets of their term, so a query reads few of them."""
-        bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+        bucket = F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")
         self.postings.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         self.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
@@ -61,10 +62,8 @@ class KeywordIndex:
             return found.groupBy("term", *self.key, "dl").agg(F.count("*").alias("tf"))
         postings = self.postings
         if "bucket" in postings.columns:  # a saved index: only the terms' buckets are read
-            if n <= BROADCAST_ROWS:
-                total = int(postings.agg(F.max("bucket")).first()[0] or 0) + 1
-                asked = [r[0] for r in terms.select(F.pmod(F.xxhash64("term"), F.lit(total)).cast("int")).distinct().collect()]  # at most the buckets
-                postings = postings.where(F.col("bucket").isin(asked)) if 64 >= total else postings
+            asked = [r[0] for r in terms.select(F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")).distinct().collect()]  # at most the buckets
+            postings = postings.where(F.col("bucket").isin(asked))
             postings = postings.drop("bucket")
         return postings.join(bounded(terms, n), "term", "left_semi")
 

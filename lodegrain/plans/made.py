@@ -20,7 +20,7 @@ from lodegrain.operators import index as I
 from lodegrain.operators import retrieval as R
 from lodegrain.plans.catalogue import lines, query, rounds, scrape_log, table
 from lodegrain.sources import files as files_source
-from lodegrain.sources import search_engines, web
+from lodegrain.sources import site_apis, web
 
 PAD = "x" * 240
 
@@ -267,6 +267,35 @@ def k14_whole_files(spark: SparkSession, d: str) -> DataFrame:
     return C.chunk_files(small).where("chunk_type = 'code_block'").select("file_path", "name", "start_line", "end_line", md5(F.col("content")).alias("content_md5"))
 
 
+@query("""WITH n AS (SELECT n_nationkey AS k, n_name AS n FROM nation), nl AS (SELECT chr(10) AS x)
+SELECT 'http://made/' || k AS url, CASE k % 7 WHEN 6 THEN 'academic' WHEN 0 THEN 'wikipedia' WHEN 1 THEN 'youtube' WHEN 2 THEN 'stackexchange' WHEN 3 THEN 'reddit' WHEN 4 THEN 'devto' ELSE 'fandom' END AS source_type, 'T ' || n AS title,
+CASE k % 7 WHEN 0 THEN '*about ' || n || '*' || x || x || 'extract of ' || n
+WHEN 1 THEN '**Channel:** [' || n || '](http://c/' || k || ')' || x || '**URL:** http://made/' || k || x || x || '## Description' || x || x || 'told ' || n
+WHEN 2 THEN '**Score:** ' || k || '  |  **Answers:** 2' || x || '**Tags:** a, b' || x || x || '## Question' || x || x || 'why **' || n || '**' || x || x || '## Answer 1 (Accepted) (Score: 5)' || x || x || 'so' || x || x || '## Answer 2 (Score: 1)' || x || x || 'no'
+WHEN 3 THEN '**r/x**  |  Score: ' || k || '  |  2 comments' || x || '**Posted by:** u/' || n || x || '**Link:** http://out/' || k || x || x || 'self' || x || x || '## Top Comments' || x || x || '**u/z** (Score: 3):' || x || '> good' || x
+WHEN 4 THEN '**Author:** ' || n || x || '**Published:** Jan 1' || x || '**Tags:** p, q' || x || '**Reactions:** 7' || x || x || 'body ' || n
+WHEN 5 THEN '## ' || n || x || 'one two three four five six seven eight nine' || x || x || '**Categories:** A b'
+ELSE '**Authors:** ' || n || ', B' || x || '**Published:** V, 2020' || x || '**Citations:** ' || k || '  |  **References:** 2' || x || '**IDs:** DOI: d | PMID: p' || x || '**PDF:** [u](u)' || x || x || '## TL;DR' || x || x || 'short' || x || x || '## Abstract' || x || x || 'abs ' || n END AS content FROM n, nl""")
+def x15_site_apis(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of seven services, made from the nations, as pages."""
+    k, n = F.col("n_nationkey"), F.col("n_name")
+    bodies = {
+        "wikipedia": (('{"title":"T ', n, '","extract":"extract of ', n, '","description":"about ', n, '"}'), None),
+        "youtube": (('{"title":"T ', n, '","author_name":"', n, '","author_url":"http://c/', k, '"}'), ('<html><head><meta name="description" content="told ', n, '"></head></html>')),
+        "stackexchange": (('{"items":[{"title":"T ', n, '","body":"<p>why <b>', n, '</b></p>","tags":["a","b"],"score":', k, ',"answer_count":2}]}'), ('{"items":[{"is_accepted":true,"body":"<p>so</p>","score":5},{"is_accepted":false,"body":"<p>no</p>","score":1}]}',)),
+        "reddit": (('[{"data":{"children":[{"kind":"t3","data":{"title":"T ', n, '","selftext":"self","subreddit_name_prefixed":"r/x","score":', k, ',"author":"', n, '","num_comments":2,"url":"http://out/', k, '"}}]}},{"data":{"children":[{"kind":"t1","data":{"author":"z","body":"good","score":3}},{"kind":"more","data":{}}]}}]'), None),
+        "devto": (('{"title":"T ', n, '","body_markdown":"body ', n, '","user":{"name":"', n, '"},"tags":"p, q","positive_reactions_count":7,"readable_publish_date":"Jan 1"}'), None),
+        "fandom": (('{"parse":{"title":"x","displaytitle":"<i>T ', n, '</i>","wikitext":{"*":"== ', n, ' ==\\none two three four five six seven eight nine"},"categories":[{"*":"A_b"},{"*":"I","hidden":"true"}]}}'), None),
+        "semantic_scholar": (('{"title":"T ', n, '","abstract":"abs ', n, '","authors":[{"name":"', n, '"},{"name":"B"}],"year":2020,"venue":"V","citationCount":', k, ',"referenceCount":2,"tldr":{"text":"short"},"externalIds":{"DOI":"d","PMID":"p"},"openAccessPdf":{"url":"u"}}'), None),
+    }
+    service, body, extra = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (name, (one, two)) in enumerate(bodies.items()):
+        service, body = F.when(k % 7 == i, name).otherwise(service), F.when(k % 7 == i, text_of(*one)).otherwise(body)
+        extra = F.when(k % 7 == i, text_of(*two)).otherwise(extra) if two else extra
+    answers = nations(spark, d).select(text_of("http://made/", k).alias("url"), service.alias("service"), body.alias("body"), extra.alias("extra"))
+    return site_apis.api_pages(answers).select("url", "source_type", "title", "content")
+
+
 # --- crawling and sessions ------------------------------------------------------------------------------
 
 
@@ -301,7 +330,7 @@ def a6_auto_blacklist_rules(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT page_id, CASE page_id % 9 WHEN 0 THEN 'wikipedia' WHEN 1 THEN 'youtube' WHEN 2 THEN 'stackexchange' WHEN 3 THEN 'reddit' WHEN 4 THEN 'devto' WHEN 5 THEN 'fandom' WHEN 6 THEN 'semantic_scholar' END AS api,
 CASE page_id % 9 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' WHEN 2 THEN 'spreadsheet' WHEN 3 THEN 'rss' WHEN 4 THEN 'epub' WHEN 5 THEN 'markdown' WHEN 6 THEN 'rtf' WHEN 7 THEN 'arxiv' ELSE 'github' END AS by FROM pages""")
 def x16_all_routes(spark: SparkSession, d: str) -> DataFrame:
-    known = ["https://fr.wikipedia.org/wiki/X.pdf", "https://m.youtube.com/a.docx", "https://math.stackexchange.com/q.csv", "https://old.reddit.com/r.rss", "https://dev.to/b.epub", "https://x.fandom.com/w.txt", "https://www.aclanthology.org/p.rtf", "https://arxiv.org/abs/1", "https://github.com/a/b"]
+    known = ["https://fr.wikipedia.org/wiki/X.pdf", "https://m.youtube.com/a.docx", "https://math.stackexchange.com/q.csv", "https://old.reddit.com/r.rss", "https://dev.to/b.epub", "https://x.fandom.com/w.txt", "https://www.nature.com/p.rtf", "https://arxiv.org/abs/1", "https://github.com/a/b"]
     url = F.element_at(F.array(*map(F.lit, known)), (F.col("page_id") % 9 + 1).cast("int"))
     return table(spark, d, "pages").select("page_id", web.direct_fetcher(url).alias("api"), web.extractor(url, F.lit("text/html; charset=utf-8")).alias("by"))
 

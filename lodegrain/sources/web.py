@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from typing import Protocol
+from urllib.request import Request, urlopen
 from urllib.robotparser import RobotFileParser
 
 import pandas as pd
@@ -17,9 +18,12 @@ from lodegrain.operators.crawl import check_domains
 
 MIN_CONTENT = 200
 #: Hosts with an API of their own, in the order they are asked.
-WIKIS = ("wikipedia.org", "wiktionary.org", "wikibooks.org", "wikiquote.org", "wikisource.org", "wikiversity.org", "wikivoyage.org")
+WIKIS = ("wikipedia.org", "wiktionary.org", "wikimedia.org", "wikibooks.org")
 QUESTION_SITES = ("stackoverflow.com", "superuser.com", "serverfault.com", "askubuntu.com", "mathoverflow.net")
-ACADEMIC = ("semanticscholar.org", "doi.org", "dx.doi.org", "pubmed.ncbi.nlm.nih.gov", "ncbi.nlm.nih.gov", "aclanthology.org", "biorxiv.org", "medrxiv.org")
+ACADEMIC = (
+    "semanticscholar.org", "doi.org", "dx.doi.org", "dl.acm.org", "acm.org", "ieeexplore.ieee.org", "ieee.org", "sciencedirect.com", "researchgate.net", "springer.com", "link.springer.com",
+    "nature.com", "pubmed.ncbi.nlm.nih.gov", "ncbi.nlm.nih.gov", "wiley.com", "onlinelibrary.wiley.com", "plos.org", "journals.plos.org",
+)
 
 
 class Fetcher(Protocol):
@@ -127,3 +131,39 @@ def page_files(pages: DataFrame, scraped_at: str) -> DataFrame:
     named = pages.withColumn("_slug", slug).withColumn("_turn", turn)
     name = F.concat("_slug", F.when(F.col("_turn") > 0, F.concat(F.lit("-"), F.col("_turn").cast("string"))).otherwise(""), F.lit(".md"))
     return named.select(name.alias("file_name"), F.concat(front, F.lit("\n# "), F.col("title"), F.lit("\n\n"), F.col("content"), foot).alias("body"))
+
+
+class HttpFetcher:
+    """A live fetcher: one request, with a time limit and at most ``most`` bytes of an answer."""
+
+    def __init__(self, agent: str = "lodegrain/1.0", seconds: float = 15, most: int = 10 * 1024 * 1024):
+        self.agent, self.seconds, self.most = agent, seconds, most
+
+    def fetch(self, url: str) -> tuple[int, str, bytes]:
+        with urlopen(Request(url, headers={"User-Agent": self.agent}), timeout=self.seconds) as answer:  # noqa: S310
+            return answer.status, answer.headers.get("Content-Type", ""), answer.read(self.most)
+
+
+def scrape(urls: DataFrame, fetcher: Callable[[], Fetcher], blacklist: DataFrame, robots: DataFrame, min_content: int = MIN_CONTENT) -> tuple[DataFrame, DataFrame]:
+    """(pages, outcomes) of (url) rows: urls of a site with an API by its answers, the others, if their domain is not
+    blocked and robots.txt allows them, by their page; pages of under ``min_content`` / 5 words are thin and left out.
+
+    pages has (url, title, content, word_count, links, source_type), outcomes (url, domain, outcome, word_count).  What
+    was fetched is written, so a later action asks no service again."""
+    from lodegrain.operators.documents import extract
+    from lodegrain.sources import site_apis
+    from lodegrain.sources.workspace import stage
+
+    every = urls.select("url").where("url is not null").distinct().withColumn("service", direct_fetcher(F.col("url")))
+    asked = every.where("service is not null").withColumn("asks", site_apis.api_requests(F.col("url"), F.col("service"))).where("asks is not null")
+    answers = stage(fetch(asked.select(F.explode("asks").alias("url")).distinct(), fetcher), "api-answers").where("http_status = 200").select(F.col("url").alias("ask"), F.col("body").cast("string").alias("answer"))
+    first = asked.join(answers, F.get("asks", F.lit(0)) == F.col("ask")).drop("ask").withColumnRenamed("answer", "body")
+    both = first.join(answers, F.get("asks", F.lit(1)) == F.col("ask"), "left").select("url", "service", "body", F.col("answer").alias("extra"))
+    judged = robots_allowed(check_domains(every.where("service is null").select("url"), blacklist), robots)
+    bodies = stage(fetch(judged.where("allowed and robots_ok"), fetcher), "bodies").where("http_status = 200")
+    columns = ("url", "title", "content", "word_count", "links", "source_type")
+    pages = stage(site_apis.api_pages(both).select(*columns).unionByName(extract(bodies).select(*columns)), "scraped")
+    named = every.where("service is not null").select("url").join(pages.select("url", "word_count"), "url", "left")
+    by_api = named.select("url", T.normalise_domain(T.url_host("url")).alias("domain"), F.when(F.col("word_count").isNull(), "missing").when(F.col("word_count") < min_content // 5, "thin").otherwise("ok").alias("outcome"), "word_count")
+    rest = scrape_status(every.where("service is null").select("url"), pages, blacklist, robots, min_content)
+    return pages.where(F.col("word_count") >= min_content // 5), rest.unionByName(by_api)

@@ -4,8 +4,12 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from lodegrain.interface import limits, models, server, settings
+from lodegrain.interface import cli, limits, models, server, settings
 from lodegrain.interface.research import Research, TimeBudget
+from lodegrain.operators import index
+from lodegrain.operators import retrieval as R
+from lodegrain.plans.search import Searcher
+from lodegrain.sources import site_apis
 from lodegrain.streaming import events as Z
 
 
@@ -113,6 +117,72 @@ def test_time_budget():
     assert b.next_round() == 3.0 and not b.time_to_stop()
 
 
+def fake_fetcher():
+    """A class of its own in each call, so that it travels to the workers by value."""
+
+    class FakeFetcher:
+        """Pages by url; anything else fails."""
+
+        def fetch(self, url):
+            body = "<html><title>T</title><body><article>" + "<p>words of a page that is long enough</p>" * 10 + "</article></body></html>"
+            known = {
+                "https://a.example/x": (200, "text/html", body), "https://a.example/thin": (200, "text/html", "<article><p>few words, but over fifty characters of them here</p></article>"), "https://a.example/private/y": (200, "text/html", body),
+                "https://a.example/robots.txt": (200, "text/plain", "User-agent: *\nDisallow: /private/\n"), "https://dev.to/api/articles/u/s": (200, "application/json", '{"title": "D", "body_markdown": "' + "word " * 60 + '"}'),
+            }
+            if url not in known:
+                raise OSError("no such page")
+            status, kind, text = known[url]
+            return status, kind, text.encode()
+
+    return FakeFetcher
+
+
+def test_scraping_is_one_plan(spark, tmp_path):
+    urls = ["https://a.example/x", "https://a.example/x", "https://a.example/thin", "https://a.example/private/y", "https://a.example/gone", "https://dev.to/u/s", "https://dev.to/t/python"]
+    got = {r["url"]: r["outcome"] for r in cli.scraped(spark, urls, str(tmp_path / "out"), fake_fetcher()).collect()}
+    assert got == {"https://a.example/x": "ok", "https://a.example/thin": "thin", "https://a.example/private/y": "robots", "https://a.example/gone": "missing", "https://dev.to/u/s": "ok", "https://dev.to/t/python": "missing"}
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["d.md", "t.md"]
+
+
+def test_answers_of_sites_that_cannot_be_read_give_no_page(spark):
+    rows = [("https://x.fandom.com/wiki/A", "fandom", '{"error": {"code": "missing"}}', None), ("https://dev.to/a/b", "devto", "no json", None), ("https://dev.to/a/c", "devto", '{"title": "", "body_markdown": "x"}', None), ("https://reddit.com/r/x", "reddit", "[]", None), ("https://stackoverflow.com/questions/1", "stackexchange", '{"items": []}', "{"), ("https://en.wikipedia.org/wiki/A_b", "wikipedia", '{"extract": "some text"}', "<section><p>too short</p></section>"), ("https://doi.org/1", "semantic_scholar", None, None), (None, None, None, None)]
+    got = {r["url"]: (r["title"], r["content"]) for r in site_apis.api_pages(spark.createDataFrame(rows, "url string, service string, body string, extra string")).collect()}
+    assert got == {"https://en.wikipedia.org/wiki/A_b": ("A b", "some text")}
+    asks = spark.createDataFrame([("https://youtu.be/x", "youtube"), ("https://dev.to/t/python", "devto"), ("https://stackoverflow.com/questions/7/a", "stackexchange"), ("https://x.fandom.com/wiki/A/B c", "fandom")], "url string, service string").select("url", site_apis.api_requests(F.col("url"), F.col("service")).alias("a")).collect()
+    asks = {r["url"]: r["a"] for r in asks}
+    assert asks["https://dev.to/t/python"] is None and asks["https://youtu.be/x"][1] == "https://www.youtube.com/watch?v=x"
+    assert asks["https://stackoverflow.com/questions/7/a"][1] == "https://api.stackexchange.com/2.3/questions/7/answers?order=desc&sort=votes&site=stackoverflow&filter=withbody"
+
+
+def test_models_in_a_chain_and_remembered():
+    sent = []
+    chat = models.ChatModel("http://h/", "m", send=lambda u, b: sent.append((u, b)) or '{"choices": [{"message": {"content": "yes"}}]}')
+    broken = models.ChatModel("http://h", "m", send=lambda u, b: "no json")
+    kept = models.RememberedModel(models.first_working([broken, chat]), most=4)
+    assert kept("p", 0.1) == kept("p", 0.1) == "yes" and len(sent) == 1 and sent[0][0] == "http://h/v1/chat/completions" and broken("p", 0) is None
+    for i in range(6):
+        kept(f"q{i}", 0)
+    assert len(kept.known) <= 4 and ("q5", 0) in kept.known
+
+
+def test_a_kept_keyword_index_answers_as_a_new_one(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    for i in range(6):
+        (tmp_path / "src" / f"m{i}.py").write_text(f"import os\n\n\ndef load_config_{i}(path):\n    \"\"\"Load the configuration number {i} from a path.\"\"\"\n    return open(path).read() + '{'x' * 200}'\n")
+    (tmp_path / "env").mkdir()
+    (tmp_path / "env" / "skip.py").write_text("x = 1\n" * 50)
+    began = {r["status"]: r["count"] for r in cli.build(spark, str(tmp_path)).groupBy("status").count().collect()}
+    assert began == {"new": 6} and (tmp_path / settings.INDEX_DIR / "keywords").is_dir()
+    queries = spark.createDataFrame([(1, "load_config_3 path"), (2, "configuration number 5")], "query_id int, query string")
+    kept = cli.opened(spark, str(tmp_path))
+    fresh = Searcher.build(kept.chunks, models.hashed_vector)
+    assert kept.keywords.tokens is None and fresh.keywords.tokens is not None
+    rows = [sorted((r["query_id"], r["file_path"], r["chunk_index"], r["score"]) for r in R.bm25(s.keywords, queries, 5).collect()) for s in (kept, fresh)]
+    assert rows[0] == rows[1] and rows[0]
+    stats = index.indexing_stats(spark.createDataFrame([("src/m0.py", "new"), ("src/none.py", "new"), ("src/m1.py", "unchanged")], "file_path string, status string"), kept.chunks, 2.0).first()
+    assert (stats["files"], stats["indexed"], stats["failed"], stats["files_per_second"]) == (3, 1, 1, 0.5) and index.index_size(spark, str(tmp_path / settings.INDEX_DIR)) > 1000
+
+
 def test_entry_without_the_llm_subpackage(tmp_path):
     import shutil
     import subprocess
