@@ -3,8 +3,9 @@
 The merge list fixes how far to the right a token boundary can depend on: :func:`sufficient_lookahead`
 computes that bound once.  A word is fed through a window; a boundary that lies at least that far from the
 window's end is stable whatever follows, and what is on its two sides tokenizes independently, so the tokens
-up to it are emitted and dropped.  Memory is constant in the length of a word and of a text.  Short words fit
-into one window, and their tokens are kept in a cache of bounded size.
+up to it are emitted and dropped.  Tokens and digests are streamed in constant memory; a text is normalised in pieces
+that end at white space, one without any as a whole.  Short words fit into one window, and their tokens are kept in a
+cache of bounded size.
 """
 
 from __future__ import annotations

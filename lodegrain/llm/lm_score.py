@@ -6,7 +6,8 @@ one hash range and as long as its entries need (about 10 bits each, 1 % false hi
 PART_BYTES is broadcast.  A larger one stays in its slices: the probes of a piece of documents travel to them, packed
 by slice, and the levels travel back to the piece, so there is one pass over the documents at any size.
 
-The model interpolates bigrams with add-one unigrams.  Every unigram and every bigram of the training texts is
+The model interpolates bigrams with add-one unigrams.  Bigram counts are discounted by n1 / (n1 + 2 n2), n1 and n2
+being the numbers of bigrams seen once and twice, as most of those seen once say little.  Every unigram and every bigram of the training texts is
 entered.  Head tokens, those with at least a millionth of all tokens, of which there can only be 2**20, have their
 exact counts broadcast as a shortcut; the exact unigram counts of all other tokens, for the base score, meet the
 documents' tokens in packed bins by hash range.  All counts cover every training document.
@@ -193,7 +194,8 @@ def unigram_counts(train: DataFrame, bits: int) -> DataFrame:
 
 
 def _slices(train: DataFrame, unigrams: DataFrame, layout: Layout) -> DataFrame:
-    """(slice, single, data): the filter's slices from all unigrams (``single``) and from all bigrams."""
+    """(slice, single, data, ones, twos): the filter's slices from all unigrams (``single``) and from all bigrams, and how
+    many of a slice's n-grams were seen once and twice."""
     schema = "slice int, sub binary, count binary"
 
     def packed(place: np.ndarray, sub: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
@@ -239,12 +241,13 @@ def _slices(train: DataFrame, unigrams: DataFrame, layout: Layout) -> DataFrame:
             counts.append(np.frombuffer(c, np.uint8 if len(c) * 4 == len(s) else np.uint32).astype(np.int64))
         single = [s == "1" for s in group["kind"].to_pylist()]
         kinds = [x for x in (True, False) if x in single]
-        data = [build_slice(*_merged([s for s, x in zip(subs, single, strict=True) if x == kind], [c for c, x in zip(counts, single, strict=True) if x == kind])).tobytes() for kind in kinds]
-        return pa.table({"slice": [group["slice"][0].as_py()] * len(kinds), "single": kinds, "data": data}, schema=pa.schema([("slice", pa.int32()), ("single", pa.bool_()), ("data", pa.binary())]))
+        merged = [_merged([s for s, x in zip(subs, single, strict=True) if x == kind], [c for c, x in zip(counts, single, strict=True) if x == kind]) for kind in kinds]
+        data, seen = [build_slice(*m).tobytes() for m in merged], [[int((c == n).sum()) for _, c in merged] for n in (1, 2)]
+        return pa.table({"slice": [group["slice"][0].as_py()] * len(kinds), "single": kinds, "data": data, "ones": seen[0], "twos": seen[1]}, schema=pa.schema([("slice", pa.int32()), ("single", pa.bool_()), ("data", pa.binary()), ("ones", pa.int64()), ("twos", pa.int64())]))
 
     one = unigrams.select("token", "count").mapInArrow(singles, schema).withColumn("kind", F.lit("1"))
     two = train.mapInArrow(pairs, schema).withColumn("kind", F.lit("2"))
-    return one.unionByName(two).groupBy("slice").applyInArrow(build, "slice int, single boolean, data binary")
+    return one.unionByName(two).groupBy("slice").applyInArrow(build, "slice int, single boolean, data binary, ones long, twos long")
 
 
 class Asked:
@@ -257,7 +260,7 @@ class Asked:
         self.single = layout.codes(unigram_key(self.token))
         self.pair = layout.codes(bigram_key(self.history, self.token))
 
-    def scores(self, single: np.ndarray, pair: np.ndarray, head: tuple[np.ndarray, np.ndarray], floor: int) -> np.ndarray:
+    def scores(self, single: np.ndarray, pair: np.ndarray, head: tuple[np.ndarray, np.ndarray], floor: int, discount: float) -> np.ndarray:
         """log10 probability of each text from the levels of the distinct unigrams and bigrams."""
         one, two = level_count(single)[self.single[2]], level_count(pair)[self.pair[2]]
         exact, known = exact_counts(self.token, head)
@@ -267,7 +270,9 @@ class Asked:
         first = self.history == _U(BEGIN)
         after[first] = exact_counts(self.history[first], head)[0]
         trust = MIXTURE * after / (after + TRUST)
-        chance = trust * np.minimum(1.0, two / np.maximum(after, 1)) + (1 - trust) * (one + 1) / floor
+        after = np.maximum(after, 1)
+        # what the discount takes from a history's bigrams is at least ``discount``, and so much goes to unigrams
+        chance = trust * np.minimum(1.0, np.maximum(two - discount, 0) / after) + (1 - trust + trust * discount / after) * (one + 1) / floor
         return np.bincount(self.row, np.log10(chance), self.n)
 
 
@@ -313,7 +318,9 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
     head = spark.sparkContext.broadcast((token[order], count[order]))
     layout = Layout(_bits_for(2 * n_all, 6))
     slices = stage(_slices(learn, unigrams, layout), "bloom")
-    held = slices.agg(F.sum(F.length("data"))).first()[0] or 0
+    seen = slices.agg(F.sum(F.length("data")), F.sum(F.when(~F.col("single"), F.col("ones"))), F.sum(F.when(~F.col("single"), F.col("twos")))).first()
+    held, once, twice = (x or 0 for x in seen)
+    discount = once / (once + 2 * twice) if once else 0.0
     whole = None
     if held <= PART_BYTES:
         filtered = lambda kind: LogBloom({r["slice"]: bytes(r["data"]) for r in slices.where(F.col("single") == kind).toLocalIterator()}, layout.slices)
@@ -333,7 +340,7 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
                 exact, known = exact_counts(a.token, head.value)
                 train = b.column(2).slice(i, j - i).to_numpy(zero_copy_only=False)
                 info = np.concatenate([np.bincount(a.row, np.log10(exact + 1.0), a.n), np.bincount(a.row[known], minlength=a.n), np.bincount(a.row, minlength=a.n), train]).astype(np.float64)
-                score = a.scores(whole.value[0].level(*a.single[:2]), whole.value[1].level(*a.pair[:2]), head.value, floor).tobytes() if whole else None
+                score = a.scores(whole.value[0].level(*a.single[:2]), whole.value[1].level(*a.pair[:2]), head.value, floor, discount).tobytes() if whole else None
                 rare = np.flatnonzero(~known)
                 order = rare[np.argsort(a.token[rare], kind="stable")]
                 cuts = np.append(np.searchsorted(a.token[order], np.arange(1 << bits, dtype=np.uint64) << _U(64 - bits)), len(order))
@@ -400,7 +407,7 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
                 known[: len(c)] += c
         if levels[_SINGLE]:  # the replies are in order of slice, as the distinct n-grams of the piece are
             a = Asked(pa.array(group["texts"][k].as_py(), pa.string()), layout)
-            score = a.scores(*(np.concatenate(levels[x]).astype(np.int64) for x in (_SINGLE, _PAIR)), head.value, floor)
+            score = a.scores(*(np.concatenate(levels[x]).astype(np.int64) for x in (_SINGLE, _PAIR)), head.value, floor, discount)
         else:
             score = np.frombuffer(group["score"][k].as_py(), np.float64)
         return pa.table({"_key": group["ids"][k].values, "is_train": pa.array(is_train > 0), "n_tokens": n_tokens.astype(np.int64), "n_known": known.astype(np.int64), "train_tokens": np.full(len(base), n_all, np.int64), "base_score": base - n_tokens * np.log10(float(floor)), "score": score})

@@ -107,12 +107,14 @@ def test_rare_histories_and_single_bigrams_count(spark, monkeypatch):
         two.update(zip(["", *seq[:-1]], seq, strict=True))
     floor = sum(one.values()) + len(one) + 1
     least = max(1, -(-sum(one.values()) // 4))
+    often = Counter(two.values())
+    discount = often[1] / (often[1] + 2 * often[2])
     for r in lm_score.score_documents(docs, F.lit(True)).collect():
         seq, want = tokens(dict(rows)[r["doc_id"]]), 0.0
         for h, w in zip(["", *seq[:-1]], seq, strict=True):
             after = len(rows) if h == "" else one[h] if one[h] >= least else level(one[h])
             trust = lm_score.MIXTURE * after / (after + lm_score.TRUST)
-            want += math.log10(trust * min(1.0, level(two[h, w]) / after) + (1 - trust) * (level(one[w]) + 1) / floor)
+            want += math.log10(trust * min(1.0, max(level(two[h, w]) - discount, 0) / after) + (1 - trust + trust * discount / after) * (level(one[w]) + 1) / floor)
         assert abs(r["score"] - want) < 0.01 * abs(want), r["doc_id"]
 
 
@@ -137,6 +139,38 @@ def test_scores_of_odd_tables(spark):
     assert lm_score.score_documents(docs.limit(0), F.lit(True)).count() == 0
 
 
+# --- languages, without tables --------------------------------------------------------------------------
+
+
+def test_machines_of_few_languages_decide_as_restated():
+    rng = np.random.default_rng(3)
+    centre = {v: rng.normal(size=language_id.DIM) for v in ("en", "de", "fr", "es", "it", "xx")}
+
+    def rows(langs, n):
+        y = [langs[i % len(langs)] for i in range(n)]
+        x = np.array([centre[v] + rng.normal(size=language_id.DIM) for v in y], np.float32)
+        return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32), y
+
+    for langs in (["en"], ["en", "de"], ["fr", "es", "it"], ["en", "fr"], ["en", "de", "fr", "es", "it", "xx"]):
+        x, y = rows(langs, 30 * len(langs))
+        model = language_id.Model(x, y)
+        probe, truth = rows(langs, 40)
+        got, score = model.predict(probe)
+        assert (got == np.array(truth, object)).mean() >= 0.95 and ((score >= 0) & (score <= 1)).all()
+        for row, have in zip(probe[:10], got[:10], strict=True):
+            family = model.names[0]
+            if len(model.names) > 1:
+                family = max(zip(model.family_weights, model.names, strict=True), key=lambda p: float(row @ p[0][:-1] + p[0][-1]))[1]
+            members = model.members[family]
+            votes = {v: 0 for v in members}
+            for (a, b), w in model.pairs.items():
+                if a in members:
+                    votes[a if float(row @ w[:-1] + w[-1]) > 0 else b] += 1
+            assert votes[have] == max(votes.values()) and have in members
+    one = language_id.Model(*rows(["en", "de"], 3))
+    assert set(one.predict(rows(["en"], 2)[0])[0]) <= {"en", "de"}
+
+
 # --- BPE ------------------------------------------------------------------------------------------------
 
 
