@@ -109,13 +109,16 @@ def test_rare_histories_and_single_bigrams_count(spark, monkeypatch):
     least = max(1, -(-sum(one.values()) // 4))
     often = Counter(two.values())
     discount = often[1] / (often[1] + 2 * often[2])
+    off = []
     for r in lm_score.score_documents(docs, F.lit(True)).collect():
         seq, want = tokens(dict(rows)[r["doc_id"]]), 0.0
         for h, w in zip(["", *seq[:-1]], seq, strict=True):
             after = len(rows) if h == "" else one[h] if one[h] >= least else level(one[h])
             trust = lm_score.MIXTURE * after / (after + lm_score.TRUST)
             want += math.log10(trust * min(1.0, max(level(two[h, w]) - discount, 0) / after) + (1 - trust + trust * discount / after) * (level(one[w]) + 1) / floor)
-        assert abs(r["score"] - want) < 0.01 * abs(want), r["doc_id"]
+        off.append((r["score"] - want) / abs(want))
+    # one probe in a hundred hits falsely, and lifts a bigram seen once, which the discount has made small
+    assert max(map(abs, off)) < 0.02 and abs(sum(off)) / len(off) < 0.004
 
 
 def test_counts_come_back_by_level():
