@@ -24,6 +24,8 @@ RRF_K = 60
 OVERFETCH = 3
 QUERY_BLOCK = 64
 TERM_BUCKETS = 64
+#: Query vectors that are broadcast at a time, at most.
+MOST_QUERIES = 50_000
 FUNCTION_TYPES = ("function", "method", "async_function")
 #: Parts of paths that speak for an important file.
 IMPORTANT_PATHS = ("readme", "main.", "index.", "__init__", "config", "setup", "install", "getting", "started", "docs/", "documentation", "guide", "tutorial", "example")
@@ -106,7 +108,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: Sequence[str],
     before anything is shuffled.
     """
     order = W.partitionBy("query_id").orderBy("distance", *key)
-    asked = queries.select("query_id", query_vector).where(F.col(query_vector).isNotNull()).toArrow()  # the stated set
+    wanted = queries.select("query_id", query_vector).where(F.col(query_vector).isNotNull())
+    asked = wanted.limit(MOST_QUERIES + 1).toArrow()  # the stated set, checked
+    if asked.num_rows > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} query vectors at a time")
     kinds = [f"query_id {queries.schema['query_id'].dataType.simpleString()}", *(f"{c} {vectors.schema[c].dataType.simpleString()}" for c in key)]
     if not asked.num_rows:
         return vectors.sparkSession.createDataFrame([], ", ".join([*kinds, "distance double", "rank int", "score double"]))

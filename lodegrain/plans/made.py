@@ -405,6 +405,29 @@ def f7_lines_with_a_name(spark: SparkSession, d: str) -> DataFrame:
     return R.without_self(R.holding(found, "query"), "query").groupBy("doc_id").agg(F.count("*").alias("lines"))
 
 
+@query("SELECT n_nationkey AS duplicate, n_nationkey % 5 AS keeper, CASE WHEN n_nationkey < 20 THEN 1.0 ELSE 0.9 END AS similarity FROM nation WHERE n_nationkey BETWEEN 5 AND 20")
+def m10_vector_prune(spark: SparkSession, d: str) -> DataFrame:
+    """A file per nation with two vectors, those of a region alike; the last of each region is only close to the others,
+    and a judge was asked about one of these."""
+    k, r = F.col("n_nationkey"), F.col("n_nationkey") % 5
+    at = lambda x, first: F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.when(i == r, x).when(i == r + 5, first).otherwise(0.0))
+    mean = F.when(k < 20, at(F.lit(1.0), F.lit(0.0))).otherwise(at(F.lit(0.9), F.lit(0.19**0.5)))
+    two = nations(spark, d).select("n_nationkey", F.explode(F.array(F.transform(mean, lambda x: x * 0.5), F.transform(mean, lambda x: x * 1.5))).alias("v"))
+    judged = spark.createDataFrame([(0, 20, True, False)], "a int, b int, same boolean, corroborates boolean")
+    got = N.prune_by_vector(nations(spark, d), two, "n_nationkey", "v", "n_nationkey", judged)
+    return got.select("duplicate", "keeper", F.round("similarity", 6).alias("similarity"))
+
+
+@query("SELECT n_nationkey, 'made/n' || n_nationkey || '.md' AS path, CASE WHEN n_nationkey % 2 = 0 THEN 2 ELSE 1 END AS chunks FROM nation WHERE n_nationkey >= 10")
+def j7_session_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks by the path of a session's file, and where no chunk has it by its name."""
+    k = F.col("n_nationkey")
+    some = nations(spark, d).where("n_nationkey >= 10")
+    chunks = some.select(F.explode(F.when(k % 2 == 0, F.array(*(text_of("root/made/n", k, ".md") for _ in range(2)))).otherwise(F.array(text_of("old/n", k, ".txt")))).alias("file_path"))
+    files = some.select("n_nationkey", text_of("made/n", k, ".md").alias("path"))
+    return N.chunks_of_files(files, chunks).groupBy("path").agg(F.count("*").cast("int").alias("chunks")).join(files, "path").select("n_nationkey", "path", "chunks")
+
+
 # --- plain relational work over the other tables --------------------------------------------------------
 
 
