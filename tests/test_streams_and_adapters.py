@@ -126,7 +126,7 @@ def fake_fetcher():
         def fetch(self, url):
             body = "<html><title>T</title><body><article>" + "<p>words of a page that is long enough</p>" * 10 + "</article></body></html>"
             known = {
-                "https://a.example/x": (200, "text/html", body), "https://a.example/thin": (200, "text/html", "<article><p>few words, but over fifty characters of them here</p></article>"), "https://a.example/private/y": (200, "text/html", body),
+                "https://a.example/x": (200, "text/html", body), "https://a.example/thin": (200, "text/html", "<article><p>few words, but surely well over fifty characters of them here</p></article>"), "https://a.example/private/y": (200, "text/html", body),
                 "https://a.example/robots.txt": (200, "text/plain", "User-agent: *\nDisallow: /private/\n"), "https://dev.to/api/articles/u/s": (200, "application/json", '{"title": "D", "body_markdown": "' + "word " * 60 + '"}'),
             }
             if url not in known:
