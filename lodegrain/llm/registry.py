@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, lm_score, ngram_join, sharding, substring_dedup, topk, url_filter, warc
+from . import bpe, clustering, decontaminate, language_id, lm_score, minhash_dedup, ngram_join, sharding, substring_dedup, topk, url_filter, warc, whitening
 from .common import table
 
 #: The tokenizer file, at the same place on every machine.
@@ -61,6 +61,18 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it reads this module
 
@@ -68,7 +80,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_language_id, op4_sharding, op5_lm_score, op6_url_filter, op7_ngram_join, op8_bpe, op9_decontaminate, op10_topk, pipeline)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_language_id, op4_sharding, op5_lm_score, op6_url_filter, op7_ngram_join, op8_bpe, op9_decontaminate, op10_topk, op11_minhash_dedup, op12_whitening, op13_clustering, pipeline)}
 
 
 _OP2 = """
@@ -107,6 +119,10 @@ r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.roo
 m AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, m.component_id FROM s JOIN m USING (doc_id)"""
 
+_OP11 = f"""
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept
+FROM ({_OP7.replace("len(w) < 5", "len(w) < 4").replace("w[i:i + 4]", "w[i:i + 3]").replace("len(w) - 3", "len(w) - 2")})"""
+
 _OP10 = """
 WITH v AS (
   SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
@@ -126,5 +142,31 @@ t AS (SELECT unnest([{",".join(map(str, slots))}]) AS i, unnest(range({sharding.
 SELECT doc_id, slot, printf('shard-%03d', i) AS shard FROM s JOIN t USING (slot)"""
 
 
+def _op13() -> str:
+    """Lloyd's rounds written out, one after another; a floor of a quotient is exact, by the remainder."""
+    each = range(1, clustering.DIMENSION + 1)
+    parts = [f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, [CAST(floor({clustering.SCALE} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = {clustering.DIMENSION} AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+h AS (SELECT *, row_number() OVER (ORDER BY sha256('{clustering.SEED}:' || vec_id)) - 1 AS c FROM v),
+c0 AS MATERIALIZED (SELECT CAST(c AS INTEGER) AS c, v FROM h WHERE c < {clustering.K})"""]
+    for r in range(clustering.ROUNDS + 1):
+        parts.append(f"""
+d{r} AS (SELECT vec_id, c{r}.c, list_sum([(a[1] - a[2]) * (a[1] - a[2]) FOR a IN list_zip(v.v, c{r}.v)]) AS d, v.v FROM v, c{r}),
+a{r} AS MATERIALIZED (SELECT * FROM d{r} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)""")
+        if r < clustering.ROUNDS:
+            sums = ", ".join(f"sum(v[{i}]) AS s{i}" for i in each)
+            mean = ", ".join(f"CAST((s{i} - ((s{i} % n) + n) % n) // n AS BIGINT)" for i in each)
+            parts.append(f"""
+s{r} AS (SELECT c, count(*)::HUGEINT AS n, {sums} FROM a{r} GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c, coalesce(m, v) AS v FROM c{r} LEFT JOIN (SELECT c, [{mean}] AS m FROM s{r}) USING (c))""")
+    last = clustering.ROUNDS
+    return ",".join(parts) + f"""
+SELECT vec_id, c AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{last}.v, ',')) AS centroid_sha256
+FROM a{last} JOIN c{last} USING (c)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": _OP2, "op4_sharding": _op4(), "op6_url_filter": _OP6, "op7_ngram_join": _OP7, "op10_topk": _OP10}
+    return {"op2_warc": _OP2, "op4_sharding": _op4(), "op6_url_filter": _OP6, "op7_ngram_join": _OP7, "op10_topk": _OP10, "op11_minhash_dedup": _OP11, "op13_clustering": _op13()}
