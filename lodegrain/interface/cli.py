@@ -18,7 +18,8 @@ from lodegrain.interface.models import ChatModel, RememberedModel, embed_chunks,
 from lodegrain.interface.research import Research, TimeBudget
 from lodegrain.interface.settings import INDEX_DIR, nearby_index
 from lodegrain.operators.analytics import index_stats
-from lodegrain.operators.index import index_files
+from lodegrain.operators.index import index_files, open_index
+from lodegrain.operators.segments import Snapshot
 from lodegrain.plans.search import Searcher
 from lodegrain.sources.files import project_files
 from lodegrain.sources.search_engines import parse_results
@@ -37,24 +38,25 @@ def _index(folder: str) -> str:
     return str(found)
 
 
+def snapshot_of(spark: SparkSession, folder: str) -> Snapshot:
+    found = open_index(spark, _index(folder)).snapshot()
+    if found is None:
+        raise SystemExit(f"the index of {folder} has no version; make one with init")
+    return found
+
+
 def chunks_of(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{_index(folder)}/chunks")
+    return snapshot_of(spark, folder).rows()
 
 
 def build(spark: SparkSession, folder: str) -> DataFrame:
-    """Index a folder, or bring its index up to date, and keep its keyword index, so that a search tokenizes only
-    its query; returns each file's status."""
-    index = str(Path(folder) / INDEX_DIR)
-    status = index_files(spark, project_files(spark, folder), index, embed_chunks)
-    if not (Path(index) / "keywords").is_dir() or not status.where("status <> 'unchanged'").isEmpty():
-        Searcher.build(spark.read.parquet(f"{index}/chunks"), hashed_vector).save(f"{index}/keywords")
-    return status
+    """Index a folder, or bring its index up to date; returns each file's status."""
+    return index_files(spark, project_files(spark, folder), str(Path(folder) / INDEX_DIR), embed_chunks)
 
 
 def opened(spark: SparkSession, folder: str) -> Searcher:
-    """The searcher over a folder's index, by its kept keyword index if there is one."""
-    chunks, kept = chunks_of(spark, folder), Path(_index(folder)) / "keywords"
-    return Searcher.open(chunks, str(kept), hashed_vector) if kept.is_dir() else Searcher.build(chunks, hashed_vector)
+    """The searcher over the latest version of a folder's index."""
+    return Searcher.open(snapshot_of(spark, folder), hashed_vector)
 
 
 def scraped(spark: SparkSession, urls: list[str], folder: str, fetcher: Callable[[], Fetcher] = HttpFetcher) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The index as tables: change detection against a manifest and overwriting by file."""
+"""The index of a folder: change detection against its manifest, and one version per change."""
 
 from __future__ import annotations
 
@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegrain.operators.chunkers import chunk_files
-from lodegrain.sources.workspace import stage
-
-BUCKETS = 64
+from lodegrain.operators.segments import SegmentedIndex
+from lodegrain.sources.workspace import discard, stage
 
 
 def file_hash(content) -> F.Column:
@@ -32,55 +31,27 @@ def changed_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
     return files.join(todo, "file_path", "left_semi")
 
 
-def bucket_of(path: str = "file_path") -> F.Column:
-    return F.pmod(F.xxhash64(path), F.lit(BUCKETS)).cast("int")
-
-
-def upsert(spark: SparkSession, path: str, rows: DataFrame, removed: DataFrame) -> None:
-    """Replace the rows of the files in ``rows`` and drop those in ``removed`` (file_path), rewriting only the
-    buckets that hold one of them."""
-    rows = rows.withColumn("bucket", bucket_of())
-    touched = rows.select("file_path").unionByName(removed.select("file_path")).distinct().withColumn("bucket", bucket_of())
-    buckets = [r[0] for r in touched.select("bucket").distinct().collect()]  # at most BUCKETS
-    if not buckets:
-        return
-    try:
-        old = spark.read.parquet(path).where(F.col("bucket").isin(buckets))
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        rows.repartition("bucket").write.partitionBy("bucket").parquet(path)
-        return
-    new = old.join(touched.select("file_path"), "file_path", "left_anti").unionByName(rows, allowMissingColumns=True)
-    held = f"{path}__next"
-    new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(held)
-    written = spark.read.schema(new.schema).parquet(held)
-    left = {r[0] for r in written.select("bucket").distinct().collect()}  # at most BUCKETS
-    written.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    for b in set(buckets) - left:  # an overwrite leaves the buckets that have no rows any more
-        empty = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={b}")
-        empty.getFileSystem(spark._jsc.hadoopConfiguration()).delete(empty, True)
+def open_index(spark: SparkSession, path: str) -> SegmentedIndex:
+    return SegmentedIndex(spark, path)
 
 
 def index_files(spark: SparkSession, files: DataFrame, path: str, embed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Bring the index under ``path`` up to date with (file_path, content, size, mtime, hash) rows; returns
-    the status of every file.  Files without chunks are in the manifest too."""
-    try:
-        manifest = spark.read.parquet(f"{path}/manifest")
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        manifest = spark.createDataFrame([], "file_path string, size long, mtime timestamp, hash string, chunks int, language string, indexed_at timestamp")
-    status = stage(manifest_diff(files, manifest), "file-status")  # the manifest is overwritten below
+    """Bring the index under ``path`` up to date with (file_path, content, size, mtime, hash) rows, as one new version
+    of chunks, manifest and keywords together; returns the status of every file.  Only new and changed files are
+    chunked and tokenized.  Files without chunks are in the manifest too."""
+    index = open_index(spark, path)
+    now = index.snapshot()
+    manifest = now.owners() if now else spark.createDataFrame([], "file_path string, size long, mtime timestamp, hash string")
+    status = stage(manifest_diff(files, manifest), "file-status")
+    if status.where("status <> 'unchanged'").isEmpty():
+        return status
     todo = files.join(status.where(F.col("status").isin("new", "changed")).select("file_path"), "file_path", "left_semi")
     chunks = chunk_files(todo)
-    chunks = (embed(chunks) if embed else chunks).withColumn("indexed_at", F.current_timestamp())
-    removed = status.where("status = 'removed'").select("file_path").unionByName(todo.select("file_path"))
-    upsert(spark, f"{path}/chunks", chunks, removed)
-    counted = spark.read.parquet(f"{path}/chunks").groupBy("file_path").agg(F.count("*").cast("int").alias("chunks"), F.first("language").alias("language"))
-    live = files.select("file_path", "size", "mtime", "hash").join(counted, "file_path", "left").select("file_path", "size", "mtime", "hash", F.coalesce("chunks", F.lit(0)).alias("chunks"), "language", F.current_timestamp().alias("indexed_at"))
-    live.write.mode("overwrite").parquet(f"{path}/manifest__next")
-    spark.read.parquet(f"{path}/manifest__next").write.mode("overwrite").parquet(f"{path}/manifest")
+    chunks = stage((embed(chunks) if embed else chunks).withColumn("indexed_at", F.current_timestamp()), "chunks")
+    counted = chunks.groupBy("file_path").agg(F.count("*").cast("int").alias("chunks"), F.first("language").alias("language"))
+    held = todo.select("file_path", "size", "mtime", "hash").join(counted, "file_path", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0))).withColumn("indexed_at", F.current_timestamp())
+    index.update(chunks, held, status.where("status = 'removed'").select("file_path"))
+    discard(chunks)
     return status
 
 

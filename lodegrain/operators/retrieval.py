@@ -23,7 +23,6 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
 OVERFETCH = 3
 QUERY_BLOCK = 64
-TERM_BUCKETS = 64
 #: Query vectors that are broadcast at a time, at most.
 MOST_QUERIES = 50_000
 FUNCTION_TYPES = ("function", "method", "async_function")
@@ -33,10 +32,11 @@ IMPORTANT_PATHS = ("readme", "main.", "index.", "__init__", "config", "setup", "
 
 @dataclass
 class KeywordIndex:
-    """BM25 tables: postings (term, key..., tf, dl), one row per chunk (key..., dl), one per term (term, df, idf).
+    """BM25 tables made for one batch: postings (term, key..., tf, dl), one row per chunk (key..., dl), one per term
+    (term, df, idf).  An index that is kept, and changes, is one of :mod:`lodegrain.operators.segments`.
 
-    An index that was just built has ``tokens`` (key..., tokens, dl) instead of postings that are there already: a
-    batch of queries then groups the tokens it asks for, and no others."""
+    ``tokens`` (key..., tokens, dl), if there are any, are read instead of postings: a batch of queries then groups the
+    tokens it asks for, and no others."""
 
     postings: DataFrame
     chunks: DataFrame
@@ -44,17 +44,10 @@ class KeywordIndex:
     key: tuple[str, ...]
     tokens: DataFrame | None = None
 
-    def save(self, path: str) -> None:
-        """Postings are written in buckets of their term, so a query reads few of them."""
-        bucket = F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")
-        self.postings.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-        self.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-
-    @classmethod
-    def load(cls, spark, path: str, key: Sequence[str]) -> KeywordIndex:
-        read = lambda n: spark.read.parquet(f"{path}/{n}")
-        return cls(read("postings"), read("chunks"), read("terms"), tuple(key))
+    def bm25(self, queries: DataFrame, k: int, query: str = "query", within: DataFrame | None = None) -> DataFrame:
+        """As :func:`bm25`, of the chunks whose key is in ``within``, if that is given; statistics stay those of all."""
+        keep = lambda df: df.join(within, list(self.key), "left_semi") if df is not None and within is not None else df
+        return bm25(KeywordIndex(keep(self.postings), self.chunks, self.terms, self.key, keep(self.tokens)), queries, k, query)
 
     def hits(self, terms: DataFrame) -> DataFrame:
         """(term, key..., tf, dl) of the chunks that hold one of the ``terms`` (term), a stated set."""
@@ -62,12 +55,7 @@ class KeywordIndex:
         if self.tokens is not None:
             found = self.tokens.select(*self.key, "dl", F.explode("tokens").alias("term")).join(bounded(terms, n), "term", "left_semi")
             return found.groupBy("term", *self.key, "dl").agg(F.count("*").alias("tf"))
-        postings = self.postings
-        if "bucket" in postings.columns:  # a saved index: only the terms' buckets are read
-            asked = [r[0] for r in terms.select(F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")).distinct().collect()]  # at most the buckets
-            postings = postings.where(F.col("bucket").isin(asked))
-            postings = postings.drop("bucket")
-        return postings.join(bounded(terms, n), "term", "left_semi")
+        return self.postings.join(bounded(terms, n), "term", "left_semi")
 
 
 def build_keyword_index(chunks: DataFrame, key: Sequence[str], text: Column) -> KeywordIndex:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodegrain.functions import text as T
 from lodegrain.operators import retrieval as R
+from lodegrain.operators.segments import Snapshot
 from lodegrain.sources.workspace import bounded
 
 KEY = ("file_path", "chunk_index")
@@ -22,17 +23,13 @@ class Searcher:
     (query_id, query), a stated set, and answer it in one plan."""
 
     chunks: DataFrame
-    keywords: R.KeywordIndex
+    keywords: R.KeywordIndex | Snapshot
     query_vector: Callable[[Column], Column] | None = None
 
-    def save(self, path: str) -> None:
-        """Keep the keyword index, so that later sessions open it and tokenize nothing."""
-        self.keywords.save(path)
-
     @classmethod
-    def open(cls, chunks: DataFrame, path: str, query_vector: Callable[[Column], Column] | None = None) -> Searcher:
-        """With a keyword index that was saved."""
-        return cls(chunks, R.KeywordIndex.load(chunks.sparkSession, path, KEY), query_vector)
+    def open(cls, snapshot: Snapshot, query_vector: Callable[[Column], Column] | None = None) -> Searcher:
+        """Over a version of a kept index: nothing but the queries is tokenized."""
+        return cls(snapshot.rows(), snapshot, query_vector)
 
     @classmethod
     def build(cls, chunks: DataFrame, query_vector: Callable[[Column], Column] | None = None) -> Searcher:
@@ -47,18 +44,14 @@ class Searcher:
         Retrieval uses the column ``expanded``, ranking the query itself.  Filters follow the retrievers' limits
         unless ``prefilter`` is set.  Ties go to the better place in the first list.
         """
-        chunks, index = self.chunks, self.keywords
-        if prefilter:
-            chunks = R.post_filter(chunks, chunk_types, languages, file_pattern)
-            keep = lambda df: df.join(chunks.select(*KEY), list(KEY), "left_semi") if df is not None else None
-            index = R.KeywordIndex(keep(index.postings), index.chunks, index.terms, index.key, keep(index.tokens))
+        chunks = R.post_filter(self.chunks, chunk_types, languages, file_pattern) if prefilter else self.chunks
         asked = queries.select("query_id", F.col(expanded).alias("_asked"))
         fetch = top_k * R.OVERFETCH
         lists = []
         if self.query_vector is not None and "embedding" in chunks.columns:
             vectors = asked.select("query_id", self.query_vector(F.col("_asked")).alias("query_vector")).where("query_vector is not null")
             lists.append((R.nearest(chunks.where("embedding is not null"), vectors, fetch, KEY), semantic_weight))
-        words = R.bm25(index, asked, fetch, "_asked")
+        words = self.keywords.bm25(asked, fetch, "_asked", chunks.select(*KEY) if prefilter else None)
         lists.append((words, bm25_weight))
         hits = words.select("query_id").distinct().withColumn("_words", F.lit(True))
         fused = R.fuse(lists, KEY).join(hits, "query_id", "left").withColumn("semantic_only", F.col("_words").isNull()).drop("_words")

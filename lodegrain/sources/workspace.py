@@ -14,24 +14,42 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 SALTS = 32
 _own: dict[str, str] = {}
+_swept: set[str] = set()
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``, or under a folder of our own where that is unset and all runs in
-    one process."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path in the application's folder under ``spark.checkpoint.dir``, or under a folder of our own where that is
+    unset and all runs in one process.  The application's folder goes when the driver ends."""
+    root, app = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
     if not root:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="lodegrain-"))
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        root = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="lodegrain-"))
+    root = f"{root.rstrip('/')}/lodegrain-{app}"
+    if root not in _swept:
+        _swept.add(root)
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` and read it back, so its lineage ends in files that all executors share."""
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*staged: DataFrame | None) -> None:
+    """Remove tables of :func:`stage` that nothing will read any more."""
+    for df in staged:
+        if df is not None:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._staged_at)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:

@@ -105,12 +105,12 @@ def test_manifest_diff_and_index(spark, tmp_path):
     assert found == {"a.py", "sub/b.md", "tool"}
     out = str(tmp_path / "index")
     assert {r["status"] for r in I.index_files(spark, fs.project_files(spark, str(src)), out).collect()} == {"new"}
-    first = spark.read.parquet(f"{out}/chunks").count()
+    first = I.open_index(spark, out).snapshot().rows().count()
     (src / "a.py").write_text("def f():\n    return 1\n\n\ndef g():\n    return 2\n")
     (src / "sub/b.md").unlink()
     got = {r["file_path"]: r["status"] for r in I.index_files(spark, fs.project_files(spark, str(src)), out).collect()}
     assert got == {"a.py": "changed", "sub/b.md": "removed", "tool": "unchanged"}
-    rows = spark.read.parquet(f"{out}/chunks").collect()
+    rows = I.open_index(spark, out).snapshot().rows().collect()
     assert {r["file_path"] for r in rows} == {"a.py", "tool"} and len({(r["file_path"], r["chunk_index"]) for r in rows}) == len(rows) and first > 0
 
 

@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from lodegrain.interface import cli, limits, models, server, settings
 from lodegrain.interface.research import Research, TimeBudget
-from lodegrain.operators import index
-from lodegrain.operators import retrieval as R
+from lodegrain.operators import index as kept_index
 from lodegrain.plans.search import Searcher
 from lodegrain.sources import site_apis
 from lodegrain.streaming import events as Z
@@ -43,7 +42,7 @@ def test_watching_a_folder(spark, tmp_path):
     for _ in range(2):
         Z.watch(spark, str(src), index, str(tmp_path / "check"), once=True).awaitTermination()
         (src / "b.py").write_text("def g():\n    return 2\n")
-    assert {r["file_path"] for r in spark.read.parquet(f"{index}/chunks").select("file_path").distinct().collect()} == {"a.py", "b.py"}
+    assert {r["file_path"] for r in kept_index.open_index(spark, index).snapshot().rows().select("file_path").distinct().collect()} == {"a.py", "b.py"}
 
 
 def test_token_bucket_and_retries():
@@ -172,15 +171,14 @@ def test_a_kept_keyword_index_answers_as_a_new_one(spark, tmp_path):
     (tmp_path / "env").mkdir()
     (tmp_path / "env" / "skip.py").write_text("x = 1\n" * 50)
     began = {r["status"]: r["count"] for r in cli.build(spark, str(tmp_path)).groupBy("status").count().collect()}
-    assert began == {"new": 6} and (tmp_path / settings.INDEX_DIR / "keywords").is_dir()
+    assert began == {"new": 6} and (tmp_path / settings.INDEX_DIR / "_versions").is_dir()
     queries = spark.createDataFrame([(1, "load_config_3 path"), (2, "configuration number 5")], "query_id int, query string")
     kept = cli.opened(spark, str(tmp_path))
     fresh = Searcher.build(kept.chunks, models.hashed_vector)
-    assert kept.keywords.tokens is None and fresh.keywords.tokens is not None
-    rows = [sorted((r["query_id"], r["file_path"], r["chunk_index"], r["score"]) for r in R.bm25(s.keywords, queries, 5).collect()) for s in (kept, fresh)]
+    rows = [sorted((r["query_id"], r["file_path"], r["chunk_index"], r["score"]) for r in s.keywords.bm25(queries, 5).collect()) for s in (kept, fresh)]
     assert rows[0] == rows[1] and rows[0]
-    stats = index.indexing_stats(spark.createDataFrame([("src/m0.py", "new"), ("src/none.py", "new"), ("src/m1.py", "unchanged")], "file_path string, status string"), kept.chunks, 2.0).first()
-    assert (stats["files"], stats["indexed"], stats["failed"], stats["files_per_second"]) == (3, 1, 1, 0.5) and index.index_size(spark, str(tmp_path / settings.INDEX_DIR)) > 1000
+    stats = kept_index.indexing_stats(spark.createDataFrame([("src/m0.py", "new"), ("src/none.py", "new"), ("src/m1.py", "unchanged")], "file_path string, status string"), kept.chunks, 2.0).first()
+    assert (stats["files"], stats["indexed"], stats["failed"], stats["files_per_second"]) == (3, 1, 1, 0.5) and kept_index.index_size(spark, str(tmp_path / settings.INDEX_DIR)) > 1000
 
 
 def test_entry_without_the_llm_subpackage(tmp_path):
