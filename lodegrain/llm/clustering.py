@@ -257,7 +257,7 @@ def _final(blocks: DataFrame, c: Centroids, dimension: int) -> DataFrame:
                 for j in np.unique(cluster):
                     own = cluster == j
                     found = squares(x[own], at[j])
-                    total[j] = sum(found.tolist())
+                    total[j] = min(sum(found.tolist()), 1 << 64)  # beyond a long it is held to its end
                     gap[own] = np.array([min(int(v), _LONG) for v in found], np.int64) if found.dtype == object else found
                 yield pa.RecordBatch.from_arrays([pa.array([h], pa.binary()) for h in (r["ids"], r["valid"], r["cluster"], narrow(gap))] + [pa.array([" ".join(map(str, total)).encode()], pa.binary())], names=["ids", "valid", "cluster", "distance", "inertia"])
 

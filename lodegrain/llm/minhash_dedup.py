@@ -9,8 +9,9 @@
 3. The signature is cut into bands (:func:`banding`).  Each document is verified, on the whole sets, against the first
    one of the bucket in which it shares most bands; components of the links are groups.
 4. A bucket that still holds several groups may hide links between them that do not go through its first document.
-   The documents of such buckets, and only they, are compared once more: groups that share a prefix shingle and whose
-   sizes allow a link are searched member by member in blocks, again on whole sets.
+   The documents of such buckets, and only they, are compared once more.  Those go that share too few shingles with
+   all others of them together; groups of the rest that share a prefix shingle and whose bounds allow a link are
+   searched member by member in blocks, again on whole sets.
 5. Components of all links are the result.
 
 Buckets and groups of any size are spread: minima are salted, a group has one row per shingle whatever its
@@ -161,7 +162,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     label = stage(roots.join(mixed, "key", "left_semi").select(F.col("doc_id").alias("node"), "root").distinct(), "labels")
     discard(spark, buckets._staged_at)
     if n := label.count():
-        open_sets = stage(sets.join(bounded(label.select("node"), n), F.col("doc_id") == F.col("node"), "left_semi"), "open-sets")
+        # how many shingles of an open document occur in another one bounds its overlap with all of them
+        still = bounded(label.select("node").distinct(), n)
+        total = sets.join(still, F.col("doc_id") == F.col("node"), "left_semi").agg(F.sum("n")).first()[0] or 0
+        counted = stage(J.shared_counts(rows.join(still, F.col("doc_id") == F.col("node"), "left_semi"), tokens, total).where(F.col("n") > 0).where(F.col("c") * 100 >= F.col("n") * percent), "shared")
+        most = counted.groupBy("doc_id").agg(F.max("c").alias("c"))
+        open_sets = stage(sets.drop("c").join(bounded(most, n), "doc_id").select("doc_id", "n", "c", "tokens"), "open-sets")
         pairs = stage(J._group_pairs(stage(J._token_groups(open_sets, label, percent), "matrix"), label, percent), "group-pairs")
         if not pairs.isEmpty():
             more = stage(J._search_groups(pairs, open_sets, label, percent), "group-links")
