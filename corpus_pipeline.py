@@ -15,8 +15,11 @@ from lodegrain.llm.registry import TOKENIZER
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter and those in no language that was learnt from the labelled ones."""
+    """Drop documents without a letter and those in no language that was learnt from the labelled ones.  Where no document
+    has a label nothing is learnt and nothing is decided: all stay."""
     model = language_id.fit(docs)
+    if model is None:
+        return docs
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = dict(zip(docs.columns, names, strict=True))
     found = language_id.identify(docs.toDF(*names), model, at["doc_id"], at["text"], keep=tuple(n for n in names if n != at["doc_id"]), learnt_only=True)
