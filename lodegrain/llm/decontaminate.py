@@ -11,6 +11,7 @@ Texts are compared in lower case with each run of anything but letters and digit
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator, Sequence
 
 import ahocorasick
@@ -26,6 +27,8 @@ from .common import bound_batches, stage
 #: Edits allowed, as a share of an item's normalised length, and the length below which none are.
 EDIT_SHARE = 0.05
 EXACT_BELOW = 40
+#: Words that an item has at least; what is shorter occurs in clean text too.
+LEAST_WORDS = 2
 BLOCK_ITEMS = 10_000
 _GAP = re.compile(r"[\W_]+")
 CHUNK = 1 << 20
@@ -81,6 +84,23 @@ def myers(pattern: str, text: str, most: int, peq: dict[str, int] | None = None)
     return best
 
 
+def _covered(begins: list[int], stops: list[int], begin: int, stop: int) -> bool:
+    """Whether one of the ranges holds [begin, stop); both ends of the ranges rise."""
+    at = bisect_right(begins, begin) - 1
+    return at >= 0 and stops[at] >= stop
+
+
+def _enter(begins: list[int], stops: list[int], begin: int, stop: int) -> None:
+    """Put a range in its place, in place of those that it holds."""
+    at = bisect_right(begins, begin)
+    if at and begins[at - 1] == begin:
+        at -= 1
+    end = at
+    while end < len(begins) and stops[end] <= stop:
+        end += 1
+    begins[at:end], stops[at:end] = [begin], [stop]
+
+
 class Matcher:
     """A block of items: (item ids, normalised text) with equal texts together."""
 
@@ -103,7 +123,7 @@ class Matcher:
         best: dict[int, tuple[int, int]] = {}
         if not self.items or not text:
             return best
-        tried: dict[int, list[tuple[int, int]]] = {}
+        tried: dict[int, tuple[list[int], list[int]]] = {}
         for end, (size, places) in self.automaton.iter(text):
             for i, at in places:
                 _, item, edits = self.items[i]
@@ -111,11 +131,12 @@ class Matcher:
                     continue
                 begin = max(0, end + 1 - size - at - edits)
                 stop = min(len(text), end + 1 - size - at + len(item) + edits)
-                if any(a <= begin and stop <= b for a, b in tried.get(i, ())):
+                done = tried.setdefault(i, ([], []))
+                if _covered(*done, begin, stop):
                     continue
                 # a little wider, so the hits of neighbouring pieces share one verification
                 begin, stop = max(0, begin - edits), min(len(text), stop + edits)
-                tried.setdefault(i, []).append((begin, stop))
+                _enter(*done, begin, stop)
                 if i not in self.peq:
                     self.peq[i] = masks(item)
                 got = myers(item, text[begin:stop], edits, self.peq[i])
@@ -126,7 +147,15 @@ class Matcher:
         return best
 
 
-def _blocks(benchmark: DataFrame, item_key: str, item_text: str, block_items: int) -> Iterator[Broadcast]:
+def short_items(benchmark: DataFrame, item_key: str = "item_id", item_text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """(item_key, item_text, words) of the items with fewer than ``least_words`` words, which are not searched for; a
+    null text has none."""
+    flat = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(item_text).cast("string"), F.lit(""))), r"(?U)[\W_]+", " "))
+    words = F.when(flat == "", 0).otherwise(F.size(F.split(flat, " ")))
+    return benchmark.select(F.col(item_key).alias(item_key), F.col(item_text).alias(item_text), words.alias("words")).where(F.col("words") < least_words)
+
+
+def _blocks(benchmark: DataFrame, item_key: str, item_text: str, block_items: int, least_words: int) -> Iterator[Broadcast]:
     """The items, (ids, normalised text) with equal texts together, in broadcast blocks of about ``block_items``."""
     spark = benchmark.sparkSession
     asked = stage(benchmark.select(F.col(item_key).cast("long").alias("id"), F.col(item_text).cast("string").alias("t")).where("t is not null"), "items")
@@ -135,17 +164,17 @@ def _blocks(benchmark: DataFrame, item_key: str, item_text: str, block_items: in
         block = asked.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == n) if blocks > 1 else asked
         groups: dict[str, list[int | None]] = {}
         for r in block.toLocalIterator():
-            if flat := normalise(r["t"]):
+            if len((flat := normalise(r["t"])).split()) >= max(1, least_words):
                 groups.setdefault(flat, []).append(r["id"])
         yield spark.sparkContext.broadcast([(tuple(v), k) for k, v in sorted(groups.items())])
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", share: float = EDIT_SHARE, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", share: float = EDIT_SHARE, block_items: int = BLOCK_ITEMS, least_words: int = LEAST_WORDS) -> DataFrame:
     """(key, item_id, distance int, match_end long) for each document and benchmark item that occurs in it
     within the item's edit budget; ``match_end`` is a position in the normalised text.
 
     Null and empty texts, on either side, match nothing.  Items of under 40 normalised characters must occur
-    exactly, between word ends.  Items with equal texts each give a row, as do repeated documents; null keys
+    exactly, between word ends; items of under ``least_words`` words are left out (:func:`short_items` lists them).  Items with equal texts each give a row, as do repeated documents; null keys
     and ids stay null.  Other columns are not read.
     """
     bound_batches(docs.sparkSession)
@@ -154,7 +183,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
     schema = f"_key {kind}, item_id long, distance int, match_end long"
     rows = spread(docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text")))
     out = None
-    for sent in _blocks(benchmark, item_key, item_text, block_items):
+    for sent in _blocks(benchmark, item_key, item_text, block_items, least_words):
 
         def match(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(sent.value, share)
@@ -172,17 +201,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id
     return out.withColumnRenamed("_key", key)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", share: float = EDIT_SHARE, block_items: int = BLOCK_ITEMS) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", share: float = EDIT_SHARE, block_items: int = BLOCK_ITEMS, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark item within its edit budget.
 
     Each row is judged by its own text, so rows that share a key, or have none, do not fall with one another; null and
-    empty texts stay, and an empty benchmark takes nothing.  All columns are kept as they are."""
+    empty texts stay, and an empty benchmark takes nothing, nor do items of under ``least_words`` words.  All columns are kept as they are."""
     bound_batches(docs.sparkSession)
     columns, at = docs.columns, docs.columns.index(text)
     names = [f"c{i}" for i in range(len(columns))]
     typed = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema, strict=True))
     kept = spread(docs).toDF(*names)
-    for sent in _blocks(benchmark, item_key, item_text, block_items):
+    for sent in _blocks(benchmark, item_key, item_text, block_items, least_words):
 
         def clean(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(sent.value, share)

@@ -165,18 +165,20 @@ def fold(key: Column, folds: int) -> Column:
 
 
 def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS, families: Mapping[str, Iterable[str]] = FAMILIES) -> Model | None:
-    """Fit from rows with a text and a label.  Languages are sampled alike, by a hash of key and label, to at
-    most ``sample_rows`` rows in all; None if there are no labelled rows."""
+    """Fit from rows with a text and a label, at most ``sample_rows`` of them; None if there are no labelled rows.
+
+    Languages are sampled alike, by a hash of text and label, and a text counts once for each label.  Ids take no part, so null
+    or repeated ids change nothing (``key`` is not read).  Of every language that has a row at least one text is drawn."""
     bound_batches(labelled.sparkSession)
     rows = spread(labelled).where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    counts = {r[0]: r[1] for r in rows.groupBy(lang).count().collect()}
+    draw = F.pmod(F.xxhash64(F.col(text), F.col(lang), F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
+    counts = {r[0]: (r[1], r[2]) for r in rows.groupBy(lang).agg(F.count("*"), F.min(draw)).collect()}  # one row a language
     if not counts:
         return None
     share = max(1, sample_rows // len(counts))
-    part = F.lit(0.0)
-    for v, c in sorted(counts.items()):
-        part = F.when(F.col(lang) == v, min(1.0, 0.9 * share / c)).otherwise(part)
-    draw = F.pmod(F.xxhash64(key, F.lit("language sample")), F.lit(1 << 30)) / float(1 << 30)
+    most = F.lit(0.0)
+    for v, (c, least) in sorted(counts.items()):
+        most = F.when(F.col(lang) == v, max(min(1.0, 0.9 * share / c), least)).otherwise(most)
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -184,7 +186,8 @@ def fit(labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str
                 x = text_features(b.column(1).slice(i, j - i)).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
-    sample = rows.where(draw < part).select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(features, "lang string, x binary").limit(sample_rows).toArrow()
+    drawn = rows.where(draw <= most).select(F.col(lang).alias("lang"), F.col(text).alias("text")).dropDuplicates()
+    sample = drawn.mapInArrow(features, "lang string, x binary").limit(sample_rows).toArrow()
     if not sample.num_rows:
         return None
     x = np.frombuffer(b"".join(sample["x"].to_pylist()), np.float16).reshape(-1, DIM).astype(np.float32)

@@ -43,6 +43,17 @@ def test_texts_without_letters_and_without_labels(spark):
     assert {r["lang_pred"] for r in language_id.identify(docs, None).collect()} == {"und"} and language_id.identify(docs.limit(0), model).count() == 0
 
 
+def test_sampling_does_not_go_by_ids(spark):
+    """Null ids, ids that are repeated by a language, rare languages and rows that are all alike."""
+    text = {"de": "der die das und ist nicht ein", "en": "the and of that is not a", "fr": "le la les et est pas une"}
+    rows = [(None if i % 3 else 1, f"{text[v]} {i}", v) for i in range(3000) for v in ("de", "en")] + [(2, text["fr"], "fr")] * 2000 + [(3, "el la los y no es una", "es")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs, sample_rows=200)
+    assert {v for m in model.members.values() for v in m} == {"de", "en", "fr", "es"}
+    asked = spark.createDataFrame([(i, t, None) for i, t in enumerate(text.values())], "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.identify(asked, model).collect()} == {0: "de", 1: "en", 2: "fr"}
+
+
 def test_a_machine_separates():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 5)).astype(np.float32)

@@ -1,6 +1,7 @@
 """n-gram Jaccard join, substring de-duplication and decontamination against brute force."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -371,3 +372,31 @@ def test_items_within_the_budget_are_found(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in decontaminate.decontaminate(same, bench, block_items=2).collect()), key=str) == [(9, "clean"), (9, None), (None, "clean")]
     assert decontaminate.decontaminate(same, bench.limit(0)).count() == 5 and decontaminate.decontaminate(same.limit(0), bench).count() == 0
     assert decontaminate.find_contamination(table(spark, []), bench).count() == 0 and decontaminate.find_contamination(table(spark, docs), bench.limit(0)).count() == 0
+
+
+def test_items_of_one_word_take_nothing(spark):
+    docs = [(i, f"The {sentence(random.Random(i), 8)}") for i in range(20)]
+    bench = spark.createDataFrame([(0, "The"), (1, " -- "), (2, None), (3, docs[4][1])], "item_id long, text string")
+    assert sorted(r["doc_id"] for r in decontaminate.decontaminate(table(spark, docs), bench).collect()) == [i for i in range(20) if i != 4]
+    assert {r["item_id"]: r["words"] for r in decontaminate.short_items(bench).collect()} == {0: 1, 1: 0, 2: 0}
+    assert decontaminate.find_contamination(table(spark, docs), bench, least_words=1).where("item_id = 0").count() == 20
+
+
+def test_a_piece_that_a_long_text_repeats():
+    """Ranges that were verified are looked up, not scanned."""
+    item = decontaminate.normalise("a b a b a b a b " * 8 + "the end of it")
+    matcher = decontaminate.Matcher([((1,), item)])
+    text = decontaminate.normalise("a b a b x " * 60_000)
+    began = time.perf_counter()
+    assert matcher.find(text) == {} and matcher.find(text + item[1:])[0][0] == 0
+    assert time.perf_counter() - began < 60
+    rng = random.Random(1)
+    begins, stops, held = [], [], []
+    for _ in range(400):
+        a = rng.randrange(1000)
+        b = a + rng.randrange(1, 80)
+        inside = any(x <= a and b <= y for x, y in held)
+        assert decontaminate._covered(begins, stops, a, b) == inside
+        if not inside:
+            decontaminate._enter(begins, stops, a, b)
+            held.append((a, b))

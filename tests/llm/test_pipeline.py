@@ -10,7 +10,7 @@ SMALL = "/root/testdata/sf0.001"
 
 
 def test_registry_names():
-    assert [n for n in registry.queries() if n.startswith("op")] == [f"op{i}_{n}" for i, n in enumerate(("substring_dedup", "warc", "language_id", "sharding", "lm_score", "url_filter", "ngram_join", "bpe", "decontaminate", "topk"), 1)]
+    assert [n for n in registry.queries() if n.startswith("op")] == [f"op{i}_{n}" for i, n in enumerate(("substring_dedup", "warc", "language_id", "sharding", "lm_score", "url_filter", "ngram_join", "bpe", "decontaminate", "topk", "minhash_dedup", "whitening", "clustering"), 1)]
     assert set(registry.oracle_sql()) <= set(registry.queries()) and "pipeline" in registry.queries()
 
 
@@ -39,6 +39,11 @@ def test_languages_not_learnt_go(spark):
     assert kept == set(range(60)) and language_id.fit(docs) is not None
 
 
+def test_without_labels_nothing_is_decided(spark):
+    docs = spark.createDataFrame([(i, "the and of that with this from have not are", None, "s", 1) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert P.by_language(spark, docs, SMALL).count() == 20
+
+
 def test_texts_in_no_learnt_language_go(spark):
     """Texts of other languages, encoded junk and random letters have letters, but are none of the learnt."""
     rng = random.Random(3)
