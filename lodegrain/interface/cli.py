@@ -13,7 +13,7 @@ from urllib.parse import urlencode
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodegrain.functions.text import url_host
+from lodegrain.functions.text import normalise_domain
 from lodegrain.interface.models import ChatModel, RememberedModel, embed_chunks, hashed_vector
 from lodegrain.interface.research import Research, TimeBudget
 from lodegrain.interface.settings import INDEX_DIR, nearby_index
@@ -23,8 +23,12 @@ from lodegrain.operators.segments import Snapshot
 from lodegrain.plans.search import Searcher
 from lodegrain.sources.files import project_files
 from lodegrain.sources.search_engines import parse_results
-from lodegrain.sources.web import Fetcher, HttpFetcher, fetch, page_files, scrape
-from lodegrain.sources.workspace import stage
+from lodegrain.sources.web import Fetcher, HttpFetcher, page_files, robots_of, scrape
+from lodegrain.streaming.politeness import fetch_all
+
+
+#: A file of a folder that names the domains it never asks.
+BLOCKED = "blocked_domains.txt"
 
 
 def session() -> SparkSession:
@@ -59,13 +63,22 @@ def opened(spark: SparkSession, folder: str) -> Searcher:
     return Searcher.open(snapshot_of(spark, folder), hashed_vector)
 
 
+def blocked_domains(spark: SparkSession, folder: str) -> DataFrame:
+    """(domain) of a folder's list of blocked domains, one a line; none where there is no list."""
+    path = Path(folder) / BLOCKED
+    lines = [line.strip() for line in path.read_text().splitlines()] if path.is_file() else []
+    named = spark.createDataFrame([(line,) for line in lines if line and not line.startswith("#")], "domain string")
+    return named.select(normalise_domain(F.col("domain")).alias("domain"))
+
+
+def read_pages(spark: SparkSession, urls: DataFrame, folder: str, fetcher: Callable[[], Fetcher] = HttpFetcher) -> tuple[DataFrame, DataFrame]:
+    """(pages, outcomes) of (url) rows within each host's budget, by its robots.txt and the folder's blocked domains."""
+    return scrape(urls, fetcher, blocked_domains(spark, folder), robots_of(urls, fetcher), fetch=fetch_all)
+
+
 def scraped(spark: SparkSession, urls: list[str], folder: str, fetcher: Callable[[], Fetcher] = HttpFetcher) -> DataFrame:
     """Scrape ``urls`` into markdown files under ``folder``; returns each url's outcome."""
-    wanted = spark.createDataFrame([(u,) for u in urls], "url string")
-    hosts = wanted.select(F.lower(url_host("url")).alias("host")).where("host <> ''").distinct()
-    asked = fetch(hosts.select(F.concat(F.lit("https://"), "host", F.lit("/robots.txt")).alias("url")), fetcher)
-    robots = stage(asked, "robots").where("http_status = 200").select(F.lower(url_host("url")).alias("host"), F.col("body").cast("string").alias("body"))
-    pages, outcomes = scrape(wanted, fetcher, spark.createDataFrame([], "domain string"), robots)
+    pages, outcomes = read_pages(spark, spark.createDataFrame([(u,) for u in urls], "url string"), folder, fetcher)
     Path(folder).mkdir(parents=True, exist_ok=True)
     for r in page_files(pages, datetime.now(UTC).isoformat()).toLocalIterator():  # a stated list of urls
         (Path(folder) / r["file_name"]).write_text(r["body"])
@@ -114,14 +127,13 @@ def parser() -> argparse.ArgumentParser:
 
 def _research(spark: SparkSession, a: argparse.Namespace) -> None:
     """Rounds of search, scraping and analysis on a topic, by a local model and a web search without a key."""
-    none = spark.createDataFrame([], "domain string")
 
     def search(queries: list[str]) -> DataFrame:
         found = [found_online(spark, q, a.top_k).select("url") for q in queries]
         return reduce(DataFrame.unionByName, found)
 
     def read(urls: DataFrame) -> DataFrame:
-        pages, _ = scrape(urls, HttpFetcher, none, none.selectExpr("domain as host", "domain as body"))
+        pages, _ = read_pages(spark, urls, a.folder)
         return pages.select("url", "title", "content")
 
     model = RememberedModel(ChatModel(a.model_url, a.model))

@@ -111,6 +111,15 @@ def fetch(urls: DataFrame, fetcher: Callable[[], Fetcher]) -> DataFrame:
     return urls.select("url").mapInPandas(run, "url string, http_status int, content_type string, body binary, error string")
 
 
+def robots_of(urls: DataFrame, fetcher: Callable[[], Fetcher]) -> DataFrame:
+    """(host, body) of robots.txt of the hosts of (url) rows; those without one have no row."""
+    from lodegrain.sources.workspace import stage
+
+    hosts = urls.select(F.lower(T.url_host("url")).alias("host")).where("host <> ''").distinct()
+    asked = fetch(hosts.select(F.concat(F.lit("https://"), "host", F.lit("/robots.txt")).alias("url")), fetcher)
+    return stage(asked, "robots").where("http_status = 200").select(F.lower(T.url_host("url")).alias("host"), F.col("body").cast("string").alias("body"))
+
+
 def scrape_status(urls: DataFrame, extracted: DataFrame, blacklist: DataFrame, robots: DataFrame, min_content: int = MIN_CONTENT) -> DataFrame:
     """(url, domain, outcome, word_count): blacklisted, robots, missing, thin or ok, in the order a scraper checks.
     ``extracted`` has (url, word_count) of the pages that could be read."""
@@ -144,12 +153,13 @@ class HttpFetcher:
             return answer.status, answer.headers.get("Content-Type", ""), answer.read(self.most)
 
 
-def scrape(urls: DataFrame, fetcher: Callable[[], Fetcher], blacklist: DataFrame, robots: DataFrame, min_content: int = MIN_CONTENT) -> tuple[DataFrame, DataFrame]:
+def scrape(urls: DataFrame, fetcher: Callable[[], Fetcher], blacklist: DataFrame, robots: DataFrame, min_content: int = MIN_CONTENT, fetch: Callable[[DataFrame, Callable[[], Fetcher]], DataFrame] = fetch) -> tuple[DataFrame, DataFrame]:
     """(pages, outcomes) of (url) rows: urls of a site with an API by its answers, the others, if their domain is not
     blocked and robots.txt allows them, by their page; pages of under ``min_content`` / 5 words are thin and left out.
 
     pages has (url, title, content, word_count, links, source_type), outcomes (url, domain, outcome, word_count).  What
-    was fetched is written, so a later action asks no service again."""
+    was fetched is written, so a later action asks no service again.  ``fetch`` makes the requests;
+    :func:`lodegrain.streaming.politeness.fetch_all` keeps to each host's budget."""
     from lodegrain.operators.documents import extract
     from lodegrain.sources import site_apis
     from lodegrain.sources.workspace import stage

@@ -141,6 +141,9 @@ def test_scraping_is_one_plan(spark, tmp_path):
     got = {r["url"]: r["outcome"] for r in cli.scraped(spark, urls, str(tmp_path / "out"), fake_fetcher()).collect()}
     assert got == {"https://a.example/x": "ok", "https://a.example/thin": "thin", "https://a.example/private/y": "robots", "https://a.example/gone": "missing", "https://dev.to/u/s": "ok", "https://dev.to/t/python": "missing"}
     assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["d.md", "t.md"]
+    (tmp_path / cli.BLOCKED).write_text("# never asked\nwww.A.example\n")
+    outcomes = cli.read_pages(spark, spark.createDataFrame([(urls[0],)], "url string"), str(tmp_path), fake_fetcher())[1]
+    assert [(r["url"], r["outcome"]) for r in outcomes.collect()] == [(urls[0], "blacklisted")]
 
 
 def test_answers_of_sites_that_cannot_be_read_give_no_page(spark):
