@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from lodegrain.sources.workspace import stage
 
-#: Cells of a vector join, vectors of a block, and how far an angle may be off by rounding.
-PIVOTS, BLOCK, SLACK = 128, 2048, 1e-6
+#: Cells of a vector join at most, vectors of a cell on average at least, vectors of a block, and how far an angle may be
+#: off by rounding.
+PIVOTS, CELL, BLOCK, SLACK = 128, 256, 2048, 1e-6
 #: Lengths of the pieces of a text that are joined; a text goes by the longest that fits in it.
 PIECES = (8, 4, 2, 1)
 
@@ -32,7 +33,7 @@ def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(x @ pivots.T, -1.0, 1.0))
 
 
-def similar_vectors(vectors: DataFrame, key: str, vector: str, least: float, n_pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+def similar_vectors(vectors: DataFrame, key: str, vector: str, least: float, n_pivots: int | None = None, block: int = BLOCK) -> DataFrame:
     """(a, b, similarity) of all pairs a < b of (key, vector) rows with a cosine of at least ``least``, exact.
 
     Angles are a metric, so pivots prune: each vector lies in the cell of its nearest pivot, a cell is as wide as its
@@ -46,6 +47,7 @@ def similar_vectors(vectors: DataFrame, key: str, vector: str, least: float, n_p
     kind = vectors.schema[key].dataType.simpleString()
     good = vectors.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull())).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
     rows = stage(good, "vectors")
+    n_pivots = n_pivots or max(1, min(PIVOTS, rows.count() // CELL))
     sample = rows.orderBy(F.xxhash64("k"), "k").limit(n_pivots).toArrow()  # n_pivots rows
     if not sample.num_rows:
         return vectors.sparkSession.createDataFrame([], f"a {kind}, b {kind}, similarity double")

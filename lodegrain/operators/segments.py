@@ -103,41 +103,43 @@ class Snapshot:
 
     def _weights(self, asked: DataFrame) -> DataFrame:
         """(query_id, term, w) of (query_id, term, qtf): what a posting's length-adjusted frequency counts."""
-        terms = asked.select("term").distinct()
-        df = self._of(self.table("terms"), terms).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+        df = self._of(self.table("terms"), asked).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
         n = F.lit(float(self.count))
         raw = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
         idf = F.when(raw < 0, F.lit(EPSILON * self.content["mean_idf"])).otherwise(raw)
         return asked.join(df, "term").select("query_id", "term", (F.col("qtf") * idf).alias("w"))
 
-    def _of(self, df: DataFrame, terms: DataFrame) -> DataFrame:
-        """Rows of some terms: few are named to the scan, which then skips what holds none of them."""
-        names = [r[0] for r in terms.limit(NAMED_TERMS + 1).collect()]
-        return df.where(F.col("term").isin(names)) if len(names) <= NAMED_TERMS else df.join(bounded(terms, terms.count()), "term", "left_semi")
+    def _of(self, df: DataFrame, asked: DataFrame) -> DataFrame:
+        """Rows of the terms of ``asked`` (query_id, term, ...), a written table: few are named to the scan, which then
+        skips what holds none of them."""
+        if not hasattr(asked, "_names"):
+            asked._names = [r[0] for r in asked.select("term").distinct().limit(NAMED_TERMS + 1).collect()]
+        return df.where(F.col("term").isin(asked._names)) if len(asked._names) <= NAMED_TERMS else df.join(asked.select("term").distinct(), "term", "left_semi")
 
     def _part(self, tf: str, dl: str) -> Column:
         return F.col(tf) * (K1 + 1) / (F.col(tf) + K1 * (1 - B + B * F.col(dl) / F.lit(self.mean_length)))
 
-    def _read(self, wanted: DataFrame) -> DataFrame:
-        """(query_id, _segment, _doc, gain) of the live postings in the ``wanted`` blocks."""
-        held = self._of(self.table("postings"), wanted.select("term").distinct()).select("_segment", *_BLOCK, "docs", "tfs", "dls")
-        found = held.join(bounded(wanted.select("query_id", "_segment", *_BLOCK, "w"), wanted.count()), ["_segment", *_BLOCK])
+    def _read(self, wanted: DataFrame, asked: DataFrame) -> DataFrame:
+        """(query_id, _segment, _doc, gain) of the live postings in the ``wanted`` blocks, of terms of ``asked``.  The blocks are
+        a written table, or some of one, so the planner knows whether they are small enough to be broadcast."""
+        held = self._of(self.table("postings"), asked).select("_segment", *_BLOCK, "docs", "tfs", "dls")
+        found = held.join(wanted.select("query_id", "_segment", *_BLOCK, "w"), ["_segment", *_BLOCK])
         each = found.select("query_id", "_segment", "w", F.explode(F.arrays_zip("docs", "tfs", "dls")).alias("p")).select("query_id", "_segment", "w", F.col("p.docs").alias("_doc"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl"))
         return self._alive(each).select("query_id", "_segment", "_doc", (F.col("w") * self._part("tf", "dl")).alias("gain"))
 
     def search(self, queries: DataFrame, k: int, query: str = "query", prune: bool = True) -> tuple[DataFrame, DataFrame]:
         """(query_id, _segment, _doc, score) of rows that have the ``k`` best of each query among them, and (query_id, term,
         _segment, part, layer, block, n, read) of all blocks of the queries' terms, saying which were read."""
-        asked = queries.select("query_id", F.explode(T.code_tokens(query)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-        weighted = stage(self._weights(stage(asked, "asked")), "weights")
-        bounds = self._of(self.table("postings"), weighted.select("term").distinct()).select("_segment", *_BLOCK, "n", "max_tf", "min_dl", "low", "high")
+        asked = stage(queries.select("query_id", F.explode(T.code_tokens(query)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf")), "asked")
+        weighted = self._weights(asked)
+        bounds = self._of(self.table("postings"), asked).select("_segment", *_BLOCK, "n", "max_tf", "min_dl", "low", "high")
         most = F.greatest(F.col("w") * self._part("max_tf", "min_dl"), F.lit(0.0))
-        every = stage(bounds.join(bounded(weighted, weighted.count()), "term").withColumn("most", most).drop("max_tf", "min_dl"), "block-bounds")
+        every = stage(bounds.join(weighted, "term").withColumn("most", most).drop("max_tf", "min_dl"), "block-bounds")
         tops = every.groupBy("query_id", "term").agg(F.max("most").alias("top"), F.min("w").alias("least"))
         if prune:
             best = W.partitionBy("query_id", "term").orderBy(F.desc("most"), "_segment", "part", "layer", "block")
             before = F.coalesce(F.sum("n").over(best.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-            partial = self._read(every.withColumn("before", before).where((F.col("before") < k) & (F.col("w") > 0))).groupBy("query_id", "_segment", "_doc").agg(F.sum("gain").alias("score"))
+            partial = self._read(every.withColumn("before", before).where((F.col("before") < k) & (F.col("w") > 0)), asked).groupBy("query_id", "_segment", "_doc").agg(F.sum("gain").alias("score"))
             place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score")))
             floor = partial.withColumn("place", place).where(F.col("place") == k).select("query_id", (F.col("score") * (1 - 1e-9) - 1e-9).alias("floor"))
             tops = tops.join(floor, "query_id", "left")
@@ -148,16 +150,16 @@ class Snapshot:
         tops = tops.withColumn("floor", F.when(F.min("least").over(of) >= 0, F.col("floor"))).withColumn("total", F.sum("top").over(of))
         tops = tops.withColumn("minor", F.coalesce(F.sum("top").over(of.orderBy("top", "term")) < F.col("floor"), F.lit(False)))
         tops = stage(tops.withColumn("rest", F.sum(F.when(F.col("minor"), F.col("top")).otherwise(0.0)).over(of)).drop("least"), "tops")
-        seen = every.join(bounded(tops, tops.count()), ["query_id", "term"])
+        seen = every.join(tops, ["query_id", "term"])
         major = stage(seen.where(~F.col("minor")).withColumn("read", F.col("floor").isNull() | (F.col("most") + F.col("total") - F.col("top") >= F.col("floor"))), "major-blocks")
         sides = tops.select("query_id", "floor", "rest").distinct()
-        found = self._read(major.where("read")).groupBy("query_id", "_segment", "_doc").agg(F.sum("gain").alias("score"))
-        candidates = stage(found.join(bounded(sides, sides.count()), "query_id").where("floor is null or score + rest >= floor").select("query_id", "_segment", "_doc", "score"), "candidates")
+        found = self._read(major.where("read"), asked).groupBy("query_id", "_segment", "_doc").agg(F.sum("gain").alias("score"))
+        candidates = stage(found.join(sides, "query_id").where("floor is null or score + rest >= floor").select("query_id", "_segment", "_doc", "score"), "candidates")
         sought = self._sought(candidates)
         minor = seen.where("minor").join(sought, ["query_id", "_segment"], "left")
         inside = F.exists("rows", lambda r: r.between(F.col("low"), F.col("high")))
         minor = stage(minor.withColumn("read", F.col("sought").isNotNull() & ((F.col("sought") > MOST_SOUGHT) | inside)).drop("rows", "sought"), "minor-blocks")
-        more = self._read(minor.where("read")).join(candidates.select("query_id", "_segment", "_doc"), ["query_id", "_segment", "_doc"], "left_semi")
+        more = self._read(minor.where("read"), asked).join(candidates.select("query_id", "_segment", "_doc"), ["query_id", "_segment", "_doc"], "left_semi")
         scored = candidates.withColumnRenamed("score", "gain").unionByName(more).groupBy("query_id", "_segment", "_doc").agg(F.sum("gain").alias("score"))
         return scored, major.unionByName(minor).select("query_id", "term", "_segment", "part", "layer", "block", "n", "read")
 
@@ -179,7 +181,7 @@ class Snapshot:
             scored = scored.join(bounded(mine, mine.count()), ["_segment", "_doc"], "left_semi")
         scored = scored.withColumn("score", F.round("score", 9)).where("score > 0")
         first = stage(scored.withColumn("r", F.rank().over(W.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("r") <= k).drop("r"), "best-rows")
-        named = keys.join(bounded(first, first.count()), ["_segment", "_doc"])
+        named = keys.join(first, ["_segment", "_doc"])
         order = W.partitionBy("query_id").orderBy(F.desc("score"), *self.key)
         return named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", *self.key, "score", "rank")
 

@@ -22,9 +22,11 @@ from lodegrain.operators import crawl as S
 from lodegrain.operators import html as H
 from lodegrain.operators import index as I
 from lodegrain.operators import retrieval as R
+from lodegrain.operators.joins import containing, not_overlapping, similar_vectors
+from lodegrain.operators.segments import SegmentedIndex
 from lodegrain.plans.search import Searcher
 from lodegrain.sources import web
-from lodegrain.sources.workspace import spread
+from lodegrain.sources.workspace import spread, work_path
 from lodegrain.streaming import events as Z
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,6 +125,22 @@ def r4_bm25_batch(spark: SparkSession, d: str) -> DataFrame:
     return R.bm25(_document_index(spark, d), queries, TOP).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
+@query(_BM25_TOP + " SELECT query_id, rank, doc_id, round(score, 6) AS score FROM k WHERE rank <= 10 AND score > 0")
+def r4_segmented_index(spark: SparkSession, d: str) -> DataFrame:
+    """The same from an index that is kept in segments: documents come in two changes, those of the first with wrong texts,
+    which the third puts right, and rows that have no document go again."""
+    docs = files(spark, d).where("content is not null").select("doc_id", "content")
+    index = SegmentedIndex(spark, work_path(spark, "index"), "doc_id", ["doc_id"], F.col("content"))
+    early = F.col("doc_id") < docs.agg(F.avg("doc_id")).first()[0]
+    index.update(docs.where(early).withColumn("content", F.reverse("content")), docs.where(early).select("doc_id"))
+    extra = docs.where(~early).withColumn("doc_id", -1 - F.col("doc_id"))
+    later = docs.where(~early).unionByName(extra)
+    index.update(later, later.select("doc_id"))
+    now = index.update(docs.where(early), docs.where(early).select("doc_id"), extra.select("doc_id"))
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return now.bm25(queries, TOP).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
 _LABEL = "CASE WHEN m < 0.1 THEN CASE WHEN {0} >= .035 THEN 'HIGH' WHEN {0} >= .025 THEN 'GOOD' WHEN {0} >= .018 THEN 'FAIR' WHEN {0} >= .010 THEN 'LOW' ELSE 'WEAK' END WHEN {0} >= .7 THEN 'HIGH' WHEN {0} >= .5 THEN 'GOOD' WHEN {0} >= .3 THEN 'FAIR' WHEN {0} >= .1 THEN 'LOW' ELSE 'WEAK' END"
 
 
@@ -173,6 +191,35 @@ def m10_vector_pairs(spark: SparkSession, d: str) -> DataFrame:
     return N.vector_pairs(table(spark, d, "embeddings"), "label", "embedding", -1.0).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+@query("""WITH v AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings WHERE embedding IS NOT NULL),
+s AS (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(x.v, y.v) AS s FROM v x JOIN v y ON x.vec_id < y.vec_id)
+SELECT a, b, round(s, 6) AS similarity FROM s WHERE s >= 0.3""")
+def m10_close_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of vectors above a cosine, by cells and angles."""
+    return similar_vectors(table(spark, d, "embeddings"), "vec_id", "embedding", 0.3).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+_PATHS = "SELECT coalesce(source, 'none') || '/' || doc_id || '.txt' AS file_path, length(text) || '.txt' AS part, source, length(text) AS n, lang FROM documents WHERE text IS NOT NULL"
+
+
+@query(f"WITH p AS ({_PATHS}) SELECT DISTINCT t.file_path, q.part FROM p t JOIN (SELECT DISTINCT part FROM p) q ON contains(t.file_path, q.part)")
+def j7_contained_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths of documents that hold a name made from the length of one, anywhere in them."""
+    docs = files(spark, d).where("content is not null")
+    return containing(docs, "file_path", docs.select(F.concat(F.length("content").cast("string"), F.lit(".txt")).alias("part")), "part")
+
+
+@query(f"""WITH p AS ({_PATHS}), s AS (SELECT source, n % 5000 AS b, n % 5000 + n % 97 AS e, part FROM p), o AS (SELECT source, n % 4999 AS b, n % 4999 + n % 31 AS e FROM p WHERE lang = 'en')
+SELECT source, b AS begin_at, e AS end_at, part FROM s WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.source = s.source AND o.b <= s.e AND o.e >= s.b)""")
+def j12_uncovered_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Spans made of the lengths of documents, nested and overlapping, that no span of another kind overlaps."""
+    n = F.length("text").cast("long")
+    docs = table(spark, d, "documents").where("text is not null")
+    spans = docs.select("source", (n % 5000).alias("begin_at"), (n % 5000 + n % 97).alias("end_at"), F.concat(n.cast("string"), F.lit(".txt")).alias("part"))
+    others = docs.where("lang = 'en'").select("source", (n % 4999).alias("begin_at"), (n % 4999 + n % 31).alias("end_at"))
+    return not_overlapping(spans, others, "source", "begin_at", "end_at")
+
+
 @query(_KNN + """,
 o AS (SELECT v.vec_id, round(sum(v.x), 9) AS s FROM v GROUP BY 1),
 a AS (SELECT query_id, vec_id, rank, 0 AS list FROM k WHERE rank <= 30
@@ -487,6 +534,16 @@ def z2_debounce(spark: SparkSession, d: str) -> DataFrame:
     return Z.debounce(events, "user_id", "ts", "event_id", 3600.0).select("event_id")
 
 
+@query("""WITH RECURSIVE e AS (SELECT event_id, ts, row_number() OVER (ORDER BY ts, event_id) AS k FROM events),
+n AS MATERIALIZED (SELECT k, min(k) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 600 SECOND FOLLOWING AND UNBOUNDED FOLLOWING) AS nk FROM e),
+r AS (SELECT CAST(1 AS BIGINT) AS k UNION ALL SELECT n.nk FROM r JOIN n USING (k) WHERE n.nk IS NOT NULL)
+SELECT event_id FROM e WHERE k IN (SELECT k FROM r)""")
+def z2_debounce_hot(spark: SparkSession, d: str) -> DataFrame:
+    """All events under one key, over all tasks."""
+    events = table(spark, d, "events").select(F.lit("all").alias("path"), "event_id", "ts")
+    return Z.debounce(events, "path", "ts", "event_id", 600.0, stretch=2000).select("event_id")
+
+
 @query("SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def ext_tumbling_events(spark: SparkSession, d: str) -> DataFrame:
     """An extension: hourly windows."""
