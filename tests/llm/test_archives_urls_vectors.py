@@ -54,6 +54,23 @@ def test_tables_are_even_weighted_and_stable():
             sharding.build_table(*wrong)
 
 
+def test_filling_is_by_turns_and_preferences():
+    """Restated: whole preference lists, and shards that take the first free slot of theirs in turn."""
+    names, size = [f"shard-{i:03d}" for i in range(7)], 127
+    lists = []
+    for n in names:
+        d = hashlib.md5(n.encode()).hexdigest()
+        first, step = int(d[:16], 16) % size, 1 + int(d[16:], 16) % (size - 1)
+        lists.append([(first + j * step) % size for j in range(size)])
+        assert sorted(lists[-1]) == list(range(size))
+    held = {}
+    while len(held) < size:
+        for i, order in enumerate(lists):
+            if len(held) < size:
+                held[next(s for s in order if s not in held)] = i
+    assert sharding.build_table(names, size) == [held[s] for s in range(size)]
+
+
 def test_rows_are_placed(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (2, None)], "k long, slot string").withColumn("shard", F.lit("x"))
     got = sharding.assign_shards(df, "k", ["p", "q", "r"], 101).collect()
