@@ -258,7 +258,7 @@ def test_bounds_skip_distances_and_nothing_else():
         state = (cluster, upper, lower)
         moved = np.array([x[cluster == j].sum(0) // (cluster == j).sum() if (cluster == j).any() else c.at[j] for j in range(8)])
         c = clustering.Centroids(moved, c.at)
-    assert computed[-1] < 0.1 * 8 * len(x)
+    assert computed[0] <= 8 * len(x) and computed[-1] < 0.2 * 8 * len(x)
 
 
 def test_tokens_are_those_of_the_join():
