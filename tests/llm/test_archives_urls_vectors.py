@@ -119,8 +119,26 @@ def test_urls(spark):
     assert url_filter.judge_urls(df.limit(0), "page_id", "url", url_filter.RULES).count() == 0
     long = spark.createDataFrame([(1, "http://" + "a." * 20_000 + "net/" + "x" * 200_000)], "page_id long, url string")
     assert url_filter.judge_urls(long, "page_id", "url", url_filter.RULES).first()["verdict"] == "block"
-    with pytest.raises(ValueError):
-        url_filter.judge_urls(df, "page_id", "url", [("block", "a", "/" * 40_000_000)])
+
+
+@pytest.mark.parametrize("range_keys", [40, 500_000])
+def test_a_range_join_of_rules_judges_as_the_broadcast_ones(spark, range_keys):
+    rng = random.Random(range_keys)
+    host = lambda: ".".join(rng.choices("abc", k=rng.randrange(1, 5)))
+    path = lambda: "/" + "".join(rng.choices("xyé/", k=rng.randrange(5)))
+    rules = [(rng.choice(["block", "allow"]), host(), path()) for _ in range(150)] + [("block", "", "/"), ("block", "c", ""), ("block", "a", "/" + "y" * 3000)]
+    urls = [f"http://{host()}{path()}?q" for _ in range(600)] + ["http://a.b.c/x/y"] * 300 + [None, "", "no scheme", "http://", "http://.a/", "http://b.a/" + "y" * 5000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("part", F.lit(1)).withColumn("number", F.lit(2))
+    want = {r["page_id"]: tuple(r) for r in url_filter.judge_urls(df, "page_id", "url", rules).collect()}
+    for i, h, p, rule, _ in want.values():
+        n = plain(h, p, rules)
+        assert rule == (None if n < 0 else rules[n][1] + rules[n][2]), (i, h, p)
+    table = spark.createDataFrame([(v, h, p, i) for i, (v, h, p) in enumerate(rules)] + [("block", None, "/", 999), ("block", "a", None, 998)], "verdict string, host string, path string, number int")
+    for given in (rules, table):
+        got = url_filter.judge_urls(df, "page_id", "url", given, broadcast_bytes=0, range_keys=range_keys).collect()
+        assert len(got) == len(urls) and {r["page_id"]: tuple(r) for r in got} == want
+    assert url_filter.judge_urls(df, "page_id", "url", table.limit(0), broadcast_bytes=-1).where("rule is not null").count() == 0
+    assert url_filter.judge_urls(df.limit(0), "page_id", "url", table, broadcast_bytes=0).count() == 0
 
 
 # --- top-k ----------------------------------------------------------------------------------------------
