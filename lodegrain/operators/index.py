@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from time import perf_counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodegrain.operators.chunkers import chunk_files
+from lodegrain.operators.run_log import RunLog, counted
 from lodegrain.operators.segments import SegmentedIndex
 from lodegrain.sources.workspace import discard, stage
 
+#: Folder of an index that holds the log of its runs.
+RUNS = "_runs"
+
 
 def file_hash(content) -> F.Column:
     return F.sha2(content, 256)
@@ -35,26 +40,43 @@ def open_index(spark: SparkSession, path: str) -> SegmentedIndex:
     return SegmentedIndex(spark, path)
 
 
-def index_files(spark: SparkSession, files: DataFrame, path: str, embed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def index_files(spark: SparkSession, files: DataFrame, path: str, embed: Callable[[DataFrame], DataFrame] | None = None, only: DataFrame | None = None) -> DataFrame:
     """Bring the index under ``path`` up to date with (file_path, content, size, mtime, hash) rows, as one new version
     of chunks, manifest and keywords together; returns the status of every file.  Only new and changed files are
-    chunked and tokenized.  Files without chunks are in the manifest too."""
-    index = open_index(spark, path)
+    chunked and tokenized.  Files without chunks are in the manifest too.  With ``only`` (file_path) other files are
+    left as they are; without, a file that ``files`` lacks is removed.
+
+    Counts of the run, taken while its tables are written, go to its log (:func:`indexing_runs`)."""
+    began, index = perf_counter(), open_index(spark, path)
     now = index.snapshot()
     manifest = now.owners() if now else spark.createDataFrame([], "file_path string, size long, mtime timestamp, hash string")
-    status = stage(manifest_diff(files, manifest), "file-status")
-    if status.where("status <> 'unchanged'").isEmpty():
+    if only is not None:
+        manifest = manifest.join(only.select("file_path").distinct(), "file_path", "left_semi")
+    seen, compared = counted(manifest_diff(files, manifest), files=F.count("*"), **{s: F.count_if(F.col("status") == s) for s in ("new", "changed", "removed", "unchanged")})
+    status = stage(compared, "file-status")
+    if seen.get["unchanged"] == seen.get["files"]:
         return status
     todo = files.join(status.where(F.col("status").isin("new", "changed")).select("file_path"), "file_path", "left_semi")
     chunks = chunk_files(todo)
-    chunks = stage((embed(chunks) if embed else chunks).withColumn("indexed_at", F.current_timestamp()), "chunks")
-    counted = chunks.groupBy("file_path").agg(F.count("*").cast("int").alias("chunks"), F.first("language").alias("language"))
-    held = todo.select("file_path", "size", "mtime", "hash").join(counted, "file_path", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0))).withColumn("indexed_at", F.current_timestamp())
+    made, chunks = counted((embed(chunks) if embed else chunks).withColumn("indexed_at", F.current_timestamp()), chunks=F.count("*"), indexed=F.count_if(F.col("chunk_index") == 0))
+    chunks = stage(chunks, "chunks")
+    per_file = chunks.groupBy("file_path").agg(F.count("*").cast("int").alias("chunks"), F.first("language").alias("language"))
+    held = todo.select("file_path", "size", "mtime", "hash").join(per_file, "file_path", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0))).withColumn("indexed_at", F.current_timestamp())
     index.update(chunks, held, status.where("status = 'removed'").select("file_path"))
     discard(chunks)
+    todo_files, seconds = seen.get["new"] + seen.get["changed"], perf_counter() - began
+    done = made.get["indexed"]
+    RunLog(spark, f"{path}/{RUNS}").append("indexing", {**seen.get, **made.get, "failed": todo_files - done, "seconds": round(seconds, 3), "files_per_second": round(done / max(seconds, 1e-9), 3)})
     return status
 
 
+def indexing_runs(spark: SparkSession, path: str) -> DataFrame:
+    """One row a run that changed the index, with what it counted while it wrote: files by status, how many were indexed and how
+    many failed (no chunk), chunks, seconds and files a second."""
+    kinds = [*((c, "long") for c in ("files", "new", "changed", "removed", "unchanged", "indexed", "failed", "chunks")), ("seconds", "double"), ("files_per_second", "double")]
+    return RunLog(spark, f"{path}/{RUNS}").read("indexing").select("at", *(F.element_at("counts", c).cast(k).alias(c) for c, k in kinds))
+
+
 def index_size(spark: SparkSession, path: str) -> int:
     """Bytes of all files of an index."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -104,7 +104,11 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
 def project_files(spark: SparkSession, root: str) -> DataFrame:
     """(file_path, content, size, mtime, hash) of the text files below ``root`` that are admitted, as
     :func:`lodegrain.operators.index.index_files` takes them."""
-    files = scan(spark, root)
+    return admitted_files(scan(spark, root))
+
+
+def admitted_files(files: DataFrame) -> DataFrame:
+    """The same of (file_path, length, modificationTime, content) rows."""
     able = files.where(F.col("length") <= LARGEST).where(admitted(F.col("file_path"), F.col("length"), F.col("content")) & ~is_image(F.col("file_path")))
     return able.select("file_path", decoded(F.col("content")).alias("content"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("hash"))
 

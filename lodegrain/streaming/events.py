@@ -1,7 +1,7 @@
 """File events: snapshot differences, debouncing, and keeping an index up to date from a stream.
 
-A file source only shows new files, so changes and removals come from comparing each trigger's listing with
-the manifest.  Debouncing keeps the time of a path's last accepted event as state.
+A file source only shows new files; changes and removals come from comparing each trigger's listing with the one
+before (``sources/folder_changes.py``).  Debouncing keeps the time of a path's last accepted event as state.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodegrain.operators.index import index_files, manifest_diff
-from lodegrain.sources.files import project_files, watchable
-from lodegrain.sources.workspace import bounded, stage
+from lodegrain.sources.files import admitted_files, project_files, watchable
+from lodegrain.sources.folder_changes import changed_contents, folder_changes, mounted
+from lodegrain.sources.workspace import bounded, discard, stage
 
 DELAY_SECONDS, PASSIVE_DELAY_SECONDS, FILES_PER_TRIGGER, FLUSH = 1.0, 10.0, 10, "5 seconds"
 KEPT_SECONDS = 3600
@@ -140,13 +141,27 @@ def debounce_stream(events: DataFrame, key: str, ts: str, delay: float = DELAY_S
 
 
 def watch(spark: SparkSession, root: str, index_path: str, checkpoint: str, embed: Callable[[DataFrame], DataFrame] | None = None, once: bool = False):
-    """A running query that brings the index up to date with the folder at every trigger.  New files start a
-    batch; the whole listing is then compared with the manifest, so changes and removals are found too."""
-    arriving = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("recursiveFileLookup", True).option("maxFilesPerTrigger", FILES_PER_TRIGGER).load(root).select("path", "length")
+    """A running query that brings the index up to date with the folder at every trigger.
+
+    Of a mounted folder, only files that were created, modified or deleted since the trigger before are read; no file
+    is, if none was.  Files whose names are not watched stay in the index as they are, but go when deleted.  In any other store, new
+    files start a batch, and the whole listing is then compared with the manifest."""
+    if mounted(root) and mounted(checkpoint):
+        arriving = folder_changes(spark, root, f"{checkpoint}/listings")
+    else:
+        shape = "path string, modificationTime timestamp, length long, content binary"
+        arriving = spark.readStream.schema(shape).format("binaryFile").option("recursiveFileLookup", True).option("maxFilesPerTrigger", FILES_PER_TRIGGER).load(root).select("path", "length")
 
     def apply(batch: DataFrame, _: int) -> None:
-        files = project_files(spark, root)
-        index_files(spark, files.where(watchable(F.col("file_path"), F.col("size"))), index_path, embed)
+        if "event" not in batch.columns:
+            files = project_files(spark, root)
+            index_files(spark, files.where(watchable(F.col("file_path"), F.col("size"))), index_path, embed)
+            return
+        events = stage(batch.where((F.col("event") == "deleted") | watchable(F.col("file_path"), F.lit(0))), "folder-events")
+        if not events.isEmpty():
+            files = admitted_files(changed_contents(events.where("event <> 'deleted'"), root))
+            index_files(spark, stage(files, "changed-files"), index_path, embed, only=events.select("file_path"))
+        discard(events)
 
     writer = arriving.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=FLUSH)).start()
