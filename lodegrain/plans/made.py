@@ -18,9 +18,11 @@ from lodegrain.operators import crawl as S
 from lodegrain.operators import documents as D
 from lodegrain.operators import index as I
 from lodegrain.operators import retrieval as R
+from lodegrain.operators.run_log import RunLog, counted
 from lodegrain.plans.catalogue import lines, query, rounds, scrape_log, table
 from lodegrain.sources import files as files_source
 from lodegrain.sources import site_apis, web
+from lodegrain.sources.workspace import discard, stage, work_path
 
 PAD = "x" * 240
 
@@ -365,6 +367,26 @@ def s11_scrape_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return web.scrape_status(pages, read, blocked, robots).select("url", "domain", "outcome")
 
 
+@query("""WITH f AS (SELECT url, min('page-' || page_id || '.md') AS file_name FROM pages WHERE url IS NOT NULL AND page_id % 4 <> 0 GROUP BY url)
+SELECT page_id, pages.url, f.file_name FROM pages LEFT JOIN f ON pages.url = f.url""")
+def j8_saved_pages(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages").select("page_id", "url", F.coalesce("html", F.lit("")).alias("content"))
+    read = pages.where("url is not null and page_id % 4 <> 0").select("url", text_of("page ", F.col("page_id")).alias("title"), "content", F.lit(1).alias("word_count"), F.lit("page").alias("source_type"))
+    files = web.page_files(read, "2024-01-01T00:00:00")
+    return web.saved_pages(pages.select("page_id", "url"), files).select("page_id", "url", "file_name")
+
+
+@query("""SELECT count(*) AS files, count(text) AS indexed, count(*) - count(text) AS failed, CAST(sum(CASE WHEN text IS NOT NULL THEN len(string_split(text, chr(10))) END) AS BIGINT) AS chunks FROM documents""")
+def a4_counted_while_written(spark: SparkSession, d: str) -> DataFrame:
+    read = F.col("text").isNotNull()
+    rows = table(spark, d, "documents").select("doc_id", "text", F.size(F.split("text", "\n", -1)).alias("n"))
+    seen, rows = counted(rows, files=F.count("*"), indexed=F.count_if(read), failed=F.count_if(~read), chunks=F.sum(F.when(read, F.col("n")).cast("long")))
+    discard(stage(rows, "counted"))
+    log = RunLog(spark, work_path(spark, "runs"))
+    log.append("indexing", seen.get)
+    return log.read("indexing").select(*(F.element_at("counts", c).cast("long").alias(c) for c in ("files", "indexed", "failed", "chunks")))
+
+
 @query("SELECT user_id, round(avg(n), 2) AS mean_seconds, string_agg(CASE WHEN t < 500 THEN 'LOW' WHEN t < 2000 THEN 'MEDIUM' ELSE 'HIGH' END, '>' ORDER BY day) AS trend, CAST(sum(t) AS BIGINT) AS tokens, count(*) AS rounds FROM (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, CAST(sum(floor(value * 10)) AS BIGINT) AS t, count(*) AS n FROM events GROUP BY ALL) GROUP BY user_id")
 def a9_session_report(spark: SparkSession, d: str) -> DataFrame:
     """A research session per user: mean length of a round, confidence in order of rounds, totals."""

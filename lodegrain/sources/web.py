@@ -142,6 +142,16 @@ def page_files(pages: DataFrame, scraped_at: str) -> DataFrame:
     return named.select(name.alias("file_name"), F.concat(front, F.lit("\n# "), F.col("title"), F.lit("\n\n"), F.col("content"), foot).alias("body"))
 
 
+def saved_pages(pages: DataFrame, files: DataFrame) -> DataFrame:
+    """``pages`` with ``file_name``, the first file by name whose front matter names the page's url as its source; null where there
+    is none.  ``files`` has (file_name, body) as :func:`page_files` gives them; the url is a key, so texts are not searched.
+    A page without url has no file; of files without front matter, or with an empty url, nothing is matched."""
+    front = F.regexp_extract("body", r"(?s)\A---\n(.*?)\n---(?:\n|\z)", 1)
+    url = F.regexp_extract(front, r'(?m)^source_url: *"?(.*?)"?[ \t\r]*$', 1)
+    held = files.select(url.alias("_url"), "file_name").where("_url <> ''").groupBy("_url").agg(F.min("file_name").alias("_file"))
+    return pages.drop("file_name").join(held, F.col("url") == F.col("_url"), "left").drop("_url").withColumnRenamed("_file", "file_name")
+
+
 class HttpFetcher:
     """A live fetcher: one request, with a time limit and at most ``most`` bytes of an answer."""
 

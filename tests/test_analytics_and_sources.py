@@ -162,3 +162,14 @@ def test_crawl_by_levels(spark):
 def test_images(spark):
     got = fs.image_records(spark.createDataFrame([("d/p.png", 20480), ("d/big.png", 11 * 1024 * 1024), ("d/t.txt", 5)], "file_path string, length long")).collect()
     assert [(r["chunk_id"], r["content"]) for r in got] == [("p_img_0", "[Image: p.png] d/p.png (20KB)")]
+
+
+def test_saved_pages_are_found_by_the_url_in_their_front_matter(spark):
+    from lodegrain.sources import web
+
+    pages = spark.createDataFrame([("http://a/1", "T", "says http://a/2 in its text"), ("http://a/2", "T", "---\nsource_url: \"http://a/9\"\n---"), ("http://a/3", "Ü $1", "x")], "url string, title string, content string").withColumn("word_count", F.lit(1)).withColumn("source_type", F.lit("page"))
+    files = web.page_files(pages, "2024-01-01").unionByName(spark.createDataFrame([("zz.md", "---\nsource_url: \"http://a/1\"\n---\n"), ("bare.md", "source_url: \"http://a/9\""), ("none.md", None), ("cut.md", "---\nsource_url: http://a/9"), ("plain.md", "---\nsource_url: http://a/4\r\n---")], "file_name string, body string"))
+    asked = spark.createDataFrame([("http://a/1", "f"), ("http://a/1", "f"), ("http://a/2", None), ("http://a/9", None), ("http://a/4", None), (None, None)], "url string, file_name string")
+    got = sorted(((r["url"] or "", r["file_name"]) for r in web.saved_pages(asked, files).collect()), key=str)
+    assert got == [("", None), ("http://a/1", "t.md"), ("http://a/1", "t.md"), ("http://a/2", "t-1.md"), ("http://a/4", "plain.md"), ("http://a/9", None)]
+    assert web.saved_pages(asked, files.limit(0)).where("file_name is not null").isEmpty()
