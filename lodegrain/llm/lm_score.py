@@ -8,9 +8,10 @@ by slice, and the levels travel back to the piece, so there is one pass over the
 
 The model interpolates bigrams with add-one unigrams.  Bigram counts are discounted by n1 / (n1 + 2 n2), n1 and n2
 being the numbers of bigrams seen once and twice, as most of those seen once say little.  Every unigram and every bigram of the training texts is
-entered.  Head tokens, those with at least a millionth of all tokens, of which there can only be 2**20, have their
-exact counts broadcast as a shortcut; the exact unigram counts of all other tokens, for the base score, meet the
-documents' tokens in packed bins by hash range.  All counts cover every training document.
+entered, and the counts of tokens, pairs and histories are all read from the filter, at any size of the corpus; the number of
+texts, the count of a text's beginning, is known.  The base score takes exact counts: those of head tokens, with at least a
+millionth of all tokens, of which there can only be 2**20, are broadcast; those of all others meet the documents' tokens in
+packed bins by hash range.  All counts cover every training document.
 """
 
 from __future__ import annotations
@@ -260,15 +261,12 @@ class Asked:
         self.single = layout.codes(unigram_key(self.token))
         self.pair = layout.codes(bigram_key(self.history, self.token))
 
-    def scores(self, single: np.ndarray, pair: np.ndarray, head: tuple[np.ndarray, np.ndarray], floor: int, discount: float) -> np.ndarray:
-        """log10 probability of each text from the levels of the distinct unigrams and bigrams."""
+    def scores(self, single: np.ndarray, pair: np.ndarray, texts: int, floor: int, discount: float) -> np.ndarray:
+        """log10 probability of each text from the levels of the distinct unigrams and bigrams, learnt from so many ``texts``."""
         one, two = level_count(single)[self.single[2]], level_count(pair)[self.pair[2]]
-        exact, known = exact_counts(self.token, head)
-        # a history is the text's beginning or a token before it; head tokens have exact counts
         after = np.empty(len(one))
-        after[1:] = np.where(known, exact, one)[:-1]
-        first = self.history == _U(BEGIN)
-        after[first] = exact_counts(self.history[first], head)[0]
+        after[1:] = one[:-1]
+        after[self.history == _U(BEGIN)] = texts
         trust = MIXTURE * after / (after + TRUST)
         after = np.maximum(after, 1)
         # what the discount takes from a history's bigrams is at least ``discount``, and so much goes to unigrams
@@ -278,6 +276,8 @@ class Asked:
 
 def exact_counts(token: np.ndarray, head: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Counts of head tokens, and which are such; the others have 0."""
+    if not len(head[0]):
+        return np.zeros(len(token), np.int64), np.zeros(len(token), bool)
     at = np.minimum(np.searchsorted(head[0], token), len(head[0]) - 1)
     known = head[0][at] == token
     return np.where(known, head[1][at], 0), known
@@ -312,10 +312,9 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
                 yield pa.RecordBatch.from_arrays([pa.array(token[count >= least]), pa.array(count[count >= least])], names=["token", "count"])
 
     top = unigrams.select("token", "count").mapInArrow(pick, "token long, count long").toArrow()  # at most HEAD rows
-    token = np.append(top["token"].to_numpy().view(np.uint64), _U(BEGIN))
-    count = np.append(top["count"].to_numpy(), size[0])
+    token = top["token"].to_numpy().view(np.uint64)
     order = np.argsort(token)
-    head = spark.sparkContext.broadcast((token[order], count[order]))
+    head = spark.sparkContext.broadcast((token[order], top["count"].to_numpy()[order]))
     layout = Layout(_bits_for(2 * n_all, 6))
     slices = stage(_slices(learn, unigrams, layout), "bloom")
     seen = slices.agg(F.sum(F.length("data")), F.sum(F.when(~F.col("single"), F.col("ones"))), F.sum(F.when(~F.col("single"), F.col("twos")))).first()
@@ -340,7 +339,7 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
                 exact, known = exact_counts(a.token, head.value)
                 train = b.column(2).slice(i, j - i).to_numpy(zero_copy_only=False)
                 info = np.concatenate([np.bincount(a.row, np.log10(exact + 1.0), a.n), np.bincount(a.row[known], minlength=a.n), np.bincount(a.row, minlength=a.n), train]).astype(np.float64)
-                score = a.scores(whole.value[0].level(*a.single[:2]), whole.value[1].level(*a.pair[:2]), head.value, floor, discount).tobytes() if whole else None
+                score = a.scores(whole.value[0].level(*a.single[:2]), whole.value[1].level(*a.pair[:2]), size[0], floor, discount).tobytes() if whole else None
                 rare = np.flatnonzero(~known)
                 order = rare[np.argsort(a.token[rare], kind="stable")]
                 cuts = np.append(np.searchsorted(a.token[order], np.arange(1 << bits, dtype=np.uint64) << _U(64 - bits)), len(order))
@@ -407,7 +406,7 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
                 known[: len(c)] += c
         if levels[_SINGLE]:  # the replies are in order of slice, as the distinct n-grams of the piece are
             a = Asked(pa.array(group["texts"][k].as_py(), pa.string()), layout)
-            score = a.scores(*(np.concatenate(levels[x]).astype(np.int64) for x in (_SINGLE, _PAIR)), head.value, floor, discount)
+            score = a.scores(*(np.concatenate(levels[x]).astype(np.int64) for x in (_SINGLE, _PAIR)), size[0], floor, discount)
         else:
             score = np.frombuffer(group["score"][k].as_py(), np.float64)
         return pa.table({"_key": group["ids"][k].values, "is_train": pa.array(is_train > 0), "n_tokens": n_tokens.astype(np.int64), "n_known": known.astype(np.int64), "train_tokens": np.full(len(base), n_all, np.int64), "base_score": base - n_tokens * np.log10(float(floor)), "score": score})

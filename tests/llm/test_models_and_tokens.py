@@ -132,6 +132,18 @@ def test_rare_histories_and_single_bigrams_count(spark, monkeypatch):
     assert max(map(abs, off)) < 0.02 and abs(sum(off)) / len(off) < 0.004
 
 
+@pytest.mark.parametrize("head", [1, 4, 50])
+def test_scores_do_not_depend_on_which_tokens_are_broadcast(spark, monkeypatch, head):
+    """A history's count is read from the filter, whether the corpus is small enough for its token to be a head token or not."""
+    rows = [(i, f"the cat and the {i % 7} dog of the {i}") for i in range(60)] + [(99, None), (100, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    run = lambda: {r["doc_id"]: tuple(r) for r in lm_score.score_documents(docs, F.col("doc_id") % 3 > 0).collect()}
+    want = run()
+    monkeypatch.setattr(lm_score, "HEAD", head)
+    got = run()
+    assert len(want) == len(rows) and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_counts_come_back_by_level():
     rng = np.random.default_rng(1)
     sub = np.unique(rng.integers(0, 2**32, 5000, dtype=np.uint32))
