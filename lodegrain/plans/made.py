@@ -363,8 +363,8 @@ def s11_scrape_outcomes(spark: SparkSession, d: str) -> DataFrame:
     host = F.lower(T.url_host("url"))
     blocked = pages.select(T.normalise_domain(T.url_host("url")).alias("domain")).where("domain like '%.net'").distinct()
     robots = pages.select(host.alias("host")).where("host like '%.org'").distinct().withColumn("body", F.lit("User-agent: *\nDisallow: /de/\n"))
-    read = pages.where("page_id % 5 <> 0").select("url", F.when(F.col("page_id") % 5 == 1, 39).otherwise(40).alias("word_count"))
-    return web.scrape_status(pages, read, blocked, robots).select("url", "domain", "outcome")
+    read = pages.where("page_id % 5 <> 0").select("page_id", F.when(F.col("page_id") % 5 == 1, 39).otherwise(40).alias("word_count"))
+    return web.scrape_status(pages, read, blocked, robots, key="page_id").select("url", "domain", "outcome")
 
 
 @query("""WITH f AS (SELECT url, min('page-' || page_id || '.md') AS file_name FROM pages WHERE url IS NOT NULL AND page_id % 4 <> 0 GROUP BY url)

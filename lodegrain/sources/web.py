@@ -120,13 +120,17 @@ def robots_of(urls: DataFrame, fetcher: Callable[[], Fetcher]) -> DataFrame:
     return stage(asked, "robots").where("http_status = 200").select(F.lower(T.url_host("url")).alias("host"), F.col("body").cast("string").alias("body"))
 
 
-def scrape_status(urls: DataFrame, extracted: DataFrame, blacklist: DataFrame, robots: DataFrame, min_content: int = MIN_CONTENT) -> DataFrame:
+def scrape_status(urls: DataFrame, extracted: DataFrame, blacklist: DataFrame, robots: DataFrame, min_content: int = MIN_CONTENT, key: str = "url") -> DataFrame:
     """(url, domain, outcome, word_count): blacklisted, robots, missing, thin or ok, in the order a scraper checks.
-    ``extracted`` has (url, word_count) of the pages that could be read."""
-    judged = robots_allowed(check_domains(urls.select("url").distinct(), blacklist), robots)
-    found = judged.join(extracted.select("url", "word_count").dropDuplicates(["url"]), "url", "left")
+    ``extracted`` has (url, word_count) of the pages that could be read; of an url read several times the longest counts.
+
+    An url that is asked for several times is judged once.  With a ``key``, in both tables, each attempt is judged by
+    what it read itself, and the result has the key too."""
+    own = list(dict.fromkeys((key, "url")))
+    judged = robots_allowed(check_domains(urls.select(*own).distinct(), blacklist), robots)
+    found = judged.join(extracted.groupBy(key).agg(F.max("word_count").alias("word_count")), key, "left")
     outcome = F.when(~F.col("allowed"), "blacklisted").when(~F.col("robots_ok"), "robots").when(F.col("word_count").isNull(), "missing").when(F.col("word_count") < min_content // 5, "thin").otherwise("ok")
-    return found.select("url", "domain", outcome.alias("outcome"), "word_count")
+    return found.select(*own, "domain", outcome.alias("outcome"), "word_count")
 
 
 def page_files(pages: DataFrame, scraped_at: str) -> DataFrame:

@@ -149,6 +149,15 @@ def test_routes_robots_and_page_files(spark):
     assert {r["file_name"] for r in files.collect()} == {"a-title.md", "a-title-1.md"}
 
 
+def test_attempts_at_one_url_are_judged_by_themselves(spark):
+    urls = spark.createDataFrame([(1, "http://a.b/x"), (2, "http://a.b/x"), (3, "http://a.b/x")], "page_id long, url string")
+    read = spark.createDataFrame([(1, 100), (2, 3)], "page_id long, word_count int")
+    none, robots = spark.createDataFrame([], "domain string"), spark.createDataFrame([], "host string, body string")
+    assert {r["page_id"]: r["outcome"] for r in web.scrape_status(urls, read, none, robots, key="page_id").collect()} == {1: "ok", 2: "thin", 3: "missing"}
+    by_url = read.join(urls, "page_id").select("url", "word_count")
+    assert [tuple(r) for r in web.scrape_status(urls, by_url, none, robots).collect()] == [("http://a.b/x", "a.b", "ok", 100)]
+
+
 def test_crawl_by_levels(spark):
     link = lambda *to: " ".join(f'<a href="{t}">x</a>' for t in to)
     rows = [(1, "http://a.b/1", link("/2", "http://z.z/")), (2, "http://a.b/2", link("/1", "/3")), (3, "http://a.b/3", "")]
