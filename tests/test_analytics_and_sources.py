@@ -92,6 +92,30 @@ def test_trigram_pairs_are_those_of_brute_force(spark):
     assert {(r["a"], r["b"]) for r in N.trigram_pairs(N.trigram_classes(spark.createDataFrame(docs, "k int, text string"), "k", "text")).collect()} == want
 
 
+def test_unrelated_texts_with_the_same_trigrams_do_not_meet(spark):
+    """Texts of few syllables share most trigrams; only those with an equal part are compared, and no similar pair is lost."""
+    rng = random.Random(11)
+    syllables = ["".join(rng.choices("abdeiklmnorstu", k=2)) for _ in range(60)]
+    docs = [(i, " ".join("".join(rng.choices(syllables, k=3)) for _ in range(rng.choice([2, 3, 5, 20, 60, 120])))) for i in range(250)]
+    for i, t in docs[:120]:
+        w = t.split(" ")
+        w[rng.randrange(len(w))] += rng.choice(["", "x", "zq"])
+        docs.append((1000 + i, " ".join(w)))
+    sets = {}
+    for i, t in docs:
+        sets.setdefault(frozenset(t[k : k + 3] for k in range(len(t) - 2)), i)
+    want = {(min(a, b), max(a, b)) for x, a in sets.items() for y, b in sets.items() if a != b and 10 * len(x & y) >= 9 * len(x | y)}
+    classes = N.trigram_classes(spark.createDataFrame(docs, "k int, text string"), "k", "text").localCheckpoint()
+    assert len(want) > 20 and {(r["a"], r["b"]) for r in N.trigram_pairs(classes).collect()} == want
+    hashed = classes.where("member = rep").selectExpr("rep", "transform(grams, g -> xxhash64(g)) h").toArrow().combine_chunks().to_batches()
+    parts = [(s, r) for b in N._signatures(iter(hashed), 0.9) for s, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    at = {}
+    for s, r in parts:
+        at.setdefault(s, set()).add(r)
+    met = {(a, b) for g in at.values() for a in g for b in g if a < b}
+    assert want <= met and len(met) < 0.1 * len(sets) ** 2 / 2
+
+
 def test_manifest_diff_and_index(spark, tmp_path):
     src = tmp_path / "src"
     (src / "sub").mkdir(parents=True)
