@@ -116,6 +116,18 @@ def test_unrelated_texts_with_the_same_trigrams_do_not_meet(spark):
     assert want <= met and len(met) < 0.1 * len(sets) ** 2 / 2
 
 
+def test_pruning_compares_few_of_many_unrelated_files(spark, monkeypatch):
+    """What pruning compares in full are the near ones, though all files share most of their trigrams."""
+    rng = random.Random(3)
+    syllables = ["".join(rng.choices("abdeiklmnorstu", k=2)) for _ in range(40)]
+    rows = [(i, " ".join("".join(rng.choices(syllables, k=3)) for _ in range(100)), i) for i in range(150)]
+    rows += [(1000 + i, rows[i][1][:-1] + "q", 1000 + i) for i in range(20)]
+    staged, keep = {}, N.stage
+    monkeypatch.setattr(N, "stage", lambda df, name: staged.setdefault(name, keep(df, name)))
+    got = {(r["duplicate"], r["keeper"]) for r in N.prune_by_text(spark.createDataFrame(rows, "k int, text string, t int"), "k", "text", "t").collect()}
+    assert got == {(1000 + i, i) for i in range(20)} and staged["trigram-near"].count() == 20
+
+
 def test_manifest_diff_and_index(spark, tmp_path):
     src = tmp_path / "src"
     (src / "sub").mkdir(parents=True)
