@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodegrain.sources.workspace import bounded, stage
+
 ANALYSIS_SCHEMA = "covered array<string>, gaps array<string>, queries array<string>, confidence string"
 _KEYS = ("COVERED", "GAPS", "CONFIDENCE")
 
@@ -22,12 +26,16 @@ def corpus_excerpts(files: DataFrame, budget: int, *by: str) -> DataFrame:
     """(by..., path, excerpt): each file's title and beginning, sharing ``budget`` tokens but at least 200 each;
     front matter is dropped and an excerpt ends at a blank."""
     text = F.when(F.startswith(F.col("content"), F.lit("---")) & (F.locate("---", F.col("content"), 4) > 0), F.trim(F.regexp_replace("content", r"(?s)^---.*?---\s*", ""))).otherwise(F.col("content"))
-    share = F.greatest(F.lit(200), F.floor(F.lit(budget) / F.count("*").over(W.partitionBy(*by)))) * 4
+    # files are counted by a grouped count that is joined, not by a window, which would gather a group's texts in one task
+    counts = files.groupBy(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by))).agg(F.count("*").alias("_files"))
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)), F.lit(True))
+    share = F.greatest(F.lit(200), F.floor(F.lit(budget) / F.col("_files"))) * 4
     stem = F.regexp_replace(F.regexp_extract("path", "([^/]*)$", 1), r"\.[^.]*$", "")
     head = F.regexp_extract("_text", r"(?m)^# (.*)$", 1)
     cut = F.substring(F.col("_text"), F.lit(1), F.col("_share").cast("int"))
     excerpt = F.when(F.length("_text") > F.col("_share"), F.concat(F.regexp_replace(cut, r"(?s) [^ ]*$", ""), F.lit(" [...]"))).otherwise(F.col("_text"))
-    rows = files.withColumn("_text", text).withColumn("_share", share)
+    counts = stage(counts, "files-of-groups")
+    rows = files.join(bounded(counts, counts.count()), same).withColumn("_text", text).withColumn("_share", share)
     return rows.select(*by, "path", F.concat(F.lit("### "), F.when(head != "", F.trim(head)).otherwise(stem), F.lit("\n\n"), excerpt).alias("excerpt"))
 
 

@@ -1,6 +1,9 @@
 import io
 import zipfile
 
+import pyarrow as pa
+
+from lodegrain.functions import prompts as P
 from lodegrain.operators import chunkers as C
 from lodegrain.operators import documents as D
 from lodegrain.operators import html as H
@@ -148,3 +151,26 @@ def test_declarations_of_brace_languages():
     java = "public final class A {\n  private static final Map<String, int[]> make(int a) {\n  }\n  public A(int b) throws X {\n  }\n  int call(1);\n}\n"
     assert found("java", java) == [("class", "A"), ("method", "make"), ("constructor", "A")]
     assert found("go", "func (s *Set) Add(x int) {\n}\nfunc New() *Set {\n}\ntype Set struct {\n}\n") == [("function", "Add"), ("function", "New"), ("type", "Set")]
+
+
+def test_a_worker_holds_a_few_files_and_passes_chunks_on(spark, monkeypatch):
+    """Files of a batch are turned into chunks a few at a time, and chunks leave before the batch is done."""
+    monkeypatch.setattr(C, "CHARS_AT_ONCE", 5000)
+    rows = [(f"f{i}.txt", "\n".join(f"line {j} of the file {i}" for j in range(60)), "text") for i in range(200)]
+    made = {}
+    files = spark.createDataFrame([(r[0], r[1]) for r in rows], "file_path string, content string")
+    monkeypatch.setattr(type(files), "mapInArrow", lambda self, f, schema: made.update(f=f, schema=schema))
+    C.chunk_files(files)
+    batch = pa.RecordBatch.from_pylist([dict(zip(("file_path", "content", "language"), r, strict=True)) for r in rows])
+    sizes = [b for b in made["f"](iter([batch]))]
+    assert len(sizes) > 20 and max(sum(len(c) for c in b.column(2).to_pylist()) for b in sizes) < 10_000
+    got = [r for b in sizes for r in b.to_pylist()]
+    assert got == [r for f, text, kind in rows for r in C.chunk_file(f, text, kind)]
+
+
+def test_excerpts_of_a_large_group_are_not_gathered(spark):
+    rows = [(f"d/f{i}.txt", "word " * 300, kind) for i, kind in enumerate(["en"] * 3 + [None] * 2)]
+    files = spark.createDataFrame(rows, "path string, content string, language string")
+    got = P.corpus_excerpts(files, 900, "language")
+    assert {r["path"]: len(r["excerpt"]) for r in got.collect()} == {f"d/f{i}.txt": len(f"### f{i}\n\n") + n + 6 for i, n in enumerate([1199] * 3 + [1500 - 6] * 2)}
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
