@@ -100,3 +100,12 @@ def test_excerpts_share_a_budget(spark):
 def test_wider_helpers(spark):
     assert one(spark, T.mask_key("t"), t="abcdefghijkl") == "abcd...ijkl" and one(spark, T.unwrap_redirect("t"), t="//d/?uddg=https%3A%2F%2Fa.b&x") == "https://a.b"
     assert one(spark, T.compact_number(F.col("n")), n=1234.0) == "1.2K" and one(spark, T.display_lines("t", 4), t="1\n2\n3\n4\n5\n6") == "1\n2\n...\n5\n6"
+
+
+def test_tokens_are_counted_after_the_rows_are_dealt(spark):
+    """A filter that is run below the dealing would cut all texts in the few tasks that read them."""
+    docs = spark.createDataFrame([(1, "a_b c a_b"), (2, "..."), (3, None), (4, "oneTwo")], "k int, text string")
+    got = T.token_counts(docs.repartition(3), "k", "text")
+    assert {tuple(r) for r in got.collect()} == {(1, 7, 4), (4, 3, 3)}
+    below = got._jdf.queryExecution().optimizedPlan().toString().split("Repartition")[1]
+    assert "split" not in below and "Filter" not in below
