@@ -2,9 +2,10 @@
 
 The filter holds no counts as such: an n-gram seen c times is entered once for each level 1 .. 1 + log2(c), and
 a count is read back by probing levels until one is missing.  It is built in slices, each from the n-grams of
-one hash range and as long as its entries need (about 10 bits each, 1 % false hits a level).  A filter of at most
+one hash range and as long as its entries need (about 12 bits each, 1 % false hits a level).  All bits of an entry lie
+in one 64-bit word, so a level is read by one look into memory.  A filter of at most
 PART_BYTES is broadcast.  A larger one stays in its slices: the probes of a piece of documents travel to them, packed
-by slice, and the levels travel back to the piece, so there is one pass over the documents at any size.
+by up to 16 neighbouring slices, and the levels travel back to the piece, so there is one pass over the documents at any size.
 
 The model interpolates bigrams with add-one unigrams.  Bigram counts are discounted by n1 / (n1 + 2 n2), n1 and n2
 being the numbers of bigrams seen once and twice, as most of those seen once say little.  Every unigram and every bigram of the training texts is
@@ -31,7 +32,9 @@ from .kernels import Words, buffers, mix, pieces, release
 
 HEAD = 1 << 20
 PART_BYTES = 128 * 1024 * 1024
-BITS_PER_ENTRY, PROBES = 10, 7
+BITS_PER_ENTRY, PROBES = 12, 5
+#: Slices, or buckets, that are asked together: 2**4, if at least 2**6 groups are left.
+TOGETHER, LEAST_GROUPS = 4, 6
 BUCKET_KEYS = 1 << 20
 MIXTURE, TRUST = 0.25, 100.0
 LOCAL_KEYS = 2_000_000
@@ -91,11 +94,14 @@ class Layout:
         return (code >> _U(32)).astype(np.int64), (code & _U(0xFFFFFFFF)).astype(np.uint32), back
 
 
-def _positions(sub: np.ndarray, level: int | np.ndarray, bits: np.ndarray) -> Iterator[np.ndarray]:
-    h = mix(sub.astype(np.uint64) | (np.asarray(level, dtype=np.uint64) << _U(32)))
-    a, b = h & _U(0xFFFFFFFF), (h >> _U(32)) | _U(1)
-    for i in range(PROBES):
-        yield (a + _U(i) * b) % bits
+def _entry(sub: np.ndarray, level: int, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word of each n-gram's entry for a level, of so many, and a hash whose first bits, six by six, name bits of it."""
+    h = mix(sub.astype(np.uint64) | _U(level << 32))
+    return ((h >> _U(32)) * words) >> _U(32), h
+
+
+def _bit(h: np.ndarray, i: int) -> np.ndarray:
+    return (h >> _U(6 * i)) & _U(63)
 
 
 def build_slice(sub: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -104,11 +110,12 @@ def build_slice(sub: np.ndarray, count: np.ndarray) -> np.ndarray:
     total = int(level.sum())
     if not total:
         return np.zeros(0, np.uint8)
-    bits = -(-total * BITS_PER_ENTRY // 64) * 64
-    held = np.zeros(bits, bool)
+    words = -(-total * BITS_PER_ENTRY // 64)
+    held = np.zeros(words * 64, bool)
     for j in range(1, int(level.max()) + 1):
-        for p in _positions(sub[level >= j], j, _U(bits)):
-            held[p] = True
+        word, h = _entry(sub[level >= j], j, _U(words))
+        for i in range(PROBES):
+            held[(word << _U(6)) | _bit(h, i)] = True
     return np.packbits(held, bitorder="little")
 
 
@@ -122,21 +129,23 @@ class LogBloom:
         self.begin = np.cumsum(size)
         self.has = np.zeros(n_slices, bool)
         self.has[list(slices)] = True
-        self.data = np.frombuffer(b"".join(slices[q] for q in sorted(slices)), np.uint8)
+        self.data = np.frombuffer(b"".join(slices[q] for q in sorted(slices)), np.uint64)
 
     def level(self, place: np.ndarray, sub: np.ndarray) -> np.ndarray:
         """Level of each n-gram, by probing levels until one is missing."""
         level = np.zeros(len(sub), np.int64)
-        begin = self.begin[place].astype(np.uint64)
-        bits = ((self.begin[place + 1] - self.begin[place]) * 8).astype(np.uint64)
-        live = np.flatnonzero(bits > 0)
+        words = (self.begin[place + 1] - self.begin[place]) >> 3
+        live = np.flatnonzero(words > 0)
+        begin, words, sub = (self.begin[place[live]] >> 3).astype(np.uint64), words[live].astype(np.uint64), sub[live]
         for j in range(1, 64):
             if not len(live):
                 break
-            hit = np.ones(len(live), bool)
-            for p in _positions(sub[live], j, bits[live]):
-                hit &= (self.data[begin[live] + (p >> _U(3))] >> (p & _U(7)).astype(np.uint8)) & 1 == 1
-            live = live[hit]
+            word, h = _entry(sub, j, words)
+            need = _U(1) << _bit(h, 0)
+            for i in range(1, PROBES):
+                need |= _U(1) << _bit(h, i)
+            hit = self.data[begin + word] & need == need
+            live, begin, words, sub = live[hit], begin[hit], words[hit], sub[hit]
             level[live] = j
         return level
 
@@ -159,6 +168,11 @@ def _bits_for(total: int, least: int) -> int:
     return max(least, int(np.ceil(np.log2(max(1, total / BUCKET_KEYS)))))
 
 
+def together(bits: int) -> int:
+    """Of 2**bits slices, 2**so many neighbours are asked together, so a piece makes few records for each of them."""
+    return max(0, min(TOGETHER, bits - LEAST_GROUPS))
+
+
 def unigram_counts(train: DataFrame, bits: int) -> DataFrame:
     """(bucket, token binary, count binary, n_tokens, n_types): exact counts, sorted by token hash."""
 
@@ -209,10 +223,22 @@ def _slices(train: DataFrame, unigrams: DataFrame, layout: Layout) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([sub[a:z].tobytes() for a, z in zip(at[:-1], at[1:], strict=True)], pa.binary()), pa.array([pack(a, z) for a, z in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["slice", "sub", "count"])
 
     def singles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[], []]
+
+        def flush() -> pa.RecordBatch:
+            token, count = map(np.concatenate, held)
+            held[0].clear(), held[1].clear()
+            return packed(*layout.place(unigram_key(token)), count)
+
         for b in batches:
             for t, c in zip(b.column(0), b.column(1), strict=True):
                 token, count = np.frombuffer(t.as_buffer(), _U), np.frombuffer(c.as_buffer(), np.int64)
-                yield packed(*layout.place(unigram_key(token)), count)
+                held[0].append(token)
+                held[1].append(count)
+                if sum(map(len, held[0])) > LOCAL_KEYS:
+                    yield flush()
+        if held[0]:
+            yield flush()
 
     def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[], []]
@@ -283,6 +309,14 @@ def exact_counts(token: np.ndarray, head: tuple[np.ndarray, np.ndarray]) -> tupl
     return np.where(known, head[1][at], 0), known
 
 
+def _packed_texts(texts: pa.Array) -> bytes:
+    """The texts of a piece, compressed, as they are shuffled twice."""
+    sink, batch = pa.BufferOutputStream(), pa.RecordBatch.from_arrays([texts], names=["texts"])
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
 _EXACT, _SINGLE, _PAIR = 0, 1 << 40, 2 << 40
 
 
@@ -325,6 +359,9 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
         filtered = lambda kind: LogBloom({r["slice"]: bytes(r["data"]) for r in slices.where(F.col("single") == kind).toLocalIterator()}, layout.slices)
         whole = spark.sparkContext.broadcast((filtered(True), filtered(False)))
     floor = n_all + n_types + 1
+    share, joint = together(bits), together(layout.bits)
+    buckets = 1 << bits - share
+    homes = [_EXACT | q for q in range(buckets)] + [base | q for base in (() if whole else (_SINGLE, _PAIR)) for q in range(layout.slices >> joint)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of a piece, by what they ask: exact counts of its rare tokens and, of a filter that is not here,
@@ -342,45 +379,58 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
                 score = a.scores(whole.value[0].level(*a.single[:2]), whole.value[1].level(*a.pair[:2]), size[0], floor, discount).tobytes() if whole else None
                 rare = np.flatnonzero(~known)
                 order = rare[np.argsort(a.token[rare], kind="stable")]
-                cuts = np.append(np.searchsorted(a.token[order], np.arange(1 << bits, dtype=np.uint64) << _U(64 - bits)), len(order))
-                home = int(mix(np.array([piece], np.uint64))[0] & _U((1 << bits) - 1))
-                used = [q for q in range(1 << bits) if cuts[q] < cuts[q + 1] or q == home]
+                cuts = np.append(np.searchsorted(a.token[order], np.arange(buckets, dtype=np.uint64) << _U(64 - bits + share)), len(order))
+                # one of the groups that are asked carries the piece's own columns, which may be its texts
+                home = homes[int(mix(np.array([piece], np.uint64))[0] % _U(len(homes)))]
+                used = [q for q in range(buckets) if cuts[q] < cuts[q + 1] or _EXACT | q == home]
                 group = [_EXACT | q for q in used]
                 asks = [a.token[order[cuts[q] : cuts[q + 1]]].tobytes() for q in used]
                 at = [a.row[order[cuts[q] : cuts[q + 1]]].astype(np.uint16).tobytes() for q in used]
-                own = [q == home for q in used]
                 for base, (place, sub, _) in () if whole else ((_SINGLE, a.single), (_PAIR, a.pair)):
-                    first = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else np.zeros(0, np.int64)
-                    for x, y in zip(first, np.append(first[1:], len(place)), strict=True):
-                        group.append(base | int(place[x]))
-                        asks.append(sub[x:y].tobytes())
-                        at.append(None)
-                        own.append(False)
+                    ends = np.searchsorted(place, np.arange(layout.slices + 1))
+                    for q in range(layout.slices >> joint):
+                        within = ends[q << joint : (q + 1 << joint) + 1]
+                        if within[0] < within[-1] or base | q == home:
+                            group.append(base | q)
+                            asks.append(sub[within[0] : within[-1]].tobytes())
+                            at.append(np.diff(within).astype(np.uint32).tobytes())
+                own = [q == home for q in group]
                 mine = lambda x, t: pa.array([x if o else None for o in own], t)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(group, pa.int64()), pa.array([piece] * len(group), pa.int64()), pa.array(asks, pa.binary()), pa.array(at, pa.binary()),
-                    mine(info.tobytes(), pa.binary()), mine(score, pa.binary()), mine(ids.to_pylist(), pa.list_(b.column(0).type)), mine(None if whole else texts.to_pylist(), pa.list_(pa.string())),
+                    mine(info.tobytes(), pa.binary()), mine(score, pa.binary()), mine(ids.to_pylist(), pa.list_(b.column(0).type)), mine(None if whole else _packed_texts(texts), pa.binary()),
                 ], names=names)
 
     names = ["group", "piece", "asks", "row", "info", "score", "ids", "texts"]
-    extra = f"info binary, score binary, ids array<{kind}>, texts array<string>"
+    extra = f"info binary, score binary, ids array<{kind}>, texts binary"
     asked = rows.withColumn("_part", F.spark_partition_id()).mapInArrow(run, f"group long, piece long, asks binary, row binary, {extra}")
 
     def look(group: pa.Table) -> pa.Table:
         release()
         base = group["group"][0].as_py() & (_SINGLE | _PAIR)
-        table = [(t, c) for t, c in zip(group["known"].to_pylist(), group["count"].to_pylist(), strict=True) if t is not None]
+        held = group.filter(pa.compute.is_valid(group["known"])).select(["part", "known", "count"]).sort_by("part")
+        table = list(zip(*(held[c].to_pylist() for c in held.column_names), strict=True))
         own = group.filter(pa.compute.is_valid(group["piece"]))
         replies = []
         if base:
-            bloom = LogBloom({0: table[0][0]} if table else {}, 1)
-        elif table:
-            known, count = np.frombuffer(table[0][0], _U), np.frombuffer(table[0][1], np.int64)
-        for t, r in zip(own["asks"].to_pylist(), own["row"].to_pylist(), strict=True):
-            if base:
-                sub = np.frombuffer(t, np.uint32)
-                replies.append(bloom.level(np.zeros(len(sub), np.int64), sub).astype(np.uint8).tobytes())
-            elif not t or not table:
+            bloom = LogBloom({q: data for q, data, _ in table}, 1 << joint)
+            asks = [np.frombuffer(t, np.uint32) for t in own["asks"].to_pylist()]
+            sizes = [np.frombuffer(r, np.uint32) for r in own["row"].to_pylist()]
+            x = 0
+            while x < len(asks):  # the asks of many pieces at a time
+                y, n = x, 0
+                while y < len(asks) and (y == x or n + len(asks[y]) <= LOCAL_KEYS // 4):
+                    n += len(asks[y])
+                    y += 1
+                place = np.repeat(np.tile(np.arange(1 << joint), y - x), np.concatenate(sizes[x:y]))
+                level = bloom.level(place, np.concatenate(asks[x:y])).astype(np.uint8)
+                ends = np.cumsum([len(t) for t in asks[x:y]])
+                replies += [level[e - len(t) : e].tobytes() for t, e in zip(asks[x:y], ends, strict=True)]
+                x = y
+        elif table:  # buckets in order, so tokens are
+            known, count = (np.concatenate([np.frombuffer(t[k], kind) for t in table]) for k, kind in ((1, _U), (2, np.int64)))
+        for t, r in () if base else zip(own["asks"].to_pylist(), own["row"].to_pylist(), strict=True):
+            if not t or not table:
                 replies.append(None)
             else:
                 t, r = np.frombuffer(t, _U), np.frombuffer(r, np.uint16)
@@ -405,18 +455,19 @@ def score_documents(docs: DataFrame, train: Column, key: str = "doc_id", text: s
                 base[: len(s)] += s
                 known[: len(c)] += c
         if levels[_SINGLE]:  # the replies are in order of slice, as the distinct n-grams of the piece are
-            a = Asked(pa.array(group["texts"][k].as_py(), pa.string()), layout)
+            a = Asked(pa.ipc.open_stream(group["texts"][k].as_buffer()).read_all()["texts"], layout)
             score = a.scores(*(np.concatenate(levels[x]).astype(np.int64) for x in (_SINGLE, _PAIR)), size[0], floor, discount)
         else:
             score = np.frombuffer(group["score"][k].as_py(), np.float64)
         return pa.table({"_key": group["ids"][k].values, "is_train": pa.array(is_train > 0), "n_tokens": n_tokens.astype(np.int64), "n_known": known.astype(np.int64), "train_tokens": np.full(len(base), n_all, np.int64), "base_score": base - n_tokens * np.log10(float(floor)), "score": score})
 
     blank = lambda t, n: F.lit(None).cast(t).alias(n)
-    rest = [blank("long", "piece"), blank("binary", "asks"), blank("binary", "row"), blank("binary", "info"), blank("binary", "score"), blank(f"array<{kind}>", "ids"), blank("array<string>", "texts")]
-    table = unigrams.select(F.col("bucket").cast("long").alias("group"), *rest, F.col("token").alias("known"), "count")
+    rest = [blank("long", "piece"), blank("binary", "asks"), blank("binary", "row"), blank("binary", "info"), blank("binary", "score"), blank(f"array<{kind}>", "ids"), blank("binary", "texts")]
+    table = unigrams.select(F.shiftright(F.col("bucket"), share).cast("long").alias("group"), *rest, F.col("bucket").alias("part"), F.col("token").alias("known"), "count")
     if whole is None:
-        own = F.when(F.col("single"), F.lit(_SINGLE)).otherwise(F.lit(_PAIR)) + F.col("slice")
-        table = table.unionByName(slices.where(F.length("data") > 0).select(own.alias("group"), *rest, F.col("data").alias("known"), blank("binary", "count")))
-    replies = asked.withColumn("known", blank("binary", "known")).withColumn("count", blank("binary", "count")).unionByName(table)
+        own = F.when(F.col("single"), F.lit(_SINGLE)).otherwise(F.lit(_PAIR)) + F.shiftright(F.col("slice"), joint)
+        part = F.col("slice").bitwiseAND((1 << joint) - 1)
+        table = table.unionByName(slices.where(F.length("data") > 0).select(own.alias("group"), *rest, part.alias("part"), F.col("data").alias("known"), blank("binary", "count")))
+    replies = asked.withColumn("part", blank("int", "part")).withColumn("known", blank("binary", "known")).withColumn("count", blank("binary", "count")).unionByName(table)
     replies = replies.groupBy("group").applyInArrow(look, f"piece long, group long, reply binary, {extra}")
     return replies.groupBy("piece").applyInArrow(gather, f"_key {kind}, is_train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("_key", key)

@@ -103,6 +103,20 @@ def test_a_filter_beyond_the_broadcast_gives_the_same_scores(spark, monkeypatch)
     assert all(whole[k][1:] == pytest.approx(many[k][1:]) for k in whole) and sum(x[0] for x in many.values()) == pytest.approx(sum(x[0] for x in whole.values()), rel=0.01)
 
 
+def test_slices_are_asked_by_neighbours(spark, monkeypatch):
+    """A piece of documents makes a record per group of slices, and scores are those of slices asked one by one."""
+    assert [1 << b - lm_score.together(b) for b in (6, 8, 11, 14)] == [64, 64, 128, 1024]
+    monkeypatch.setattr(lm_score, "PART_BYTES", 0)
+    monkeypatch.setattr(lm_score, "BUCKET_KEYS", 64)
+    monkeypatch.setattr(lm_score, "LEAST_GROUPS", 2)
+    docs = spark.createDataFrame([(i, f"w{i % 7} and w{i % 11} of w{i}") for i in range(300)] + [(999, None)], "doc_id long, text string")
+    run = lambda: {r["doc_id"]: tuple(r) for r in lm_score.score_documents(docs, F.col("doc_id") % 3 > 0).collect()}
+    got = run()
+    monkeypatch.setattr(lm_score, "TOGETHER", 0)
+    want = run()
+    assert len(got) == 301 and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_rare_histories_and_single_bigrams_count(spark, monkeypatch):
     """Scores with a head list that holds next to nothing, and of bigrams seen once, are near those of brute force."""
     monkeypatch.setattr(lm_score, "HEAD", 4)
