@@ -16,23 +16,29 @@ at these bounds first:
    that reaches it lie in such blocks; rows that can still reach it with the minor terms are candidates;
 3. a block of a minor term, which is often a frequent one, is read only if a candidate lies in its range.
 
+A batch of queries that asks for more postings than the live rows have tokens, as many queries of frequent words do, would
+read most blocks, once for each query.  Such a batch is scored from the rows' kept tokens instead, for all queries at once and in one pass.
+
 Statistics are those of all live rows, so results are those of an index built afresh.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodegrain.functions import text as T
-from lodegrain.operators.retrieval import EPSILON, K1, B
+from lodegrain.operators.retrieval import EPSILON, K1, B, scored_batches
 from lodegrain.operators.snapshots import Conflict, SnapshotLog
-from lodegrain.sources.workspace import bounded, discard, spread, stage
+from lodegrain.sources.workspace import BROADCAST_ROWS, bounded, discard, spread, stage
 
 #: Postings of a block, and of a part of a term, which one task puts in order.
 BLOCK, PART, LAYERS = 64, 1 << 20, 10
@@ -40,6 +46,10 @@ BLOCK, PART, LAYERS = 64, 1 << 20, 10
 MOST_SOUGHT = 4096
 #: As many neighbours of one tier are merged; a tier is so many times the rows of the one below it.
 FAN, FIRST_TIER = 4, 1000
+#: Rows whose tokens are counted at once.
+TALLIED_ROWS = 1024
+#: Killed rows, of two longs each, that are broadcast at most.
+DEAD_ROWS = 1_000_000
 #: Terms that are named to the scan; more are joined.
 NAMED_TERMS = 2000
 _OWN = ("_doc", "_dl", "_tokens", "_segment")
@@ -50,19 +60,70 @@ def _union(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def blocks_of(rows: DataFrame, mean_length: float) -> DataFrame:
-    """(term, part, layer, block, n, max_tf, min_dl, low, high, docs, tfs, dls) of (_doc, _dl, _tokens) rows.  A term of
-    more than PART rows is dealt in parts by row, so no task orders more than about so many postings.  Layers go by the
-    mean length of now; bounds are right whatever it becomes."""
-    each = rows.select("_doc", "_dl", F.explode("_tokens").alias("term")).groupBy("term", "_doc", "_dl").agg(F.count("*").cast("int").alias("tf"))
+def _tally(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, _doc, _dl, tf) of (_doc, _dl, _tokens) rows; a row has all of its tokens, so nothing is shuffled for it."""
+    for b in (c.slice(o, TALLIED_ROWS) for c in batches for o in range(0, c.num_rows, TALLIED_ROWS)):
+        tokens = b.column(2)
+        row = np.repeat(np.arange(b.num_rows), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
+        words = tokens.flatten().dictionary_encode()
+        most = max(1, len(words.dictionary))
+        found, tf = np.unique(row * most + words.indices.to_numpy(), return_counts=True)
+        pick = pa.array(found // most)
+        yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(found % most)), b.column(0).take(pick), b.column(1).take(pick), pa.array(tf.astype(np.int32))], names=["term", "_doc", "_dl", "tf"])
+
+
+def _pack(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of at most ``most`` postings of (term, part, layer, _doc, _dl, tf) rows in order; the last block of a batch waits for the next."""
+    left, before = None, 0
+
+    def cut(t: pa.RecordBatch, last: bool) -> tuple[pa.RecordBatch | None, pa.RecordBatch | None, int]:
+        n = t.num_rows
+        term, part, layer = t.column(0).dictionary_encode().indices.to_numpy(), t.column(1).to_numpy(), t.column(2).to_numpy()
+        fresh = np.append(True, (np.diff(term) != 0) | (np.diff(part) != 0) | (np.diff(layer) != 0))
+        run = np.flatnonzero(fresh)
+        place = np.arange(n) - np.repeat(run, np.diff(np.append(run, n)))
+        block = place // most
+        block[: run[1] if len(run) > 1 else n] += before
+        begin = np.flatnonzero(place % most == 0)
+        rest = (None, 0) if last else (t.slice(begin[-1]), int(block[begin[-1]]))
+        end = n if last else begin[-1]
+        begin = begin if last else begin[:-1]
+        if not len(begin):
+            return None, *rest
+        size = np.diff(np.append(begin, end))
+        doc, dl, tf = (t.column(k).to_numpy()[:end] for k in (3, 4, 5))
+        at = pa.array(begin)
+        each = lambda x: pa.ListArray.from_arrays(pa.array(np.append(begin, end).astype(np.int32)), pa.array(x))
+        return pa.RecordBatch.from_arrays([
+            *(t.column(k).take(at) for k in range(3)), pa.array(block[begin].astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(np.maximum.reduceat(tf, begin)), pa.array(np.minimum.reduceat(dl, begin)),
+            pa.array(doc[begin]), pa.array(doc[begin + size - 1]), each(doc), each(tf), each(dl),
+        ], names=[*_BLOCK, "n", "max_tf", "min_dl", "low", "high", "docs", "tfs", "dls"]), *rest
+
+    for b in batches:
+        if b.num_rows:
+            out, left, before = cut(b if left is None else pa.Table.from_batches([left, b]).combine_chunks().to_batches()[0], False)
+            if out is not None:
+                yield out
+    if left is not None:
+        yield cut(left, True)[0]
+
+
+def postings_of(rows: DataFrame) -> DataFrame:
+    """(term, _doc, _dl, tf) of (_doc, _dl, _tokens) rows, written."""
+    return stage(rows.select("_doc", "_dl", "_tokens").mapInArrow(_tally, "term string, _doc long, _dl int, tf int"), "postings")
+
+
+def blocks_of(each: DataFrame, mean_length: float) -> DataFrame:
+    """(term, part, layer, block, n, max_tf, min_dl, low, high, docs, tfs, dls) of the postings ``each``, in order within a
+    partition.  A term of more than PART rows is dealt in parts by row, so no task orders more than about so many postings.
+    Layers go by the mean length of now; bounds are right whatever it becomes."""
     often = stage(each.groupBy("term").count().where(F.col("count") > PART).select("term", F.ceil(F.col("count") / PART).alias("parts")), "frequent-terms")
     part = F.coalesce(F.pmod(F.xxhash64("_doc"), F.col("parts")), F.lit(0)).cast("int")
     share = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("_dl") / F.lit(max(mean_length, 1.0))))
     dealt = each.join(bounded(often, often.count()), "term", "left").withColumn("part", part).withColumn("layer", (LAYERS - F.ceil(share * LAYERS)).cast("int"))
-    place = F.row_number().over(W.partitionBy("term", "part", "layer").orderBy("_doc"))
-    held = F.array_sort(F.collect_list(F.struct("_doc", "tf", "_dl")))
-    packed = dealt.withColumn("block", F.floor((place - 1) / BLOCK).cast("int")).groupBy("term", "part", "layer", "block").agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("_dl").alias("min_dl"), F.min("_doc").alias("low"), F.max("_doc").alias("high"), held.alias("p"))
-    return packed.select("term", "part", "layer", "block", "n", "max_tf", "min_dl", "low", "high", F.col("p._doc").alias("docs"), F.col("p.tf").alias("tfs"), F.col("p._dl").alias("dls"))
+    order = dealt.select("term", "part", "layer", "_doc", "_dl", "tf").repartition("term", "part").sortWithinPartitions("term", "part", "layer", "_doc")
+    most = BLOCK
+    return order.mapInArrow(lambda batches: _pack(batches, most), "term string, part int, layer int, block int, n int, max_tf int, min_dl int, low long, high long, docs array<long>, tfs array<int>, dls array<int>")
 
 
 class Snapshot:
@@ -84,7 +145,7 @@ class Snapshot:
 
     def _alive(self, df: DataFrame) -> DataFrame:
         n = sum(s["kills"] for s in self.content["segments"])
-        return df.join(bounded(self.dead(), n), ["_segment", "_doc"], "left_anti") if n else df
+        return df.join(bounded(self.dead(), n, DEAD_ROWS), ["_segment", "_doc"], "left_anti") if n else df
 
     def live(self) -> DataFrame:
         """All live rows, with the index's own columns."""
@@ -102,12 +163,13 @@ class Snapshot:
         return newest.select("s.*").where("not _removed").drop("_removed")
 
     def _weights(self, asked: DataFrame) -> DataFrame:
-        """(query_id, term, w) of (query_id, term, qtf): what a posting's length-adjusted frequency counts."""
+        """(query_id, term, w, df) of (query_id, term, qtf): what a posting's length-adjusted frequency counts, and how many
+        rows hold the term."""
         df = self._of(self.table("terms"), asked).groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
         n = F.lit(float(self.count))
         raw = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
         idf = F.when(raw < 0, F.lit(EPSILON * self.content["mean_idf"])).otherwise(raw)
-        return asked.join(df, "term").select("query_id", "term", (F.col("qtf") * idf).alias("w"))
+        return asked.join(df, "term").select("query_id", "term", (F.col("qtf") * idf).alias("w"), "df")
 
     def _of(self, df: DataFrame, asked: DataFrame) -> DataFrame:
         """Rows of the terms of ``asked`` (query_id, term, ...), a written table: few are named to the scan, which then
@@ -127,11 +189,15 @@ class Snapshot:
         each = found.select("query_id", "_segment", "w", F.explode(F.arrays_zip("docs", "tfs", "dls")).alias("p")).select("query_id", "_segment", "w", F.col("p.docs").alias("_doc"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl"))
         return self._alive(each).select("query_id", "_segment", "_doc", (F.col("w") * self._part("tf", "dl")).alias("gain"))
 
+    @staticmethod
+    def _asked(queries: DataFrame, query: str) -> DataFrame:
+        return stage(queries.select("query_id", F.explode(T.code_tokens(query)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf")), "asked")
+
     def search(self, queries: DataFrame, k: int, query: str = "query", prune: bool = True) -> tuple[DataFrame, DataFrame]:
         """(query_id, _segment, _doc, score) of rows that have the ``k`` best of each query among them, and (query_id, term,
         _segment, part, layer, block, n, read) of all blocks of the queries' terms, saying which were read."""
-        asked = stage(queries.select("query_id", F.explode(T.code_tokens(query)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf")), "asked")
-        weighted = self._weights(asked)
+        asked = self._asked(queries, query)
+        weighted = self._weights(asked).drop("df")
         bounds = self._of(self.table("postings"), asked).select("_segment", *_BLOCK, "n", "max_tf", "min_dl", "low", "high")
         most = F.greatest(F.col("w") * self._part("max_tf", "min_dl"), F.lit(0.0))
         every = stage(bounds.join(weighted, "term").withColumn("most", most).drop("max_tf", "min_dl"), "block-bounds")
@@ -174,11 +240,16 @@ class Snapshot:
     def bm25(self, queries: DataFrame, k: int, query: str = "query", within: DataFrame | None = None) -> DataFrame:
         """(query_id, key..., score, rank) of the ``k`` best rows of each query with a positive score, ties to the smaller
         key; of those whose key is in ``within`` only, if that is given (statistics stay those of all rows)."""
-        scored, _ = self.search(queries, k, query, within is None)
         keys = self.table("rows").select("_segment", "_doc", *self.key)
-        if within is not None:
-            mine = stage(keys.join(within.select(*self.key), list(self.key), "left_semi").select("_segment", "_doc"), "within")
-            scored = scored.join(bounded(mine, mine.count()), ["_segment", "_doc"], "left_semi")
+        mine = None if within is None else stage(keys.join(within.select(*self.key), list(self.key), "left_semi").select("_segment", "_doc"), "within")
+        only = lambda df: df if mine is None else df.join(bounded(mine, mine.count()), ["_segment", "_doc"], "left_semi")
+        weighted = stage(self._weights(self._asked(queries, query)), "weights")
+        n, postings = weighted.agg(F.count("*"), F.coalesce(F.sum("df"), F.lit(0))).first()
+        if n <= BROADCAST_ROWS and postings > self.content["length"]:
+            rows = only(self.live()).select("_segment", "_doc", F.col("_tokens").alias("tokens"), F.col("_dl").alias("dl"))
+            scored = scored_batches(rows, ["_segment", "_doc"], weighted.drop("df"), k, self.mean_length)
+        else:
+            scored = only(self.search(queries, k, query, within is None)[0])
         scored = scored.withColumn("score", F.round("score", 9)).where("score > 0")
         first = stage(scored.withColumn("r", F.rank().over(W.partitionBy("query_id").orderBy(F.desc("score")))).where(F.col("r") <= k).drop("r"), "best-rows")
         named = keys.join(first, ["_segment", "_doc"])
@@ -228,14 +299,15 @@ class SegmentedIndex:
             lost.select(F.col("_segment").alias("segment"), F.col("_doc").alias("doc")).write.parquet(f"{at}/dead")
             kills = lost.count()
             has.append("dead")
-        more = written.select(F.explode(F.array_distinct("_tokens")).alias("term"), F.lit(1).alias("df"))
+        postings = postings_of(written)
+        more = postings.select("term", F.lit(1).alias("df"))
         if kills:
             more = more.unionByName(lost.select(F.explode(F.array_distinct("_tokens")).alias("term"), F.lit(-1).alias("df")))
         self._put_terms(more, at)
         came, went = (self._sizes(x) if x is not None else (0, 0) for x in (written, lost))
-        self._put_postings(written, came, at)
+        self._put_postings(postings, came, at)
         has += ["terms", "postings"]
-        discard(lost)
+        discard(lost, postings)
         entry = {"dir": folder, "id": number, "has": has, "rows": came[0], "kills": kills}
         old = before.content if before else {"segments": [], "rows": 0, "length": 0, "version": 0}
         content = {"segments": [*old["segments"], entry], "rows": old["rows"] + came[0] - went[0], "length": old["length"] + came[1] - went[1], "next": number + 1}
@@ -244,9 +316,8 @@ class SegmentedIndex:
     def _put_terms(self, counts: DataFrame, at: str) -> None:
         counts.groupBy("term").agg(F.sum("df").cast("long").alias("df")).where("df <> 0").repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{at}/terms")
 
-    def _put_postings(self, rows: DataFrame, size: tuple[int, int], at: str) -> None:
-        blocks = blocks_of(rows.select("_doc", "_dl", "_tokens"), size[1] / max(1, size[0]))
-        blocks.repartitionByRange(*_BLOCK).sortWithinPartitions(*_BLOCK).write.parquet(f"{at}/postings")
+    def _put_postings(self, postings: DataFrame, size: tuple[int, int], at: str) -> None:
+        blocks_of(postings, size[1] / max(1, size[0])).write.parquet(f"{at}/postings")
 
     @staticmethod
     def _sizes(rows: DataFrame) -> tuple[int, int]:
@@ -297,7 +368,9 @@ class SegmentedIndex:
         # what is alive now is all of the merged rows, as they are the last ones
         self._put_terms(within(now.table("terms")).select("term", "df"), at)
         size = self._sizes(written)
-        self._put_postings(written, size, at)
+        postings = postings_of(written)
+        self._put_postings(postings, size, at)
+        discard(postings)
         entry = {"dir": folder, "id": ids[-1], "has": ["owners", "rows", "dead", "terms", "postings"], "rows": size[0], "kills": self.spark.read.parquet(f"{at}/dead").count()}
         content = {k: v for k, v in now.content.items() if k != "version"} | {"segments": [*now.content["segments"][:begin], entry, *now.content["segments"][end:]]}
         return Snapshot(self, content | {"version": self.log.commit(content, now.version)})

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,3 +182,19 @@ def test_watch_and_update_search_alike(spark, tmp_path):
     one = spark.createDataFrame([(1, "medlars")], "query_id int, query string")
     assert [r["file_path"] for r in kept.search(one, 3).orderBy("rank").limit(1).collect()] == ["m2.py"]
     assert project_files(spark, str(src)).count() == 3
+
+
+def test_postings_are_counted_and_packed_in_one_pass():
+    """Blocks cross batches of any size, and their bounds are those of their postings."""
+    rows = [(i, [f"t{(i * j) % 9}" for j in range(i % 23)]) for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([len(t) for _, t in rows], pa.int32()), pa.array([t for _, t in rows], pa.list_(pa.string()))], names=["_doc", "_dl", "_tokens"])
+    got = sorted((r["term"], r["_doc"], r["_dl"], r["tf"]) for b in G._tally([batch.slice(0, 100), batch.slice(100)]) for r in b.to_pylist())
+    assert got == sorted((w, i, len(t), t.count(w)) for i, t in rows for w in set(t))
+    want = sorted((w, d % 2, tf % 3, d, dl, tf) for w, d, dl, tf in got)
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+    full = pa.RecordBatch.from_arrays([pa.array([r[k] for r in want], t) for k, t in enumerate(kinds)], names=["term", "part", "layer", "_doc", "_dl", "tf"])
+    for step in (1, 7, 64, 10_000):
+        blocks = [r for b in G._pack([full.slice(o, step) for o in range(0, len(full), step)], 16) for r in b.to_pylist()]
+        assert [(r["term"], r["part"], r["layer"], d, dl, tf) for r in blocks for d, tf, dl in zip(r["docs"], r["tfs"], r["dls"], strict=True)] == want
+        assert all((r["n"], r["max_tf"], r["min_dl"], r["low"], r["high"]) == (len(r["docs"]), max(r["tfs"]), min(r["dls"]), min(r["docs"]), max(r["docs"])) for r in blocks)
+        assert len({(r["term"], r["part"], r["layer"], r["block"]) for r in blocks}) == len(blocks) and max(r["n"] for r in blocks) == 16
