@@ -10,6 +10,8 @@ from urllib.request import Request, urlopen
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,20 +34,18 @@ class Embedder(Protocol):
 
 def hashed_vector(text: Column, dim: int = 64) -> Column:
     """Offline stand-in, not semantic: signed counts of code tokens by hash, scaled to length one; null for a text
-    without tokens.  Tokens are cut in the JVM and counted in Arrow batches."""
-
-    @F.pandas_udf("array<float>")
-    def count(tokens: pd.Series) -> pd.Series:
-        out = []
-        for row in tokens:
-            if row is None or not len(row):
-                out.append(None)
-                continue
-            code = np.array([zlib.crc32(t.encode()) for t in row], np.int64)
-            v = np.bincount(code // 2 % dim, np.where(code % 2 == 0, 1.0, -1.0), dim)
-            size = np.sqrt((v * v).sum())
-            out.append((v / size).astype(np.float32) if size else None)
-        return pd.Series(out)
+    without tokens.  Tokens are cut in the JVM and counted in Arrow batches, each different one hashed once a batch."""
+
+    @F.arrow_udf("array<float>")
+    def count(tokens: pa.Array) -> pa.Array:
+        words = tokens.flatten().dictionary_encode()
+        code = np.array([zlib.crc32(t.encode()) for t in words.dictionary.to_pylist()], np.int64)[words.indices.to_numpy()]
+        row = np.repeat(np.arange(len(tokens)), pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))
+        v = np.bincount(row * dim + code // 2 % dim, np.where(code % 2 == 0, 1.0, -1.0), len(tokens) * dim).reshape(-1, dim)
+        size = np.sqrt((v * v).sum(1))
+        begin = np.concatenate([[0], np.cumsum((size > 0) * dim)]).astype(np.int32)
+        values = (v[size > 0] / size[size > 0, None]).astype(np.float32).ravel()
+        return pa.ListArray.from_arrays(pa.array(begin), pa.array(values), mask=pa.array(size == 0))
 
     return count(T.code_tokens(text))
 
