@@ -43,6 +43,27 @@ def test_cells_that_are_far_apart_do_not_meet(spark, monkeypatch):
     assert found.count() == sum(i % 8 == j % 8 for i in range(400) for j in range(i + 1, 400))
 
 
+def test_vectors_without_clusters_meet_in_blocks_and_once(spark, monkeypatch):
+    """Cells that spare nothing are not made, pairs are not found twice, and those of clusters still have cells."""
+    rng = np.random.default_rng(8)
+    rows = rng.normal(size=(1500, 24)).astype(np.float32)
+    staged, keep = {}, J.stage
+    monkeypatch.setattr(J, "stage", lambda df, name: staged.setdefault(name, keep(df, name)))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rows)], "k int, v array<float>").repartition(3)
+    unit = rows.astype(float) / np.sqrt((rows.astype(float) ** 2).sum(1))[:, None]
+    near = unit @ unit.T
+    for block in (None, 400):
+        staged.clear()
+        found = J.similar_vectors(df, "k", "v", 0.3, block=block)
+        got = [(r["a"], r["b"]) for r in found.collect()]
+        assert sorted(got) == [(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(near, 1) >= 0.3), strict=True)]
+        assert staged["cells"].select("cell").distinct().count() == 1
+    staged.clear()
+    lumps = np.repeat(rng.normal(size=(3, 24)), 1000, 0) + 0.01 * rng.normal(size=(3000, 24))
+    J.similar_vectors(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(lumps)], "k int, v array<double>"), "k", "v", 0.95)
+    assert staged["cells"].select("cell").distinct().count() > 1
+
+
 def test_containment_is_contains(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choices("abc/", k=rng.randrange(0, 14)))
