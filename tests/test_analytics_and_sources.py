@@ -116,6 +116,15 @@ def test_unrelated_texts_with_the_same_trigrams_do_not_meet(spark):
     assert want <= met and len(met) < 0.1 * len(sets) ** 2 / 2
 
 
+def test_a_pair_of_trigram_sets_meets_once(spark):
+    """The plan has one intersection of the sets, and no union, for the similarity and the filter on it together."""
+    sets = [(1, 1, ["abc", "bcd", "cde", "def"]), (2, 2, ["abc", "bcd", "cde", "xyz"]), (3, 3, ["pqr"])]
+    found = N.trigram_pairs(spark.createDataFrame(sets, "member int, rep int, grams array<string>"), 0.6)
+    assert [tuple(r) for r in found.collect()] == [(1, 2, 0.6)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect") == 1 and "array_union" not in plan
+
+
 def test_pruning_compares_few_of_many_unrelated_files(spark, monkeypatch):
     """What pruning compares in full are the near ones, though all files share most of their trigrams."""
     rng = random.Random(3)
