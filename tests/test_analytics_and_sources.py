@@ -76,6 +76,17 @@ def test_pruning_by_text_with_copies(spark):
     assert got == {1: 2, 3: 2, 5: 2}
 
 
+def test_pruning_reads_whole_texts(spark):
+    """Files with the same first 2,000 characters and different rests stay; those that differ early alone are duplicates."""
+    rng = random.Random(8)
+    prose = lambda letters, n: " ".join("".join(rng.choices(letters, k=6)) for _ in range(n))
+    head = prose("abcdefgh", 300)
+    rows = [(1, head + prose("ijklmnop", 600), 1), (2, head + prose("qrstuvwx", 600), 2), (3, prose("abcdefgh", 3) + head + prose("yzäöü", 600), 3)]
+    rows.append((4, "x" + rows[2][1], 4))
+    got = {(r["duplicate"], r["keeper"]) for r in N.prune_by_text(spark.createDataFrame(rows, "k int, text string, t int"), "k", "text", "t").collect()}
+    assert len(head) > 2000 and got == {(4, 3)}
+
+
 def test_trigram_pairs_are_those_of_brute_force(spark):
     rng = random.Random(5)
     words = [rng.choice(["stone", "river", "cloud", "mount"]) for _ in range(40)]
