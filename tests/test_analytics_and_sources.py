@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -127,6 +128,23 @@ def test_unrelated_texts_with_the_same_trigrams_do_not_meet(spark):
     assert want <= met and len(met) < 0.1 * len(sets) ** 2 / 2
 
 
+def test_trigram_sets_are_made_by_the_batch_and_meet_by_blocks_as_by_parts(spark):
+    """Sets of all sizes, with folded sketches, in blocks of a few; the same pairs by equal parts."""
+    rng = random.Random(21)
+    docs = []
+    for i, size in enumerate([3, 5, 40, 80, 300, 700, 1500, 4000] * 6):
+        t = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzé𝄞ß", k=size))
+        docs += [(2 * i, t), (2 * i + 1, t[: size - size // 40] + "".join(rng.choices("xyz", k=size // 40)))]
+    docs += [(900, None), (901, ""), (902, "ab"), (903, "!!a?b c--")]
+    classes = N.trigram_classes(spark.createDataFrame(docs, "k int, text string"), "k", "text").localCheckpoint()
+    norm = {i: re.sub(r"[^\w\s]", "", re.sub(r"\s+", " ", (t or "").lower())).strip() for i, t in docs}
+    sets = {i: sorted({t[k : k + 3] for k in range(len(t) - 2)}) for i, t in norm.items()}
+    assert {r["member"]: r["grams"] for r in classes.collect()} == {i: g for i, g in sets.items() if g}
+    reps = {r["rep"] for r in classes.collect()}
+    want = {(a, b) for a in reps for b in reps if a < b and 10 * len(set(sets[a]) & set(sets[b])) >= 9 * len(set(sets[a]) | set(sets[b]))}
+    assert len(want) > 20 and all({(r["a"], r["b"]) for r in N.trigram_pairs(classes, blocks=how).collect()} == want for how in (True, False))
+
+
 def test_a_pair_of_trigram_sets_meets_once(spark):
     """The plan has one intersection of the sets, and no union, for the similarity and the filter on it together."""
     sets = [(1, 1, ["abc", "bcd", "cde", "def"]), (2, 2, ["abc", "bcd", "cde", "xyz"]), (3, 3, ["pqr"])]
