@@ -142,7 +142,7 @@ def test_trigram_sets_are_made_by_the_batch_and_meet_by_blocks_as_by_parts(spark
     assert {r["member"]: r["grams"] for r in classes.collect()} == {i: g for i, g in sets.items() if g}
     reps = {r["rep"] for r in classes.collect()}
     want = {(a, b) for a in reps for b in reps if a < b and 10 * len(set(sets[a]) & set(sets[b])) >= 9 * len(set(sets[a]) | set(sets[b]))}
-    assert len(want) > 20 and all({(r["a"], r["b"]) for r in N.trigram_pairs(classes, blocks=how).collect()} == want for how in (True, False))
+    assert len(want) > 20 and all({(r["a"], r["b"]) for r in N.trigram_pairs(classes, block=size).collect()} == want for size in (16, 0))
 
 
 def test_a_pair_of_trigram_sets_meets_once(spark):
@@ -166,6 +166,25 @@ def test_pruning_compares_few_of_many_unrelated_files(spark, monkeypatch):
     assert got == {(1000 + i, i) for i in range(20)} and staged["trigram-near"].count() == 20
 
 
+def test_pruning_in_batches_is_a_fold(spark, monkeypatch):
+    """Of many files that resemble each other few pairs are compared, and each goes to the oldest keeper that it resembles."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(60)]
+    rows = [(i, " ".join(rng.sample(words, 60) if i % 3 else rng.choices(words, k=50)), rng.randrange(40)) for i in range(40)]
+    for i in range(110):
+        w = rows[i % 40][1].split(" ")
+        for _ in range(rng.randrange(1, 5)):
+            w[rng.randrange(len(w))] = "".join(rng.choices("xyz", k=3))
+        rows.append((100 + i, " ".join(w), rng.randrange(40)))
+    sets = {k: {t[i : i + 3] for i in range(len(t) - 2)} for k, t, _ in rows}
+    close = {frozenset((a, b)) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 9 * len(sets[a] | sets[b])}
+    want = fold(close, [k for _, k in sorted((t, k) for k, _, t in rows)])
+    staged, keep = [], N.stage
+    monkeypatch.setattr(N, "stage", lambda df, name: [keep(df, name), staged.append(name)][0])
+    got = {r["duplicate"]: r["keeper"] for r in N.prune_by_text(spark.createDataFrame(rows, "k int, text string, t int"), "k", "text", "t", batch=3).collect()}
+    assert got == want and len(want) > 40 and staged.count("prune-fell") > 1
+
+
 def test_manifest_diff_and_index(spark, tmp_path):
     src = tmp_path / "src"
     (src / "sub").mkdir(parents=True)
