@@ -143,6 +143,9 @@ def test_trigram_sets_are_made_by_the_batch_and_meet_by_blocks_as_by_parts(spark
     reps = {r["rep"] for r in classes.collect()}
     want = {(a, b) for a in reps for b in reps if a < b and 10 * len(set(sets[a]) & set(sets[b])) >= 9 * len(set(sets[a]) | set(sets[b]))}
     assert len(want) > 20 and all({(r["a"], r["b"]) for r in N.trigram_pairs(classes, block=size).collect()} == want for size in (16, 0))
+    near = spark.createDataFrame([(a, b) for a in sorted(reps) for b in sorted(reps) if a < b and (a + b) % 3], "a int, b int").localCheckpoint()
+    ways = [{(r["a"], r["b"]): r["similarity"] for r in N._similar(near, classes.select("rep", "grams"), 0.6, way).collect()} for way in (True, False)]
+    assert ways[0] == ways[1] and {p for p in want if sum(p) % 3} <= set(ways[0])
 
 
 def test_a_pair_of_trigram_sets_meets_once(spark):
